@@ -26,10 +26,10 @@ def normalize(fact: DataFrame, fold_case: bool = True, service: str = "GMP") ->
 
     ``fact`` has ``id, created_at, status, simplified_status, data`` (JSON text).
     The status filter runs before the payload is parsed, and is pushed into the
-    scan when the statuses are stored columns.  ``data`` is parsed once with
-    ``from_json`` against ``DATA_SCHEMA``; Catalyst prunes the schema to the
-    leaves a downstream query reads.  A missing path, a malformed document or a
-    scalar where an object is expected all give NULL leaves.
+    scan when the statuses are stored columns.  ``data`` is parsed once per row
+    with ``from_json`` against ``DATA_SCHEMA`` (every leaf reads the same parsed
+    struct).  A missing path, a malformed document or a scalar where an object
+    is expected all give NULL leaves.
 
     ``fold_case`` lower-cases the chain names.  The shared dashboard base keeps
     them as written (``fold_case=False``) and each report folds where the

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read_table
+from .tables import read_table, spread
 
 
 def _q(c: Column) -> Column:
@@ -74,7 +74,7 @@ def events_payload(events: DataFrame) -> Column:
 
 def events_fact(spark: SparkSession, data_dir: str) -> DataFrame:
     """Raw fact (``id, created_at, status, simplified_status, data``) over ``events``."""
-    ev = read_table(spark, data_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    ev = spread(read_table(spark, data_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"))
     return ev.select(
         F.col("event_id").alias("id"),
         F.col("ts").alias("created_at"),

@@ -11,9 +11,13 @@ Join plan, written for a fact far larger than memory:
 * every input is column-pruned to the keys and the one payload column it
   contributes, so the shuffles move narrow rows;
 * ``orders`` meets ``customer`` first (the smaller pair), then ``lineitem`` joins
-  that on the order key -- each a sort-merge join unless a side is under
-  ``spark.sql.autoBroadcastJoinThreshold`` (Spark checks the size; AQE
-  re-plans at run time from real shuffle sizes and splits skewed partitions);
+  that on the order key.  Both sides of that join grow with the data, so it is
+  pinned to a sort-merge join (hint): without table statistics Spark sizes a
+  join's output as the product of its inputs and would otherwise broadcast
+  whichever fact file happens to fall under the threshold.  AQE splits skewed
+  partitions of it (``spark.sql.adaptive.skewJoin.enabled``);
+* ``customer``, ``supplier`` and ``part`` join by Spark's size check: broadcast
+  while under ``spark.sql.autoBroadcastJoinThreshold``, sort-merge beyond it;
 * nation keys travel as integers through the big joins and are resolved to
   names last, against the 25-row ``nation`` table, which falls under the
   broadcast threshold and so costs no shuffle.
@@ -43,7 +47,7 @@ def order_lines_base(spark: SparkSession, data_dir: str, service: str = "GMP") -
     customer_orders = orders.join(customer, orders.o_custkey == customer.c_custkey).select(
         "o_orderkey", "o_custkey", "o_orderdate", "c_nationkey")
     joined = (
-        lines.join(customer_orders, lines.l_orderkey == customer_orders.o_orderkey)
+        lines.join(customer_orders.hint("merge"), lines.l_orderkey == customer_orders.o_orderkey)
         .join(supplier, lines.l_suppkey == supplier.s_suppkey)
         .join(part, lines.l_partkey == part.p_partkey)
     )

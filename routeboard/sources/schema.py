@@ -9,8 +9,8 @@ FACT_COLUMNS = ("id", "created_at", "status", "simplified_status", "data")
 
 # Payload paths the reports read, every leaf declared STRING so that numbers,
 # booleans and nested containers all arrive as their JSON text and are typed
-# afterwards by ``strict_double``.  Catalyst prunes this schema down to the
-# leaves a query actually uses.
+# afterwards by ``strict_double``.  Only these paths are materialised; the
+# rest of a document is skipped by the parser.
 DATA_SCHEMA = T.StructType([
     T.StructField("call", T.StructType([
         T.StructField("chain", T.StringType()),
