@@ -38,15 +38,21 @@ def group_median(
     out: str = "median",
     strategy: str = "auto",
     max_group_rows: int = BUILTIN_MAX_GROUP_ROWS,
+    largest_group: int | None = None,
 ) -> DataFrame:
     """``(key, out)``: exact median of non-NULL ``value`` per ``key`` (NULL key is a group).
 
     Keys whose values are all NULL are absent; join back with a left join.
-    ``strategy`` is ``"auto"``, ``"builtin"`` or ``"ranked"``.
+    ``strategy`` is ``"auto"``, ``"builtin"`` or ``"ranked"``.  With ``"auto"``
+    the size of the largest group decides; pass ``largest_group`` (rows with a
+    value in the largest group) when it is already known, to skip the job that
+    measures it.
     """
     vals = df.where(F.col(value).isNotNull()).select(key, value)
     if strategy == "auto":
-        biggest = vals.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+        biggest = largest_group
+        if biggest is None:
+            biggest = vals.groupBy(key).count().agg(F.max("count")).first()[0] or 0
         strategy = "builtin" if biggest <= max_group_rows else "ranked"
     if strategy == "builtin":
         return vals.groupBy(key).agg(F.median(value).alias(out))

@@ -4,13 +4,18 @@ Every report is ``(base, params, ...) -> DataFrame`` and only builds a lazy
 plan.  ``base`` has ``BASE_COLUMNS`` with chain names as written; reports that
 the dashboard shows case-folded fold them here (``fold_case``).
 
-Shape of the work, whatever the input size: each report is one scan of the
-(pruned) base, a partial/final hash aggregation keyed on a small domain
-(time bucket, class, hour x weekday, route), and -- where there is one -- a
-window over that already-aggregated table.  Distinct counts are planned by
-Spark as an expand + two-level aggregation keyed on ``(group, value)``, so a
-hot group is spread over tasks by its distinct values instead of landing in
-one task.
+Each report is split in two: a *measure table* -- one scan of the pruned base
+and one hash aggregation keyed on a small domain (time bucket, user, route,
+hour x weekday) -- and a *finish* step (rounding, classes, windows, order) on
+that already aggregated table.  Standalone, a report computes just the
+measures it needs.  The dashboard (``plans.dashboard``) computes a measure
+table once and finishes several reports from it, e.g. one per-bucket table
+serves the activity, active-chain and moving-average reports.
+
+Distinct counts are planned by Spark as an expand + two-level aggregation
+keyed on ``(group, value)``, so a hot group is spread over tasks by its
+distinct values instead of landing in one task; sums, means and maxima are
+combined map-side before the shuffle.
 """
 
 from __future__ import annotations
@@ -42,7 +47,7 @@ desc = F.desc_nulls_first   # the dashboard's warehouse sorts NULL as the larges
 
 
 def in_range(base: DataFrame, p: ReportParams) -> DataFrame:
-    """Transfers whose date lies in ``[p.start, p.end]`` (pushed to the scan as a timestamp range)."""
+    """Transfers whose date lies in ``[p.start, p.end]`` (pushed to the scan as a range)."""
     return base.where(F.col("created_date").between(F.lit(p.start), F.lit(p.end)))
 
 
@@ -50,31 +55,128 @@ def _volume(col: str = "amount_usd") -> Column:
     return stable_round(F.sum(col))
 
 
+def _chain(name: str, fold_case: bool) -> Column:
+    return fold(F.col(name), fold_case)
+
+
+def _route(fold_case: bool) -> Column:
+    return route_label(_chain("source_chain", fold_case), _chain("destination_chain", fold_case))
+
+
+def _measures(names: Sequence[str], catalog: dict[str, Column]) -> list[Column]:
+    return [catalog[n].alias(n) for n in names]
+
+
+# --- measure tables ----------------------------------------------------------
+OVERALL_MEASURES = ("total_transactions", "unique_users", "number_of_sources", "number_of_destinations",
+                    "_sum_usd", "_avg_usd", "_max_usd")
+
+
+def overall_measures(base: DataFrame, p: ReportParams, names: Sequence[str] = OVERALL_MEASURES,
+                     fold_case: bool = True) -> DataFrame:
+    """One row of whole-range measures (a global aggregate: one row even when empty)."""
+    catalog = {
+        "total_transactions": F.count_distinct("id"),
+        "unique_users": F.count_distinct("user_address"),
+        "number_of_sources": F.count_distinct(_chain("source_chain", fold_case)),
+        "number_of_destinations": F.count_distinct(_chain("destination_chain", fold_case)),
+        "_sum_usd": F.sum("amount_usd"),
+        "_avg_usd": F.avg("amount_usd"),
+        "_max_usd": F.max("amount_usd"),
+    }
+    return in_range(base, p).agg(*_measures(names, catalog))
+
+
+BUCKET_MEASURES = ("total_transactions", "unique_users", "sources", "destinations", "_sum_usd")
+
+
+def bucket_measures(base: DataFrame, p: ReportParams, names: Sequence[str] = BUCKET_MEASURES,
+                    fold_case: bool = True) -> DataFrame:
+    """One row per time bucket of ``p.grain`` (column ``date``)."""
+    catalog = {
+        "total_transactions": F.count_distinct("id"),
+        "unique_users": F.count_distinct("user_address"),
+        "sources": F.count_distinct(_chain("source_chain", fold_case)),
+        "destinations": F.count_distinct(_chain("destination_chain", fold_case)),
+        "_sum_usd": F.sum("amount_usd"),
+    }
+    return (
+        in_range(base, p)
+        .groupBy(time_bucket("created_date", p.grain).alias("date"))
+        .agg(*_measures(names, catalog))
+    )
+
+
+USER_MEASURES = ("_txns", "_days", "_paths")
+
+
+def user_measures(base: DataFrame, p: ReportParams, names: Sequence[str] = USER_MEASURES,
+                  fold_case: bool = True) -> DataFrame:
+    """One row per user (the NULL user included): transfers, active days, routes."""
+    catalog = {
+        "_txns": F.count_distinct("id"),
+        "_days": F.count_distinct("created_date"),
+        "_paths": F.count_distinct(_route(fold_case)),
+    }
+    return in_range(base, p).groupBy("user_address").agg(*_measures(names, catalog))
+
+
+ROUTE_MEASURES = ("active_days", "number_of_transfers", "number_of_users", "transferred_tokens",
+                  "_sum_usd", "_avg_usd", "_max_usd", "_n_usd")
+
+
+def route_measures(base: DataFrame, p: ReportParams, names: Sequence[str] = ROUTE_MEASURES,
+                   fold_case: bool = False) -> DataFrame:
+    """One row per route label ``path`` (NULL when a chain is NULL; the NULL route is a group)."""
+    catalog = {
+        "active_days": F.count_distinct("created_date"),
+        "number_of_transfers": F.count_distinct("id"),
+        "number_of_users": F.count_distinct("user_address"),
+        "transferred_tokens": F.count_distinct("raw_asset"),
+        "_sum_usd": F.sum("amount_usd"),
+        "_avg_usd": F.avg("amount_usd"),
+        "_max_usd": F.max("amount_usd"),
+        "_n_usd": F.count("amount_usd"),
+    }
+    return in_range(base, p).groupBy(_route(fold_case).alias("path")).agg(*_measures(names, catalog))
+
+
+def route_medians(base: DataFrame, p: ReportParams, fold_case: bool = False,
+                  strategy: str = "auto", measures: DataFrame | None = None) -> DataFrame:
+    """``(path, _median_usd)``: exact median transfer value per route.
+
+    ``measures`` (a ``route_measures`` table with ``_n_usd``) supplies the size
+    of the largest route, so choosing the median strategy costs no extra scan.
+    """
+    rows = in_range(base, p).select(_route(fold_case).alias("path"), "amount_usd")
+    largest = None
+    if measures is not None and strategy == "auto":
+        largest = measures.agg(F.max("_n_usd")).first()[0] or 0
+    return group_median(rows, "path", "amount_usd", "_median_usd", strategy=strategy,
+                        largest_group=largest)
+
+
 # --- R01 -------------------------------------------------------------------
-def overview_kpis(base: DataFrame, p: ReportParams) -> DataFrame:
+def overview_kpis(base: DataFrame, p: ReportParams, measures: DataFrame | None = None) -> DataFrame:
     """One row: transfers, users, volume, volume per user."""
-    return in_range(base, p).agg(
-        F.count_distinct("id").alias("total_transactions"),
-        F.count_distinct("user_address").alias("unique_users"),
-        _volume().alias("total_volume"),
-        stable_round(safe_ratio(F.sum("amount_usd"), F.count_distinct("user_address")))
-        .alias("average_volume_per_user"),
+    m = measures if measures is not None else overall_measures(
+        base, p, ("total_transactions", "unique_users", "_sum_usd"))
+    return m.select(
+        "total_transactions",
+        "unique_users",
+        stable_round("_sum_usd").alias("total_volume"),
+        stable_round(safe_ratio("_sum_usd", "unique_users")).alias("average_volume_per_user"),
     )
 
 
 # --- R02 -------------------------------------------------------------------
-def activity_over_time(base: DataFrame, p: ReportParams) -> DataFrame:
+def activity_over_time(base: DataFrame, p: ReportParams, measures: DataFrame | None = None) -> DataFrame:
     """Transfers, users and volume per time bucket."""
-    return (
-        in_range(base, p)
-        .groupBy(time_bucket("created_date", p.grain).alias("date"))
-        .agg(
-            F.count_distinct("id").alias("total_transactions"),
-            F.count_distinct("user_address").alias("unique_users"),
-            _volume().alias("total_volume"),
-        )
-        .orderBy(asc("date"))
-    )
+    m = measures if measures is not None else bucket_measures(
+        base, p, ("total_transactions", "unique_users", "_sum_usd"))
+    return m.select(
+        "date", "total_transactions", "unique_users", stable_round("_sum_usd").alias("total_volume"),
+    ).orderBy(asc("date"))
 
 
 # --- R03 -------------------------------------------------------------------
@@ -101,28 +203,25 @@ def quarterly_cumulative(base: DataFrame, p: ReportParams, years: tuple[int, int
 
 
 # --- R04 -------------------------------------------------------------------
-def chain_kpis(base: DataFrame, p: ReportParams, fold_case: bool = True) -> DataFrame:
+def chain_kpis(base: DataFrame, p: ReportParams, fold_case: bool = True,
+               measures: DataFrame | None = None) -> DataFrame:
     """One row: distinct sources, destinations, mean and max transfer value."""
-    return in_range(base, p).agg(
-        F.count_distinct(fold(F.col("source_chain"), fold_case)).alias("number_of_sources"),
-        F.count_distinct(fold(F.col("destination_chain"), fold_case)).alias("number_of_destinations"),
-        stable_round(F.avg("amount_usd")).alias("average_volume"),
-        stable_round(F.max("amount_usd")).alias("max_volume"),
+    m = measures if measures is not None else overall_measures(
+        base, p, ("number_of_sources", "number_of_destinations", "_avg_usd", "_max_usd"), fold_case)
+    return m.select(
+        "number_of_sources",
+        "number_of_destinations",
+        stable_round("_avg_usd").alias("average_volume"),
+        stable_round("_max_usd").alias("max_volume"),
     )
 
 
 # --- R05 -------------------------------------------------------------------
-def active_chains(base: DataFrame, p: ReportParams, fold_case: bool = True) -> DataFrame:
+def active_chains(base: DataFrame, p: ReportParams, fold_case: bool = True,
+                  measures: DataFrame | None = None) -> DataFrame:
     """Distinct source and destination chains per time bucket."""
-    return (
-        in_range(base, p)
-        .groupBy(time_bucket("created_date", p.grain).alias("date"))
-        .agg(
-            F.count_distinct(fold(F.col("source_chain"), fold_case)).alias("sources"),
-            F.count_distinct(fold(F.col("destination_chain"), fold_case)).alias("destinations"),
-        )
-        .orderBy(asc("date"))
-    )
+    m = measures if measures is not None else bucket_measures(base, p, ("sources", "destinations"), fold_case)
+    return m.select("date", "sources", "destinations").orderBy(asc("date"))
 
 
 # --- R06 -------------------------------------------------------------------
@@ -130,18 +229,16 @@ MOVING_WINDOWS = ((5, "avg_30_day_moving"), (9, "avg_60_day_moving"), (13, "avg_
 
 
 def moving_average(base: DataFrame, p: ReportParams,
-                   windows: Sequence[tuple[int, str]] = MOVING_WINDOWS) -> DataFrame:
+                   windows: Sequence[tuple[int, str]] = MOVING_WINDOWS,
+                   measures: DataFrame | None = None) -> DataFrame:
     """Rounded volume per bucket and trailing means over the last n *buckets*.
 
     The windows count rows, whatever the grain, and empty buckets are not
     filled in (the dashboard's "30/60/90 day" labels are 5/9/13 buckets).
     The window runs over the aggregated series: one row per bucket.
     """
-    series = (
-        in_range(base, p)
-        .groupBy(time_bucket("created_date", p.grain).alias("date"))
-        .agg(_volume().alias("usd_volume"))
-    )
+    m = measures if measures is not None else bucket_measures(base, p, ("_sum_usd",))
+    series = m.select("date", stable_round("_sum_usd").alias("usd_volume"))
     cols = [F.col("date"), F.col("usd_volume")]
     for size, name in windows:
         trailing = Window.orderBy("date").rowsBetween(-(size - 1), Window.currentRow)
@@ -150,46 +247,48 @@ def moving_average(base: DataFrame, p: ReportParams,
 
 
 # --- R07, R10, R11, R12: users per activity class ----------------------------
-def users_per_class(rows: DataFrame, measure: Column, classes: Sequence[CountClass],
+def users_per_class(per_user: DataFrame, measure: str, classes: Sequence[CountClass],
                     label: str) -> DataFrame:
-    """Per user: ``measure``; per class of that measure: distinct users.
+    """Users per class of a per-user measure.
 
-    The NULL user is a group of its own that adds no user to its class.  After
-    the per-user aggregation every user is one row, so counting non-NULL users
-    per class is the distinct count -- without a second distinct aggregation.
+    ``per_user`` has one row per user (the NULL user is a group of its own that
+    adds no user to its class), so counting non-NULL users per class is the
+    distinct count -- without a second distinct aggregation.
     """
-    per_user = rows.groupBy("user_address").agg(measure.alias("_n"))
     return (
-        per_user.groupBy(bucketize("_n", classes).alias(label))
+        per_user.groupBy(bucketize(measure, classes).alias(label))
         .agg(F.count("user_address").alias("number_of_users"))
         .orderBy(desc("number_of_users"), asc(label))
     )
 
 
-def txn_ranges(base: DataFrame, p: ReportParams = CLASS_WINDOW) -> DataFrame:
+def txn_ranges(base: DataFrame, p: ReportParams = CLASS_WINDOW, measures: DataFrame | None = None) -> DataFrame:
     """Users per range of transfer count (1, 2, 3-5, ... >50).
 
     The dashboard always uses 2022-11-01..2025-08-31 here, whatever the page
     range; that window is the default.
     """
-    return users_per_class(in_range(base, p), F.count_distinct("id"), TXN_RANGE_CLASSES, "class")
+    m = measures if measures is not None else user_measures(base, p, ("_txns",))
+    return users_per_class(m, "_txns", TXN_RANGE_CLASSES, "class")
 
 
-def txn_exact(base: DataFrame, p: ReportParams) -> DataFrame:
+def txn_exact(base: DataFrame, p: ReportParams, measures: DataFrame | None = None) -> DataFrame:
     """Users per exact transfer count 1..10, then >10."""
-    return users_per_class(in_range(base, p), F.count_distinct("id"), TXN_EXACT_CLASSES, "number_of_txns")
+    m = measures if measures is not None else user_measures(base, p, ("_txns",))
+    return users_per_class(m, "_txns", TXN_EXACT_CLASSES, "number_of_txns")
 
 
-def active_days(base: DataFrame, p: ReportParams) -> DataFrame:
+def active_days(base: DataFrame, p: ReportParams, measures: DataFrame | None = None) -> DataFrame:
     """Users per number of distinct active days 1..10, then >10."""
-    return users_per_class(in_range(base, p), F.count_distinct("created_date"), DAY_EXACT_CLASSES,
-                           "days_of_activity")
+    m = measures if measures is not None else user_measures(base, p, ("_days",))
+    return users_per_class(m, "_days", DAY_EXACT_CLASSES, "days_of_activity")
 
 
-def paths_per_user(base: DataFrame, p: ReportParams, fold_case: bool = True) -> DataFrame:
+def paths_per_user(base: DataFrame, p: ReportParams, fold_case: bool = True,
+                   measures: DataFrame | None = None) -> DataFrame:
     """Users per number of distinct routes 1..10, then >10 (routes case-folded)."""
-    route = route_label(fold(F.col("source_chain"), fold_case), fold(F.col("destination_chain"), fold_case))
-    return users_per_class(in_range(base, p), F.count_distinct(route), PATH_EXACT_CLASSES, "number_of_paths")
+    m = measures if measures is not None else user_measures(base, p, ("_paths",), fold_case)
+    return users_per_class(m, "_paths", PATH_EXACT_CLASSES, "number_of_paths")
 
 
 # --- R08, R09: first-seen users ----------------------------------------------
@@ -201,22 +300,29 @@ def first_seen(base: DataFrame) -> DataFrame:
     return base.groupBy("user_address").agg(F.min("created_date").alias("first_txn_date"))
 
 
-def _new_users_in_range(base: DataFrame, p: ReportParams) -> DataFrame:
-    return first_seen(base).where(F.col("first_txn_date").between(F.lit(p.start), F.lit(p.end)))
+def daily_new_users(base: DataFrame, p: ReportParams) -> DataFrame:
+    """``(date, new_users)`` for each day in range on which some user was first seen.
 
+    ``first_seen`` has one row per user, so new users per day are a plain count
+    of non-NULL users (the NULL user adds nothing, as in a distinct count).
+    """
+    return (
+        first_seen(base)
+        .where(F.col("first_txn_date").between(F.lit(p.start), F.lit(p.end)))
+        .groupBy(F.col("first_txn_date").alias("date"))
+        .agg(F.count("user_address").alias("new_users"))
+    )
 
-def _new_users() -> Column:
-    """``first_seen`` has one row per user, so new users per bucket are a plain
-    count of non-NULL users (the NULL user adds nothing, as in a distinct count)."""
-    return F.count("user_address")
 
+def new_users(base: DataFrame, p: ReportParams, daily: DataFrame | None = None) -> DataFrame:
+    """Users whose first transfer falls in each bucket, and the running total.
 
-def new_users(base: DataFrame, p: ReportParams) -> DataFrame:
-    """Users whose first transfer falls in each bucket, and the running total."""
+    A user has one first date, so a bucket's new users are the sum of its days'.
+    """
+    d = daily if daily is not None else daily_new_users(base, p)
     per_bucket = (
-        _new_users_in_range(base, p)
-        .groupBy(time_bucket("first_txn_date", p.grain).alias("date"))
-        .agg(_new_users().alias("new_users"))
+        d.groupBy(time_bucket("date", p.grain).alias("date"))
+        .agg(F.sum("new_users").cast("bigint").alias("new_users"))
     )
     running = Window.orderBy("date")
     return (
@@ -225,17 +331,10 @@ def new_users(base: DataFrame, p: ReportParams) -> DataFrame:
     )
 
 
-def daily_new_users(base: DataFrame, p: ReportParams) -> DataFrame:
-    return (
-        _new_users_in_range(base, p)
-        .groupBy(F.col("first_txn_date").alias("date"))
-        .agg(_new_users().alias("new_users"))
-    )
-
-
-def new_user_kpis(base: DataFrame, p: ReportParams) -> DataFrame:
+def new_user_kpis(base: DataFrame, p: ReportParams, daily: DataFrame | None = None) -> DataFrame:
     """One row: new users in range, and their mean per day that had any."""
-    return daily_new_users(base, p).agg(
+    d = daily if daily is not None else daily_new_users(base, p)
+    return d.agg(
         F.sum("new_users").cast("bigint").alias("cumulative_new_users"),
         stable_round(F.avg("new_users")).alias("average_daily_new_users"),
     )
@@ -254,23 +353,11 @@ def heatmap(base: DataFrame, p: ReportParams) -> DataFrame:
 
 # --- R14 -------------------------------------------------------------------
 def route_profile(base: DataFrame, p: ReportParams, fold_case: bool = False,
-                  median_strategy: str = "auto") -> DataFrame:
+                  median_strategy: str = "auto", measures: DataFrame | None = None,
+                  medians: DataFrame | None = None) -> DataFrame:
     """Per route: activity, users, tokens, and volume statistics (not case-folded)."""
-    rows = in_range(base, p).select(
-        route_label(fold(F.col("source_chain"), fold_case), fold(F.col("destination_chain"), fold_case))
-        .alias("path"),
-        "created_date", "id", "user_address", "raw_asset", "amount_usd",
-    )
-    stats = rows.groupBy("path").agg(
-        F.count_distinct("created_date").alias("active_days"),
-        F.count_distinct("id").alias("number_of_transfers"),
-        F.count_distinct("user_address").alias("number_of_users"),
-        F.count_distinct("raw_asset").alias("transferred_tokens"),
-        F.sum("amount_usd").alias("_sum"),
-        F.avg("amount_usd").alias("_avg"),
-        F.max("amount_usd").alias("_max"),
-    )
-    med = group_median(rows, "path", "amount_usd", "_median", strategy=median_strategy)
+    stats = measures if measures is not None else route_measures(base, p, fold_case=fold_case)
+    med = medians if medians is not None else route_medians(base, p, fold_case, median_strategy, stats)
     med = med.withColumnRenamed("path", "_mpath")
     joined = stats.join(med, stats.path.eqNullSafe(med._mpath), "left")
     return joined.select(
@@ -280,11 +367,11 @@ def route_profile(base: DataFrame, p: ReportParams, fold_case: bool = False,
         "number_of_users",
         stable_round(safe_ratio("number_of_users", "active_days")).alias("avg_daily_users"),
         "transferred_tokens",
-        stable_round("_sum").alias("volume_usd"),
-        stable_round("_avg").alias("avg_volume_usd"),
-        stable_round("_median").alias("median_volume_usd"),
-        stable_round("_max").alias("max_volume_usd"),
-        stable_round(safe_ratio("_sum", "active_days")).alias("avg_daily_volume_usd"),
+        stable_round("_sum_usd").alias("volume_usd"),
+        stable_round("_avg_usd").alias("avg_volume_usd"),
+        stable_round("_median_usd").alias("median_volume_usd"),
+        stable_round("_max_usd").alias("max_volume_usd"),
+        stable_round(safe_ratio("_sum_usd", "active_days")).alias("avg_daily_volume_usd"),
     ).orderBy(desc("active_days"), asc("path"))
 
 
@@ -295,8 +382,8 @@ def source_destination(base: DataFrame, p: ReportParams, fold_case: bool = True)
         in_range(base, p)
         .where(F.col("amount_usd").isNotNull())
         .groupBy(
-            fold(F.col("source_chain"), fold_case).alias("source_chain"),
-            fold(F.col("destination_chain"), fold_case).alias("destination_chain"),
+            _chain("source_chain", fold_case).alias("source_chain"),
+            _chain("destination_chain", fold_case).alias("destination_chain"),
         )
         .agg(_volume().alias("volume_usd"), F.count_distinct("id").alias("number_of_transactions"))
         .orderBy(desc("volume_usd"), asc("number_of_transactions"), asc("source_chain"),
@@ -305,17 +392,12 @@ def source_destination(base: DataFrame, p: ReportParams, fold_case: bool = True)
 
 
 # --- R16 -------------------------------------------------------------------
-def route_totals(base: DataFrame, p: ReportParams, fold_case: bool = False) -> DataFrame:
+def route_totals(base: DataFrame, p: ReportParams, fold_case: bool = False,
+                 measures: DataFrame | None = None) -> DataFrame:
     """Transfers, users and volume per route (not case-folded)."""
-    return (
-        in_range(base, p)
-        .groupBy(
-            route_label(fold(F.col("source_chain"), fold_case), fold(F.col("destination_chain"), fold_case))
-            .alias("path"))
-        .agg(
-            F.count_distinct("id").alias("number_of_transfers"),
-            F.count_distinct("user_address").alias("number_of_users"),
-            _volume().alias("volume_of_transfers_usd"),
-        )
-        .orderBy(desc("number_of_transfers"), asc("path"))
-    )
+    m = measures if measures is not None else route_measures(
+        base, p, ("number_of_transfers", "number_of_users", "_sum_usd"), fold_case)
+    return m.select(
+        "path", "number_of_transfers", "number_of_users",
+        stable_round("_sum_usd").alias("volume_of_transfers_usd"),
+    ).orderBy(desc("number_of_transfers"), asc("path"))

@@ -37,3 +37,23 @@ def test_same_as_standalone_query(spark, run, report):
     standalone = QUERIES[f"{report}_events"](spark, SF_SMALL).collect()
     key = lambda r: tuple((v is None, str(v)) for v in r)
     assert sorted(results[report], key=key) == sorted(standalone, key=key)
+
+
+@pytest.fixture(scope="module")
+def orders_run(spark):
+    from routeboard.plans.catalog import PAGE
+    from routeboard.sources.order_lines import order_lines_base
+    dash = Dashboard.from_base(order_lines_base(spark, SF_SMALL), PAGE)
+    results, _ = dash.run(parallel=4)
+    return results
+
+
+ORDERS_TABLES = [n for n in REPORT_NAMES if n != "r13_heatmap"] + [
+    n for n in DERIVED_NAMES if not n.startswith(("d1", "d2"))]
+
+
+@pytest.mark.parametrize("name", ORDERS_TABLES)
+def test_fused_dashboard_equals_standalone(spark, orders_run, name):
+    standalone = QUERIES[name](spark, SF_SMALL).collect()
+    key = lambda r: tuple((v is None, str(v)) for v in r)
+    assert sorted(orders_run[name], key=key) == sorted(standalone, key=key)
