@@ -47,15 +47,18 @@ _FEEDS = ("r07_txn_ranges", "r10_txn_exact", "r11_active_days", "r12_paths_per_u
           "r13_heatmap", "r14_route_profile", "r16_route_totals")
 
 
-def materialize_base(base: DataFrame, cluster: bool = True) -> DataFrame:
+def materialize_base(base: DataFrame, cluster: bool = False) -> DataFrame:
     """Write the normalised relation once and read it back.
 
-    With ``cluster`` the rows are range-partitioned on ``(created_date, row
-    hash)`` before the write: every file then covers a narrow span of dates,
-    so a report's date range skips whole files through Parquet statistics,
-    and the hash tie-break lets a date holding a large share of all transfers
-    spread over many files instead of one.  Without it each task writes its
-    own rows, sorted by date (no shuffle).
+    By default each task writes its own rows sorted by date (no shuffle).  A
+    transfer fact is appended in time order, so a task's input -- and the file
+    it writes -- covers a narrow span of dates, and Parquet statistics let a
+    report's date range skip row groups.  ``cluster=True`` is for facts that are
+    not stored in time order: rows are range-partitioned on ``(created_date,
+    row hash)`` first, so every file covers a narrow date span whatever the
+    input order (the hash tie-break spreads a date holding a large share of all
+    transfers over many files).  It costs one shuffle of the base plus the
+    sampling pass that range partitioning makes over its input.
     """
     cols = base.select(*BASE_COLUMNS)
     cluster_by = (F.col("created_date"), F.xxhash64(*BASE_COLUMNS)) if cluster else ()
@@ -74,16 +77,16 @@ class Dashboard:
 
     @classmethod
     def from_fact(cls, fact: DataFrame, params: ReportParams = ReportParams(),
-                  materialize: bool = True, **kw) -> "Dashboard":
+                  materialize: bool = True, cluster: bool = False, **kw) -> "Dashboard":
         """From a raw fact (``id, created_at, status, simplified_status, data``)."""
         base = normalize(fact, fold_case=False)
-        return cls(materialize_base(base) if materialize else base, params, **kw)
+        return cls(materialize_base(base, cluster) if materialize else base, params, **kw)
 
     @classmethod
     def from_base(cls, base: DataFrame, params: ReportParams = ReportParams(),
-                  materialize: bool = True, **kw) -> "Dashboard":
+                  materialize: bool = True, cluster: bool = False, **kw) -> "Dashboard":
         """From an already normalised relation (``BASE_COLUMNS``, chains unfolded)."""
-        return cls(materialize_base(base) if materialize else base, params, **kw)
+        return cls(materialize_base(base, cluster) if materialize else base, params, **kw)
 
     # -- lazily built plans --------------------------------------------------
     def shared_plans(self) -> dict[str, Callable[[], DataFrame]]:

@@ -58,4 +58,5 @@ def write_and_reload(df: DataFrame, name: str, sort_by: tuple[str, ...] = (),
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    # the schema is known: no inference pass over the written footers
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -57,3 +57,14 @@ def test_fused_dashboard_equals_standalone(spark, orders_run, name):
     standalone = QUERIES[name](spark, SF_SMALL).collect()
     key = lambda r: tuple((v is None, str(v)) for v in r)
     assert sorted(orders_run[name], key=key) == sorted(standalone, key=key)
+
+
+def test_clustered_base_same_rows(spark):
+    from routeboard.plans.dashboard import materialize_base
+    from routeboard.sources.order_lines import order_lines_base
+    from routeboard.sources.schema import BASE_COLUMNS
+    base = order_lines_base(spark, SF_SMALL).select(*BASE_COLUMNS)
+    clustered = materialize_base(base, cluster=True)
+    plain = materialize_base(base)
+    assert clustered.count() == plain.count() == base.count()
+    assert clustered.exceptAll(plain).count() == 0
