@@ -103,6 +103,15 @@ class Dashboard:
             plans["m_users_class_window"] = lambda: reports.user_measures(b, self.class_window, ("_txns",))
         return plans
 
+    def direct_plans(self) -> dict[str, Callable[[], DataFrame]]:
+        """Reports with a grouping of their own: each reads the base directly."""
+        b, p = self.base, self.params
+        return {
+            "r03_quarterly_cumulative": lambda: reports.quarterly_cumulative(b, p),
+            "r13_heatmap": lambda: reports.heatmap(b, p),
+            "r15_source_destination": lambda: reports.source_destination(b, p),
+        }
+
     def report_plans(self, m: dict[str, DataFrame]) -> dict[str, Callable[[], DataFrame]]:
         """The sixteen reports, finished from the shared measure tables ``m`` where they can be."""
         b, p = self.base, self.params
@@ -145,7 +154,8 @@ class Dashboard:
     # -- execution -------------------------------------------------------------
     def run(self, action: Callable[[DataFrame], object] | None = None,
             parallel: int = 1) -> tuple[dict[str, object], dict[str, float]]:
-        """Build the shared measure tables, then every report, then every derived table.
+        """Build the shared measure tables (with the reports that need none), then the
+        other reports, then every derived table.
 
         Measure tables are persisted (MEMORY_AND_DISK; a lost block is
         recomputed from the materialised base) and released at the end.
@@ -169,20 +179,24 @@ class Dashboard:
             results[name] = act(df)
             seconds[name] = time.perf_counter() - t0
 
-        def run_all(plans: dict[str, Callable[[], DataFrame]], keep: tuple[str, ...], act=action) -> None:
+        def run_all(plans: dict[str, Callable[[], DataFrame]], keep: tuple[str, ...],
+                    act_for: Callable[[str], Callable[[DataFrame], object]] = lambda _: action) -> None:
             if parallel <= 1:
                 for name, make in plans.items():
-                    timed(name, make, name in keep, act)
+                    timed(name, make, name in keep, act_for(name))
                 return
             with ThreadPoolExecutor(max_workers=parallel) as pool:
-                futures = [pool.submit(timed, n, m, n in keep, act) for n, m in plans.items()]
+                futures = [pool.submit(timed, n, m, n in keep, act_for(n)) for n, m in plans.items()]
                 for f in futures:
                     f.result()
 
-        shared = self.shared_plans()
-        run_all(shared, tuple(shared), lambda df: df.count())
+        # measure tables, and the reports that read only the base, start together
+        shared, direct = self.shared_plans(), self.direct_plans()
+        run_all({**shared, **direct}, tuple(shared) + _FEEDS,
+                lambda n: (lambda df: df.count()) if n in shared else action)
         measures = {n: frames[n] for n in shared}
-        run_all(self.report_plans(measures), _FEEDS)
+        rest = {n: make for n, make in self.report_plans(measures).items() if n not in direct}
+        run_all(rest, _FEEDS)
         run_all(self.derived_plans(frames), ())
         for df in frames.values():
             df.unpersist()
