@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.numeric import strict_double
 from ..sources.schema import DATA_SCHEMA
 
+# The status pair that marks a successful transfer, and the
+# service tag stamped on every normalised row.
 SUCCESS_STATUS = "executed"
 SUCCESS_SIMPLIFIED_STATUS = "received"
+SERVICE_TAG = "GMP"
 
 
 def success_filter() -> Column:
@@ -21,7 +24,7 @@ def fold(c: Column, fold_case: bool) -> Column:
     return F.lower(c) if fold_case else c
 
 
-def normalize(fact: DataFrame, fold_case: bool = True, service: str = "GMP") -> DataFrame:
+def normalize(fact: DataFrame, fold_case: bool = True, service: str = SERVICE_TAG) -> DataFrame:
     """Successful transfers with payload fields extracted and typed.
 
     ``fact`` has ``id, created_at, status, simplified_status, data`` (JSON text).

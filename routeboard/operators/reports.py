@@ -225,6 +225,8 @@ def active_chains(base: DataFrame, p: ReportParams, fold_case: bool = True,
 
 
 # --- R06 -------------------------------------------------------------------
+# Trailing window sizes in buckets and the names the dashboard
+# gives them ("30/60/90 day" whatever the grain).
 MOVING_WINDOWS = ((5, "avg_30_day_moving"), (9, "avg_60_day_moving"), (13, "avg_90_day_moving"))
 
 

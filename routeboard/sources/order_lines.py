@@ -28,13 +28,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.normalize import SERVICE_TAG
 from .tables import read_table
 
 # Fixed value: days added to every order date (1995-01-01 becomes 2022-01-01).
 DATE_SHIFT_DAYS = 9862
 
 
-def order_lines_base(spark: SparkSession, data_dir: str, service: str = "GMP") -> DataFrame:
+def order_lines_base(spark: SparkSession, data_dir: str, service: str = SERVICE_TAG) -> DataFrame:
     """Normalised relation (``BASE_COLUMNS``), chains unfolded (nation names as stored)."""
     orders = read_table(spark, data_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customer = read_table(spark, data_dir, "customer").select("c_custkey", "c_nationkey")
