@@ -30,3 +30,31 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, app: st
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def cluster_conf(total_cores: int, checkpoint_dir: str) -> dict[str, str]:
+    """Settings for running the dashboard on a large cluster (``total_cores`` executor cores).
+
+    * Shuffles start wide (about 3 partitions per core) and AQE coalesces them
+      to ~256 MB each, so an aggregation's final stage neither spills because
+      partitions are too big nor drowns in tiny tasks.
+    * Scans split files at 256 MB; the normalised base is narrow, so one scan
+      task still covers many row groups.
+    * AQE splits a join partition 5x larger than the median once it passes
+      512 MB -- the fact join's answer to a hot order key.
+    * Broadcast stays at Spark's size check: dimension tables under 64 MB are
+      shipped, anything larger is shuffled.
+    * ``spark.checkpoint.dir`` must be shared storage (HDFS / object store):
+      the materialised base and the median's checkpoints live there.
+    """
+    return {
+        **RECOMMENDED_CONF,
+        "spark.sql.shuffle.partitions": str(max(200, 3 * total_cores)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.checkpoint.dir": checkpoint_dir,
+    }
