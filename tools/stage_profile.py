@@ -7,9 +7,10 @@ read in total and by the busiest task, and task times.  Used to check that a
 hot key does not end up in one task.
 
 ``python tools/stage_profile.py`` runs the skew check below and prints JSON:
-the order-lines relation with one route forced to hold a third of all rows,
-then the route measures, the distributed median, and -- as a control -- a
-per-route window, which must put that third into a single task.
+the order-lines relation with one route and one user forced to hold a third
+of all rows, then the route measures, the distributed median, the per-user
+measures, the first-seen table, and -- as a control -- a per-route window,
+which must put that third into a single task.
 """
 
 from __future__ import annotations
@@ -87,14 +88,16 @@ def read_log(log_dir: str) -> dict[str, list[dict]]:
 
 
 def skewed_routes(spark, data_dir: str):
-    """Order lines where every third transfer moves onto one route."""
+    """Order lines where every third transfer moves onto one route and one user."""
     from routeboard.sources.order_lines import order_lines_base
     base = order_lines_base(spark, data_dir)
     hot = F.col("id") % 3 == 0
+    moved = ("source_chain", "destination_chain", "user_address")
     return base.select(
-        *[c for c in base.columns if c not in ("source_chain", "destination_chain")],
+        *[c for c in base.columns if c not in moved],
         F.when(hot, F.lit("HOT_SRC")).otherwise(F.col("source_chain")).alias("source_chain"),
         F.when(hot, F.lit("HOT_DST")).otherwise(F.col("destination_chain")).alias("destination_chain"),
+        F.when(hot, F.lit("HOT_USER")).otherwise(F.col("user_address")).alias("user_address"),
     )
 
 
@@ -110,12 +113,19 @@ def skew_check(data_dir: str = "/root/testdata/sf0.01") -> dict[str, list[dict]]
     def ranked_median(spark):
         R.route_medians(rows(spark), PAGE, strategy="ranked").write.format("noop").mode("overwrite").save()
 
+    def user_measures(spark):
+        R.user_measures(rows(spark), PAGE).write.format("noop").mode("overwrite").save()
+
+    def first_seen(spark):
+        R.daily_new_users(skewed_routes(spark, data_dir), PAGE).write.format("noop").mode("overwrite").save()
+
     def per_route_window(spark):
         r = rows(spark).select(R._route(False).alias("path"), "amount_usd")
         ranked = r.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("amount_usd")))
         ranked.write.format("noop").mode("overwrite").save()
 
     return profile({"route_measures": measures, "ranked_median": ranked_median,
+                    "user_measures": user_measures, "first_seen": first_seen,
                     "control_per_route_window": per_route_window})
 
 
