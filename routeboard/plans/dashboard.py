@@ -47,9 +47,13 @@ _FEEDS = ("r07_txn_ranges", "r10_txn_exact", "r11_active_days", "r12_paths_per_u
           "r13_heatmap", "r14_route_profile", "r16_route_totals")
 
 
-def materialize_base(base: DataFrame, cluster: bool = False) -> DataFrame:
+def materialize_base(base: DataFrame, cluster: bool = False, path: str | None = None) -> DataFrame:
     """Write the normalised relation once and read it back.
 
+    ``path`` is a location the caller manages (overwritten); by default a new
+    folder under the shared checkpoint directory, which the caller removes
+    with the rest of that directory's contents.
+
     By default each task writes its own rows sorted by date (no shuffle).  A
     transfer fact is appended in time order, so a task's input -- and the file
     it writes -- covers a narrow span of dates, and Parquet statistics let a
@@ -62,7 +66,7 @@ def materialize_base(base: DataFrame, cluster: bool = False) -> DataFrame:
     """
     cols = base.select(*BASE_COLUMNS)
     cluster_by = (F.col("created_date"), F.xxhash64(*BASE_COLUMNS)) if cluster else ()
-    return write_and_reload(cols, "base", sort_by=("created_date",), cluster_by=cluster_by)
+    return write_and_reload(cols, "base", sort_by=("created_date",), cluster_by=cluster_by, path=path)
 
 
 class Dashboard:
@@ -190,16 +194,18 @@ class Dashboard:
                 for f in futures:
                     f.result()
 
-        # measure tables, and the reports that read only the base, start together
         shared, direct = self.shared_plans(), self.direct_plans()
-        run_all({**shared, **direct}, tuple(shared) + _FEEDS,
-                lambda n: (lambda df: df.count()) if n in shared else action)
-        measures = {n: frames[n] for n in shared}
-        rest = {n: make for n, make in self.report_plans(measures).items() if n not in direct}
-        run_all(rest, _FEEDS)
-        run_all(self.derived_plans(frames), ())
-        for df in frames.values():
-            df.unpersist()
+        try:
+            # measure tables, and the reports that read only the base, start together
+            run_all({**shared, **direct}, tuple(shared) + _FEEDS,
+                    lambda n: (lambda df: df.count()) if n in shared else action)
+            measures = {n: frames[n] for n in shared}
+            rest = {n: make for n, make in self.report_plans(measures).items() if n not in direct}
+            run_all(rest, _FEEDS)
+            run_all(self.derived_plans(frames), ())
+        finally:
+            for df in frames.values():
+                df.unpersist()
         for n in shared:
             results.pop(n, None)
         return results, seconds

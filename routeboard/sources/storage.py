@@ -41,7 +41,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def write_and_reload(df: DataFrame, name: str, sort_by: tuple[str, ...] = (),
-                     partition_by: tuple[str, ...] = (), cluster_by=()) -> DataFrame:
+                     partition_by: tuple[str, ...] = (), cluster_by=(), path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and scan it back.
 
     Cuts the lineage (a lost executor re-reads files instead of recomputing
@@ -51,10 +51,11 @@ def write_and_reload(df: DataFrame, name: str, sort_by: tuple[str, ...] = (),
     ``sort_by`` is a per-task sort that tightens Parquet min/max statistics
     on the filter column.
     """
-    path = scratch_path(df.sparkSession, name)
+    mode = "overwrite" if path else "errorifexists"
+    path = path or scratch_path(df.sparkSession, name)
     out = df.repartitionByRange(*cluster_by) if cluster_by else df
     out = out.sortWithinPartitions(*sort_by) if sort_by else out
-    writer = out.write.mode("errorifexists")
+    writer = out.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
