@@ -359,7 +359,9 @@ def route_profile(base: DataFrame, p: ReportParams, fold_case: bool = False,
                   medians: DataFrame | None = None) -> DataFrame:
     """Per route: activity, users, tokens, and volume statistics (not case-folded)."""
     stats = measures if measures is not None else route_measures(base, p, fold_case=fold_case)
-    med = medians if medians is not None else route_medians(base, p, fold_case, median_strategy, stats)
+    # a caller's (persisted) measure table sizes the largest route for free;
+    # otherwise the median makes its own cheap count per route
+    med = medians if medians is not None else route_medians(base, p, fold_case, median_strategy, measures)
     med = med.withColumnRenamed("path", "_mpath")
     joined = stats.join(med, stats.path.eqNullSafe(med._mpath), "left")
     return joined.select(
