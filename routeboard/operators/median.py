@@ -12,10 +12,13 @@ built-in below a row bound; above it, a distributed rank selection:
    value inside each key; the result is checkpointed (reliable checkpoint
    directory) so block numbers are fixed from here on;
 3. per ``(key, block)``: total weight, and the weight of earlier blocks of the
-   same key (a window over at most ``keys + partitions`` rows);
-4. a running weight inside each ``(key, block)`` gives every value its rank
-   interval; the one or two values at the middle ranks are kept and combined
-   with the same linear interpolation ``percentile(0.5)`` uses.
+   same key (a window over at most ``keys + partitions`` rows); from these,
+   the one or two blocks of each key that hold its middle ranks;
+4. only those blocks are ranked (a join with the small target table, then a
+   running weight inside each block), so a task sees at most one range
+   partition per block and the rest of the data is never shuffled again; the
+   one or two middle values are combined with the same linear interpolation
+   ``percentile(0.5)`` uses.
 
 Both paths return exactly the same numbers.
 """
@@ -70,36 +73,43 @@ def _ranked_median(vals: DataFrame, key: str, value: str, out: str) -> DataFrame
         .checkpoint(eager=True)
     )
 
+    # per (key, block): weight, weight of the key's earlier blocks, key total
     blocks = ranged.groupBy(key, "_block").agg(F.sum("_w").alias("_bw"))
     by_key = Window.partitionBy(key)
     blocks = blocks.select(
         F.col(key).alias("_bkey"),
         F.col("_block").alias("_bblock"),
+        "_bw",
         (F.sum("_bw").over(by_key.orderBy("_block")) - F.col("_bw")).alias("_before"),
         F.sum("_bw").over(by_key).alias("_n"),
     )
+    pos = (F.col("_n") - 1) * 0.5
+    lo_rank = F.floor(pos) + 1          # 1-based ranks of the two middle values
+    hi_rank = F.ceil(pos) + 1
 
+    def holds(rank):
+        return (F.col("_before") < rank) & (rank <= F.col("_before") + F.col("_bw"))
+
+    # only the one or two blocks of each key that hold a middle rank are ranked
+    targets = blocks.where(holds(lo_rank) | holds(hi_rank))
+    candidates = ranged.join(
+        targets,
+        F.col(key).eqNullSafe(F.col("_bkey")) & (F.col("_block") == F.col("_bblock")),
+    )
     in_block = (
         Window.partitionBy(key, "_block").orderBy(value)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = ranged.withColumn("_upto", F.sum("_w").over(in_block))
-    joined = ranked.join(
-        blocks,
-        F.col(key).eqNullSafe(F.col("_bkey")) & (F.col("_block") == F.col("_bblock")),
-    )
+    last = F.col("_before") + F.sum("_w").over(in_block)
+    ranked = candidates.select(key, value, "_n", (last - F.col("_w")).alias("_first"), last.alias("_last"))
 
-    pos = (F.col("_n") - 1) * 0.5
-    lo_rank = F.floor(pos) + 1          # 1-based ranks of the two middle values
-    hi_rank = F.ceil(pos) + 1
-    last = F.col("_before") + F.col("_upto")
-    first = last - F.col("_w")           # value covers ranks (first, last]
-    lo_hit = (first < lo_rank) & (lo_rank <= last)
-    hi_hit = (first < hi_rank) & (hi_rank <= last)
-    picked = joined.where(lo_hit | hi_hit).select(
+    def covers(rank):                   # value covers ranks (first, last]
+        return (F.col("_first") < rank) & (rank <= F.col("_last"))
+
+    picked = ranked.where(covers(lo_rank) | covers(hi_rank)).select(
         key,
-        F.when(lo_hit, F.col(value)).alias("_lo"),
-        F.when(hi_hit, F.col(value)).alias("_hi"),
+        F.when(covers(lo_rank), F.col(value)).alias("_lo"),
+        F.when(covers(hi_rank), F.col(value)).alias("_hi"),
         (pos - F.floor(pos)).alias("_frac"),
     )
     agg = picked.groupBy(key).agg(

@@ -26,11 +26,12 @@ def shuffled(stage_list):
     return [s for s in stage_list if s["shuffle_records"] >= 500]
 
 
-@pytest.mark.parametrize("phase", ["route_measures", "ranked_median", "user_measures", "first_seen"])
+@pytest.mark.parametrize("phase", ["route_measures", "ranked_median", "user_measures", "first_seen",
+                                   "bucket_measures", "source_destination"])
 def test_hot_route_is_spread(stages, phase):
     assert shuffled(stages[phase])
     for s in shuffled(stages[phase]):
-        assert s["max_task_share"] < 0.3, s
+        assert s["max_task_share"] < 0.25, s     # 16 partitions: 0.0625 is even
 
 
 def test_control_shows_the_skew(stages):

@@ -7,10 +7,11 @@ read in total and by the busiest task, and task times.  Used to check that a
 hot key does not end up in one task.
 
 ``python tools/stage_profile.py`` runs the skew check below and prints JSON:
-the order-lines relation with one route and one user forced to hold a third
-of all rows, then the route measures, the distributed median, the per-user
-measures, the first-seen table, and -- as a control -- a per-route window,
-which must put that third into a single task.
+the order-lines relation with one route, one user and one day forced to hold
+a third of all rows, then the route, user and bucket measure tables, the
+distributed median, the first-seen table, the source/destination report, and
+-- as a control -- a per-route window, which must put that third into a
+single task.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from routeboard.plans.catalog import PAGE  # noqa: E402
 from routeboard.plans.session import local_session  # noqa: E402
 
 
-def profile(phases, cores: int = 8, partitions: int = 8) -> dict[str, list[dict]]:
+def profile(phases, cores: int = 8, partitions: int = 16) -> dict[str, list[dict]]:
     """Run ``phases`` (label -> fn(spark)) and return per-stage stats for each label."""
     log_dir = tempfile.mkdtemp(prefix="routeboard-events-", dir="/tmp")
     spark = local_session(cores, partitions, app="stage-profile", extra={
@@ -88,16 +89,19 @@ def read_log(log_dir: str) -> dict[str, list[dict]]:
 
 
 def skewed_routes(spark, data_dir: str):
-    """Order lines where every third transfer moves onto one route and one user."""
+    """Order lines where every third transfer moves onto one route, one user and one day."""
     from routeboard.sources.order_lines import order_lines_base
     base = order_lines_base(spark, data_dir)
     hot = F.col("id") % 3 == 0
-    moved = ("source_chain", "destination_chain", "user_address")
+    hot_day = F.lit("2024-01-15").cast("date")
+    moved = ("source_chain", "destination_chain", "user_address", "created_date", "created_at")
     return base.select(
         *[c for c in base.columns if c not in moved],
         F.when(hot, F.lit("HOT_SRC")).otherwise(F.col("source_chain")).alias("source_chain"),
         F.when(hot, F.lit("HOT_DST")).otherwise(F.col("destination_chain")).alias("destination_chain"),
         F.when(hot, F.lit("HOT_USER")).otherwise(F.col("user_address")).alias("user_address"),
+        F.when(hot, hot_day).otherwise(F.col("created_date")).alias("created_date"),
+        F.when(hot, hot_day.cast("timestamp_ntz")).otherwise(F.col("created_at")).alias("created_at"),
     )
 
 
@@ -119,6 +123,12 @@ def skew_check(data_dir: str = "/root/testdata/sf0.01") -> dict[str, list[dict]]
     def first_seen(spark):
         R.daily_new_users(skewed_routes(spark, data_dir), PAGE).write.format("noop").mode("overwrite").save()
 
+    def bucket_measures(spark):
+        R.bucket_measures(rows(spark), PAGE).write.format("noop").mode("overwrite").save()
+
+    def source_destination(spark):
+        R.source_destination(rows(spark), PAGE).write.format("noop").mode("overwrite").save()
+
     def per_route_window(spark):
         r = rows(spark).select(R._route(False).alias("path"), "amount_usd")
         ranked = r.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("amount_usd")))
@@ -126,6 +136,7 @@ def skew_check(data_dir: str = "/root/testdata/sf0.01") -> dict[str, list[dict]]
 
     return profile({"route_measures": measures, "ranked_median": ranked_median,
                     "user_measures": user_measures, "first_seen": first_seen,
+                    "bucket_measures": bucket_measures, "source_destination": source_destination,
                     "control_per_route_window": per_route_window})
 
 
