@@ -9,12 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the spellings a document leaf may have and still count as a
-# number.  Plain decimals, scientific notation, and NaN / Infinity words.
-# Everything else -- containers rendered as JSON text, booleans, blanks,
-# thousands separators, hex, Java type suffixes such as "1d" that a bare
-# cast would accept -- is not a number.
+# The spellings a document leaf may have and still count as a
+# number -- plain decimals and scientific notation, plus the NaN / infinity
+# words in any case, optionally signed.  Everything else (containers rendered
+# as JSON text, booleans, blanks, thousands separators, hex, Java type
+# suffixes such as "1d" that a bare cast would accept) is not a number.
 NUMBER_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:nan|inf|infinity))\s*$"
+DECIMAL_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+NAN_WORDS = ("nan", "+nan", "-nan")
+POSITIVE_INFINITY_WORDS = ("inf", "+inf", "infinity", "+infinity")
+NEGATIVE_INFINITY_WORDS = ("-inf", "-infinity")
 
 
 def _col(c: Column | str) -> Column:
@@ -22,14 +26,21 @@ def _col(c: Column | str) -> Column:
 
 
 def strict_double(c: Column | str) -> Column:
-    """Text -> DOUBLE, NULL unless the whole text is a number.
+    """Text -> DOUBLE, NULL unless the whole text is a number (``NUMBER_PATTERN``).
 
-    Arrays and objects reach us as JSON text (``[1,2]``, ``{"x":1}``) and can
-    never match the pattern, so they are rejected along with every other
-    non-numeric shape.
+    Plain numbers are cast; the NaN / infinity words map to their values
+    directly, so their accepted spellings do not depend on the cast.  Arrays
+    and objects reach us as JSON text (``[1,2]``, ``{"x":1}``) and can never
+    match, so they are rejected along with every other non-numeric shape.
     """
     c = _col(c)
-    return F.when(c.rlike(NUMBER_PATTERN), c.try_cast("double"))
+    word = F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    return (
+        F.when(c.rlike(DECIMAL_PATTERN), c.try_cast("double"))
+        .when(word.isin(*NAN_WORDS), F.lit(float("nan")))
+        .when(word.isin(*POSITIVE_INFINITY_WORDS), F.lit(float("inf")))
+        .when(word.isin(*NEGATIVE_INFINITY_WORDS), F.lit(float("-inf")))
+    )
 
 
 def stable_round(c: Column | str) -> Column:

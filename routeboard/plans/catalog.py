@@ -34,6 +34,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 PAGE = ReportParams()                                             # 2023-01-01 .. 2025-08-31, week
 EVENT_RANGE = ReportParams(date(2024, 1, 10), date(2024, 1, 20), "day")
+# events users are first seen on the first days of January; this range starts
+# after the first day, so users seen earlier and again inside it are not new
+EVENT_COHORT = ReportParams(date(2024, 1, 2), date(2024, 1, 20), "day")
 
 
 def orders_base(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -186,6 +189,17 @@ QUERIES: dict[str, Query] = {
     "d7_share_txn_exact": _derived(O, R.txn_exact, PAGE, derived.share_of_users),
     "d7_share_active_days": _derived(O, R.active_days, PAGE, derived.share_of_users),
     "d7_share_paths": _derived(O, R.paths_per_user, PAGE, derived.share_of_users),
+    "r03_quarterly_cumulative_events": _on(E, R.quarterly_cumulative, EVENT_RANGE),
+    "r06_moving_average_events": _on(E, R.moving_average, EVENT_RANGE),
+    "r08_new_users_events": _on(E, R.new_users, EVENT_COHORT),
+    "r09_new_user_kpis_events": _on(E, R.new_user_kpis, EVENT_COHORT),
+    "r10_txn_exact_events": _on(E, R.txn_exact, EVENT_RANGE),
+    "r11_active_days_events": _on(E, R.active_days, EVENT_RANGE),
+    "r12_paths_per_user_events": _on(E, R.paths_per_user, EVENT_RANGE),
+    "d3_routes_numbered_events": _derived(E, R.route_profile, EVENT_RANGE, derived.routes_numbered),
+    "d4_top_volume_events": _derived(E, R.route_totals, EVENT_RANGE, derived.top_volume),
+    "d6_top_long_events": _derived(E, R.route_totals, EVENT_RANGE,
+                                   lambda t: derived.top_long(derived.top_transfers(t))),
     "p_extract_strings": p_extract_strings,
     "p_amount": p_amount,
     "p_amount_usd": p_amount_usd,

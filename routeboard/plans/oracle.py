@@ -19,7 +19,7 @@ from ..functions.labels import (
 )
 from ..params import CLASS_WINDOW, ReportParams
 from ..sources.order_lines import DATE_SHIFT_DAYS
-from .catalog import EVENT_RANGE, PAGE
+from .catalog import EVENT_COHORT, EVENT_RANGE, PAGE
 
 ORDERS_CTE = f"""base AS (
   SELECT CAST(CAST(o.o_orderdate AS DATE) + {DATE_SHIFT_DAYS} AS TIMESTAMP) AS created_at,
@@ -383,6 +383,16 @@ ORACLE: dict[str, str] = {
     "d7_share_txn_exact": d7(r10(ORDERS_CTE, PAGE)),
     "d7_share_active_days": d7(r11(ORDERS_CTE, PAGE)),
     "d7_share_paths": d7(r12(ORDERS_CTE, PAGE)),
+    "r03_quarterly_cumulative_events": r03(EVENTS_CTE, EVENT_RANGE),
+    "r06_moving_average_events": r06(EVENTS_CTE, EVENT_RANGE),
+    "r08_new_users_events": r08(EVENTS_CTE, EVENT_COHORT),
+    "r09_new_user_kpis_events": r09(EVENTS_CTE, EVENT_COHORT),
+    "r10_txn_exact_events": r10(EVENTS_CTE, EVENT_RANGE),
+    "r11_active_days_events": r11(EVENTS_CTE, EVENT_RANGE),
+    "r12_paths_per_user_events": r12(EVENTS_CTE, EVENT_RANGE),
+    "d3_routes_numbered_events": d3(EVENTS_CTE, EVENT_RANGE),
+    "d4_top_volume_events": d4(EVENTS_CTE, EVENT_RANGE),
+    "d6_top_long_events": d6(EVENTS_CTE, EVENT_RANGE),
     "p_extract_strings": _ev("id, user_address, source_chain, destination_chain, raw_asset"),
     "p_amount": _ev("id, amount"),
     "p_amount_usd": _ev("id, amount_usd"),
