@@ -381,15 +381,27 @@ def route_profile(base: DataFrame, p: ReportParams, fold_case: bool = False,
 
 # --- R15 -------------------------------------------------------------------
 def source_destination(base: DataFrame, p: ReportParams, fold_case: bool = True) -> DataFrame:
-    """Volume and transfers per (source, destination), priced transfers only."""
+    """Volume and transfers per (source, destination), priced transfers only.
+
+    "Priced only" is applied inside the aggregation -- the sum ignores NULL
+    values, the distinct count takes ids of priced rows, and pairs without a
+    priced row are dropped afterwards -- rather than as a row filter, which
+    Catalyst would push below a JSON parse and so parse every document twice.
+    """
+    priced = F.col("amount_usd").isNotNull()
     return (
         in_range(base, p)
-        .where(F.col("amount_usd").isNotNull())
         .groupBy(
             _chain("source_chain", fold_case).alias("source_chain"),
             _chain("destination_chain", fold_case).alias("destination_chain"),
         )
-        .agg(_volume().alias("volume_usd"), F.count_distinct("id").alias("number_of_transactions"))
+        .agg(
+            _volume().alias("volume_usd"),
+            F.count_distinct(F.when(priced, F.col("id"))).alias("number_of_transactions"),
+            F.count("amount_usd").alias("_priced"),
+        )
+        .where(F.col("_priced") > 0)
+        .drop("_priced")
         .orderBy(desc("volume_usd"), asc("number_of_transactions"), asc("source_chain"),
                  asc("destination_chain"))
     )
