@@ -17,7 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder; set on the context if only the conf names it."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote (Connect) session has no context: the conf must name it
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("spark.checkpoint.dir is not set; point it at a folder shared by the cluster")
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current

@@ -29,9 +29,9 @@ def spread(df: DataFrame) -> DataFrame:
     parallelism it is redistributed; a fact stored as many files -- every
     large table -- is left untouched, so this never adds a shuffle at scale.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
     try:
+        target = df.sparkSession.sparkContext.defaultParallelism
         current = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a remote session): keep the scan as is
+    except Exception:  # no context / RDD view (a remote session): keep the scan as is
         return df
     return df.repartition(target) if current < target else df
