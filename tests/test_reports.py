@@ -189,3 +189,15 @@ def test_pivot_and_format(spark):
     df = spark.createDataFrame([(1234567, 1234.0, "x", None)], "a bigint, b double, c string, d double")
     r = format_numbers(df).first()
     assert (r.a, r.b, r.c, r.d) == ("1,234,567", "1,234.0", "x", None)
+
+
+def test_null_id_is_not_a_transfer(spark):
+    rows = [
+        (datetime(2023, 5, 1, 9, 0), 1, "u1", "A", "B", 2.0, "T"),
+        (datetime(2023, 5, 1, 9, 5), None, "u2", "A", "B", 3.0, "T"),   # NULL id: user and value still count
+    ]
+    base = base_of(spark, rows)
+    r = R.overview_kpis(base, P).first()
+    assert (r.total_transactions, r.unique_users, r.total_volume) == (1, 2, 5.0)
+    classes = {x.number_of_txns: x.number_of_users for x in R.txn_exact(base, P).collect()}
+    assert classes == {"1 Txn": 1, None: 1}      # a user whose ids are all NULL has 0 transfers: no class
