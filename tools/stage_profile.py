@@ -52,6 +52,7 @@ def profile(phases, cores: int = 8, partitions: int = 16) -> dict[str, list[dict
 
 def read_log(log_dir: str) -> dict[str, list[dict]]:
     stage_group: dict[int, str] = {}
+    stage_name: dict[int, str] = {}
     records: dict[int, list[int]] = defaultdict(list)
     times: dict[int, list[int]] = defaultdict(list)
     # Spark 4 writes a rolling log: a folder of event files per application
@@ -67,6 +68,9 @@ def read_log(log_dir: str) -> dict[str, list[dict]]:
                     for sid in ev.get("Stage IDs", []):
                         if group:
                             stage_group[sid] = group
+                elif kind == "SparkListenerStageCompleted":
+                    info = ev.get("Stage Info") or {}
+                    stage_name[info.get("Stage ID")] = info.get("Stage Name", "")
                 elif kind == "SparkListenerTaskEnd":
                     sid = ev["Stage ID"]
                     m = ev.get("Task Metrics") or {}
@@ -78,6 +82,7 @@ def read_log(log_dir: str) -> dict[str, list[dict]]:
         total = sum(recs)
         out[stage_group.get(sid, "?")].append({
             "stage": sid,
+            "name": stage_name.get(sid, ""),
             "tasks": len(recs),
             "shuffle_records": total,
             "max_task_records": max(recs),
