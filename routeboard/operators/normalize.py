@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import strict_double
 from ..sources.schema import DATA_SCHEMA
@@ -24,42 +25,67 @@ def fold(c: Column, fold_case: bool) -> Column:
     return F.lower(c) if fold_case else c
 
 
+# Payload path of every leaf the reports read.
+PATHS = {
+    "chain": "call.chain",
+    "destination": "call.returnValues.destinationChain",
+    "sender": "call.transaction.from",
+    "amount": "amount",
+    "value": "value",
+    "gas_used": "gas.gas_used_amount",
+    "token_usd": "gas_price_rate.source_token.token_price.usd",
+    "express_fee": "fees.express_fee_usd",
+    "symbol": "symbol",
+}
+
+
 def normalize(fact: DataFrame, fold_case: bool = True, service: str = SERVICE_TAG) -> DataFrame:
     """Successful transfers with payload fields extracted and typed.
 
-    ``fact`` has ``id, created_at, status, simplified_status, data`` (JSON text).
-    The status filter runs before the payload is parsed, and is pushed into the
-    scan when the statuses are stored columns.  ``data`` is parsed once per row
-    with ``from_json`` against ``DATA_SCHEMA`` (every leaf reads the same parsed
-    struct).  A missing path, a malformed document or a scalar where an object
-    is expected all give NULL leaves.
+    ``fact`` has ``id, created_at, status, simplified_status, data``.  The
+    status filter runs before the payload is read, and is pushed into the scan
+    when the statuses are stored columns.  ``data`` may be
+
+    * JSON text: parsed once per row with ``from_json`` against ``DATA_SCHEMA``
+      (every leaf reads the same parsed struct), or
+    * a ``VARIANT`` column: each leaf is read straight from the binary value
+      with ``try_variant_get(..., 'string')``.
+
+    Either way a leaf arrives as text -- numbers, booleans and containers as
+    their JSON text -- and numbers are typed by ``strict_double``, so JSON
+    ``true`` never becomes 1.0.  A missing path, a malformed document or a
+    scalar where an object is expected all give NULL leaves.
 
     ``fold_case`` lower-cases the chain names.  The shared dashboard base keeps
     them as written (``fold_case=False``) and each report folds where the
     dashboard does.
     """
-    d = F.col("d")
-    chain = d.getField("call").getField("chain")
-    destination = d.getField("call").getField("returnValues").getField("destinationChain")
-    sender = d.getField("call").getField("transaction").getField("from")
-    gas_used = strict_double(d.getField("gas").getField("gas_used_amount"))
-    token_usd = strict_double(
-        d.getField("gas_price_rate").getField("source_token").getField("token_price").getField("usd"))
-    express_fee = strict_double(d.getField("fees").getField("express_fee_usd"))
-    return (
-        fact.where(success_filter())
-        .select("created_at", "id", F.from_json("data", DATA_SCHEMA).alias("d"))
-        .select(
-            F.col("created_at"),
-            F.to_date("created_at").alias("created_date"),
-            F.col("id"),
-            sender.alias("user_address"),
-            fold(chain, fold_case).alias("source_chain"),
-            fold(destination, fold_case).alias("destination_chain"),
-            F.lit(service).alias("service"),
-            strict_double(d.getField("amount")).alias("amount"),
-            strict_double(d.getField("value")).alias("amount_usd"),
-            F.coalesce(gas_used * token_usd, express_fee).alias("fee"),
-            d.getField("symbol").alias("raw_asset"),
-        )
+    rows = fact.where(success_filter())
+    if isinstance(fact.schema["data"].dataType, T.VariantType):
+        rows = rows.select("created_at", "id", F.col("data").alias("d"))
+
+        def leaf(name: str) -> Column:
+            return F.try_variant_get(F.col("d"), "$." + PATHS[name], "string")
+    else:
+        rows = rows.select("created_at", "id", F.from_json("data", DATA_SCHEMA).alias("d"))
+
+        def leaf(name: str) -> Column:
+            c = F.col("d")
+            for part in PATHS[name].split("."):
+                c = c.getField(part)
+            return c
+
+    return rows.select(
+        F.col("created_at"),
+        F.to_date("created_at").alias("created_date"),
+        F.col("id"),
+        leaf("sender").alias("user_address"),
+        fold(leaf("chain"), fold_case).alias("source_chain"),
+        fold(leaf("destination"), fold_case).alias("destination_chain"),
+        F.lit(service).alias("service"),
+        strict_double(leaf("amount")).alias("amount"),
+        strict_double(leaf("value")).alias("amount_usd"),
+        F.coalesce(strict_double(leaf("gas_used")) * strict_double(leaf("token_usd")),
+                   strict_double(leaf("express_fee"))).alias("fee"),
+        leaf("symbol").alias("raw_asset"),
     )

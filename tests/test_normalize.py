@@ -71,3 +71,28 @@ def test_json_parsed_once_per_row(spark, capsys):
     plan = capsys.readouterr().out
     assert plan.count("from_json(") == 1
     assert df.select(F.col("amount_usd")).first()[0] == 1.0
+
+
+def test_variant_payload_same_as_json_text(spark):
+    from tests.edge_rows import FEE_CASES, VALUE_CASES
+    payloads = [p for p, _ in VALUE_CASES] + [p for p, _ in FEE_CASES]
+    raw = spark.createDataFrame(raw_rows(payloads), RAW_SCHEMA)
+    as_variant = raw.withColumn("data", F.try_parse_json("data"))
+    a = {r.id: r for r in normalize(raw).collect()}
+    b = {r.id: r for r in normalize(as_variant).collect()}
+    assert set(a) == set(b)
+    for i in a:
+        for col in ("user_address", "source_chain", "destination_chain", "raw_asset"):
+            assert a[i][col] == b[i][col], (payloads[i], col)
+        for col in ("amount", "amount_usd", "fee"):
+            assert same(b[i][col], a[i][col]), (payloads[i], col, a[i][col], b[i][col])
+
+
+def test_variant_events_fact(spark):
+    from routeboard.sources.envelope import events_fact
+    from tests.conftest import SF_SMALL
+    raw = events_fact(spark, SF_SMALL)
+    text = normalize(raw, fold_case=False)
+    variant = normalize(raw.withColumn("data", F.parse_json("data")), fold_case=False)
+    assert variant.count() == text.count()
+    assert variant.exceptAll(text).count() == 0
