@@ -80,6 +80,12 @@ def p_normalized(spark, d):
     return _folded_events(spark, d)
 
 
+def p_normalized_variant(spark, d):
+    """The same normalisation with the payload stored as a VARIANT column."""
+    raw = events_fact(spark, d).withColumn("data", F.parse_json("data"))
+    return normalize(raw, fold_case=True)
+
+
 def p_route_label(spark, d):
     b = events_base(spark, d)
     return b.select("id", route_label("source_chain", "destination_chain").alias("path"))
@@ -205,6 +211,7 @@ QUERIES: dict[str, Query] = {
     "p_amount_usd": p_amount_usd,
     "p_fee": p_fee,
     "p_normalized": p_normalized,
+    "p_normalized_variant": p_normalized_variant,
     "p_route_label": p_route_label,
     "p_success_filter": p_success_filter,
     "p_date_range": p_date_range,

@@ -422,3 +422,4 @@ SELECT date, new_users, max(new_users) OVER () AS peak_new_users FROM d""",
 SELECT DISTINCT source_chain, destination_chain FROM base""",
 }
 ORACLE["p_median_ranked"] = ORACLE["p_median"]
+ORACLE["p_normalized_variant"] = ORACLE["p_normalized"]
