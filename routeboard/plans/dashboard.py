@@ -10,7 +10,8 @@ of its 16 queries, each a full scan.  Here:
   feeds the activity, active-chain and moving-average reports, a global one
   the two KPI rows, a per-user one the three class breakdowns, a per-route one
   the route profile and route totals, a per-day first-seen table the two
-  new-user reports -- 9 scans of the base instead of 16;
+  new-user reports -- 10 scans of the base instead of 16 (9 when the
+  class breakdown uses the page's own date range);
 * report results that feed derived tables are persisted (one row per bucket,
   class or route), so a derived table never re-scans the base.
 """
