@@ -43,9 +43,21 @@ DERIVED_NAMES = (
     "d5_top_transfers", "d6_top_long", "d7_share_txn_ranges", "d7_share_txn_exact",
     "d7_share_active_days", "d7_share_paths",
 )
+# the report each derived table is drawn from
+DERIVED_SOURCE = {
+    "d1_heatmap_transfers": "r13_heatmap",
+    "d2_heatmap_volume": "r13_heatmap",
+    "d3_routes_numbered": "r14_route_profile",
+    "d4_top_volume": "r16_route_totals",
+    "d5_top_transfers": "r16_route_totals",
+    "d6_top_long": "r16_route_totals",
+    "d7_share_txn_ranges": "r07_txn_ranges",
+    "d7_share_txn_exact": "r10_txn_exact",
+    "d7_share_active_days": "r11_active_days",
+    "d7_share_paths": "r12_paths_per_user",
+}
 # report results that derived tables read
-_FEEDS = ("r07_txn_ranges", "r10_txn_exact", "r11_active_days", "r12_paths_per_user",
-          "r13_heatmap", "r14_route_profile", "r16_route_totals")
+_FEEDS = tuple(sorted(set(DERIVED_SOURCE.values())))
 
 
 def materialize_base(base: DataFrame, cluster: bool = False, path: str | None = None) -> DataFrame:
@@ -202,8 +214,11 @@ class Dashboard:
                     lambda n: (lambda df: df.count()) if n in shared else action)
             measures = {n: frames[n] for n in shared}
             rest = {n: make for n, make in self.report_plans(measures).items() if n not in direct}
-            run_all(rest, _FEEDS)
-            run_all(self.derived_plans(frames), ())
+            # derived tables whose report is already done run with the remaining reports
+            derived_all = self.derived_plans(frames)
+            ready = {n: make for n, make in derived_all.items() if DERIVED_SOURCE[n] in direct}
+            run_all({**rest, **ready}, _FEEDS)
+            run_all({n: make for n, make in derived_all.items() if n not in ready}, ())
         finally:
             for df in frames.values():
                 df.unpersist()
