@@ -42,7 +42,10 @@ PATHS = {
 def normalize(fact: DataFrame, fold_case: bool = True, service: str = SERVICE_TAG) -> DataFrame:
     """Successful transfers with payload fields extracted and typed.
 
-    ``fact`` has ``id, created_at, status, simplified_status, data``.  The
+    ``fact`` has ``id, created_at, status, simplified_status, data``;
+    ``created_at`` is UTC wall time -- a ``TIMESTAMP_NTZ``, or a ``TIMESTAMP``
+    read in a session whose time zone is UTC (``plans.session``), since dates
+    and hours of a ``TIMESTAMP`` follow the session zone.  The
     status filter runs before the payload is read, and is pushed into the scan
     when the statuses are stored columns.  ``data`` may be
 
