@@ -25,6 +25,36 @@ def fold(c: Column, fold_case: bool) -> Column:
     return F.lower(c) if fold_case else c
 
 
+def utc_wall_time(ts: str) -> Column:
+    """A ``TIMESTAMP`` instant as its UTC wall time (``TIMESTAMP_NTZ``).
+
+    Epoch microseconds added to the NTZ epoch: plain arithmetic, so the
+    result does not depend on ``spark.sql.session.timeZone``.
+    """
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", F.unix_micros(F.col(ts)), epoch)
+
+
+_UTC_ZONES = {"UTC", "Etc/UTC", "GMT", "Etc/GMT", "Z", "+00:00", "Zulu"}
+
+
+def _event_time(fact: DataFrame) -> tuple[Column, Column]:
+    """``(created_at, created_date)`` as UTC wall time and date.
+
+    ``TIMESTAMP_NTZ`` already is wall time.  A ``TIMESTAMP`` instant read in a
+    UTC session is cast, and its date taken from the instant itself, so a date
+    range still reaches the scan as a timestamp range; in any other session
+    zone the instant is converted arithmetically (``utc_wall_time``).
+    """
+    if not isinstance(fact.schema["created_at"].dataType, T.TimestampType):
+        return F.col("created_at"), F.to_date("created_at")
+    zone = fact.sparkSession.conf.get("spark.sql.session.timeZone")
+    if zone in _UTC_ZONES:
+        return F.col("created_at").cast("timestamp_ntz"), F.to_date("created_at")
+    wall = utc_wall_time("created_at")
+    return wall, F.to_date(wall)
+
+
 # Payload path of every leaf the reports read.
 PATHS = {
     "chain": "call.chain",
@@ -42,10 +72,10 @@ PATHS = {
 def normalize(fact: DataFrame, fold_case: bool = True, service: str = SERVICE_TAG) -> DataFrame:
     """Successful transfers with payload fields extracted and typed.
 
-    ``fact`` has ``id, created_at, status, simplified_status, data``;
-    ``created_at`` is UTC wall time -- a ``TIMESTAMP_NTZ``, or a ``TIMESTAMP``
-    read in a session whose time zone is UTC (``plans.session``), since dates
-    and hours of a ``TIMESTAMP`` follow the session zone.  The
+    ``fact`` has ``id, created_at, status, simplified_status, data``.
+    ``created_at`` is either a ``TIMESTAMP_NTZ`` holding UTC wall time, or a
+    ``TIMESTAMP`` (an instant), which is turned into its UTC wall time whatever
+    the session time zone (``utc_wall_time``).  The
     status filter runs before the payload is read, and is pushed into the scan
     when the statuses are stored columns.  ``data`` may be
 
@@ -64,6 +94,7 @@ def normalize(fact: DataFrame, fold_case: bool = True, service: str = SERVICE_TA
     dashboard does.
     """
     rows = fact.where(success_filter())
+    created_at, created_date = _event_time(fact)
     if isinstance(fact.schema["data"].dataType, T.VariantType):
         rows = rows.select("created_at", "id", F.col("data").alias("d"))
 
@@ -79,8 +110,8 @@ def normalize(fact: DataFrame, fold_case: bool = True, service: str = SERVICE_TA
             return c
 
     return rows.select(
-        F.col("created_at"),
-        F.to_date("created_at").alias("created_date"),
+        created_at.alias("created_at"),
+        created_date.alias("created_date"),
         F.col("id"),
         leaf("sender").alias("user_address"),
         fold(leaf("chain"), fold_case).alias("source_chain"),

@@ -96,3 +96,18 @@ def test_variant_events_fact(spark):
     variant = normalize(raw.withColumn("data", F.parse_json("data")), fold_case=False)
     assert variant.count() == text.count()
     assert variant.exceptAll(text).count() == 0
+
+
+def test_instant_created_at_read_as_utc_whatever_the_session_zone(spark):
+    from datetime import date, datetime
+    rows = raw_rows(['{"value":1}'], created_at=datetime(2024, 1, 1, 3, 0))   # 03:00 UTC on 1 Jan
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        instant = spark.createDataFrame(rows, RAW_SCHEMA).withColumn(
+            "created_at", F.col("created_at").cast("timestamp"))
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")   # 19:00 on 31 Dec there
+        r = normalize(instant).select("created_at", "created_date", F.hour("created_at").alias("h")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert (r.created_at, r.created_date, r.h) == (datetime(2024, 1, 1, 3, 0), date(2024, 1, 1), 3)
