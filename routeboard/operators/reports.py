@@ -302,14 +302,16 @@ def first_seen(base: DataFrame) -> DataFrame:
     return base.groupBy("user_address").agg(F.min("created_date").alias("first_txn_date"))
 
 
-def daily_new_users(base: DataFrame, p: ReportParams) -> DataFrame:
+def daily_new_users(base: DataFrame, p: ReportParams, first: DataFrame | None = None) -> DataFrame:
     """``(date, new_users)`` for each day in range on which some user was first seen.
 
     ``first_seen`` has one row per user, so new users per day are a plain count
     of non-NULL users (the NULL user adds nothing, as in a distinct count).
+    ``first`` is a ready first-seen table (e.g. ``streaming.first_seen_table``)
+    to use instead of scanning the whole history of ``base``.
     """
     return (
-        first_seen(base)
+        (first if first is not None else first_seen(base))
         .where(F.col("first_txn_date").between(F.lit(p.start), F.lit(p.end)))
         .groupBy(F.col("first_txn_date").alias("date"))
         .agg(F.count("user_address").alias("new_users"))

@@ -86,11 +86,16 @@ class Dashboard:
     """All reports for one set of parameters over one normalised base."""
 
     def __init__(self, base: DataFrame, params: ReportParams = ReportParams(),
-                 class_window: ReportParams = CLASS_WINDOW, median_strategy: str = "auto"):
+                 class_window: ReportParams = CLASS_WINDOW, median_strategy: str = "auto",
+                 first_seen: DataFrame | None = None):
+        """``first_seen``: a maintained ``(user_address, first_txn_date)`` table
+        (``streaming.first_seen_table``); without it the new-user reports
+        derive first dates from the whole base."""
         self.base = base
         self.params = params
         self.class_window = class_window
         self.median_strategy = median_strategy
+        self.first_seen = first_seen
 
     @classmethod
     def from_fact(cls, fact: DataFrame, params: ReportParams = ReportParams(),
@@ -114,7 +119,7 @@ class Dashboard:
             "m_buckets": lambda: reports.bucket_measures(b, p),
             "m_users": lambda: reports.user_measures(b, p),
             "m_routes": lambda: reports.route_measures(b, p),
-            "m_daily_new_users": lambda: reports.daily_new_users(b, p),
+            "m_daily_new_users": lambda: reports.daily_new_users(b, p, self.first_seen),
         }
         if self.class_window != p:
             plans["m_users_class_window"] = lambda: reports.user_measures(b, self.class_window, ("_txns",))

@@ -30,3 +30,40 @@ def test_stream_appends_each_batch_once(spark, tmp_path):
     want_all = normalize(raw, fold_case=False).select(*BASE_COLUMNS)
     assert second.count() == want_all.count()
     assert second.select(*BASE_COLUMNS).exceptAll(want_all).count() == 0
+
+
+def test_first_seen_stream_matches_batch_and_feeds_reports(spark, tmp_path):
+    from datetime import date
+
+    from routeboard.operators import reports as R
+    from routeboard.params import ReportParams
+    from routeboard.streaming import first_seen_table, start_first_seen_stream
+
+    raw = events_fact(spark, SF_SMALL)
+    raw_dir, out, ckpt = tmp_path / "raw", tmp_path / "first", tmp_path / "ckpt"
+    # later days first, then the earliest days: late rows must lower first dates
+    raw.where(F.col("created_at") >= "2024-01-02").write.parquet(str(raw_dir / "batch=0"))
+
+    def run_once():
+        stream = spark.readStream.schema(raw.schema).parquet(f"{raw_dir}/*")
+        q = start_first_seen_stream(stream, str(out), checkpoint=str(ckpt))
+        q.awaitTermination(120)
+
+    run_once()
+    raw.where(F.col("created_at") < "2024-01-02").write.parquet(str(raw_dir / "batch=1"))
+    run_once()
+
+    base = normalize(raw, fold_case=False)
+    got = first_seen_table(spark, str(out))
+    want = R.first_seen(base)
+    assert got.count() == want.count()
+    assert got.exceptAll(want).count() == 0
+
+    from routeboard.streaming import compact_first_seen
+    compact = compact_first_seen(spark, str(out), str(tmp_path / "compact"))
+    assert compact.count() == want.count() and compact.exceptAll(want).count() == 0
+
+    p = ReportParams(date(2024, 1, 2), date(2024, 1, 20), "day")
+    a = R.new_user_kpis(base, p, daily=R.daily_new_users(base, p, got)).collect()
+    b = R.new_user_kpis(base, p).collect()
+    assert a == b
