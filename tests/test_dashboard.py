@@ -68,3 +68,15 @@ def test_clustered_base_same_rows(spark):
     plain = materialize_base(base)
     assert clustered.count() == plain.count() == base.count()
     assert clustered.exceptAll(plain).count() == 0
+
+
+def test_dashboard_uses_a_supplied_first_seen_table(spark):
+    from routeboard.operators import reports as R
+    from routeboard.plans.catalog import PAGE
+    from routeboard.sources.order_lines import order_lines_base
+    base = order_lines_base(spark, SF_SMALL)
+    first = R.first_seen(base).cache()
+    dash = Dashboard(base, PAGE, first_seen=first)
+    got = dash.shared_plans()["m_daily_new_users"]()
+    assert sorted(got.collect()) == sorted(R.daily_new_users(base, PAGE).collect())
+    first.unpersist()
