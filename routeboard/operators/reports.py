@@ -47,8 +47,15 @@ desc = F.desc_nulls_first   # the dashboard's warehouse sorts NULL as the larges
 
 
 def in_range(base: DataFrame, p: ReportParams) -> DataFrame:
-    """Transfers whose date lies in ``[p.start, p.end]`` (pushed to the scan as a range)."""
-    return base.where(F.col("created_date").between(F.lit(p.start), F.lit(p.end)))
+    """Transfers whose date lies in ``[p.start, p.end]`` (pushed to the scan as a range).
+
+    On a base written with one directory per month (``created_month``), the
+    month range is added as well, so whole directories are pruned.
+    """
+    cond = F.col("created_date").between(F.lit(p.start), F.lit(p.end))
+    if "created_month" in base.columns:
+        cond = cond & F.col("created_month").between(F.trunc(F.lit(p.start), "month"), F.lit(p.end))
+    return base.where(cond)
 
 
 def _volume(col: str = "amount_usd") -> Column:

@@ -60,7 +60,8 @@ DERIVED_SOURCE = {
 _FEEDS = tuple(sorted(set(DERIVED_SOURCE.values())))
 
 
-def materialize_base(base: DataFrame, cluster: bool = False, path: str | None = None) -> DataFrame:
+def materialize_base(base: DataFrame, cluster: bool = False, path: str | None = None,
+                     partition_by_month: bool = False) -> DataFrame:
     """Write the normalised relation once and read it back.
 
     ``path`` is a location the caller manages (overwritten); by default a new
@@ -76,8 +77,17 @@ def materialize_base(base: DataFrame, cluster: bool = False, path: str | None =
     input order (the hash tie-break spreads a date holding a large share of all
     transfers over many files).  It costs one shuffle of the base plus the
     sampling pass that range partitioning makes over its input.
+    ``partition_by_month=True`` writes one directory per month instead, for
+    very long histories.
     """
     cols = base.select(*BASE_COLUMNS)
+    if partition_by_month:
+        # one directory per month: a report's range prunes whole directories
+        # (``in_range`` filters the month column too); REBALANCE lets AQE split
+        # a heavy month over several files and merge light ones
+        cols = cols.withColumn("created_month", F.trunc("created_date", "month")).hint("rebalance", "created_month")
+        return write_and_reload(cols, "base", sort_by=("created_date",), partition_by=("created_month",),
+                                path=path)
     cluster_by = (F.col("created_date"), F.xxhash64(*BASE_COLUMNS)) if cluster else ()
     return write_and_reload(cols, "base", sort_by=("created_date",), cluster_by=cluster_by, path=path)
 
@@ -99,16 +109,22 @@ class Dashboard:
 
     @classmethod
     def from_fact(cls, fact: DataFrame, params: ReportParams = ReportParams(),
-                  materialize: bool = True, cluster: bool = False, **kw) -> "Dashboard":
+                  materialize: bool = True, cluster: bool = False, partition_by_month: bool = False,
+                  **kw) -> "Dashboard":
         """From a raw fact (``id, created_at, status, simplified_status, data``)."""
         base = normalize(fact, fold_case=False)
-        return cls(materialize_base(base, cluster) if materialize else base, params, **kw)
+        if materialize:
+            base = materialize_base(base, cluster, partition_by_month=partition_by_month)
+        return cls(base, params, **kw)
 
     @classmethod
     def from_base(cls, base: DataFrame, params: ReportParams = ReportParams(),
-                  materialize: bool = True, cluster: bool = False, **kw) -> "Dashboard":
+                  materialize: bool = True, cluster: bool = False, partition_by_month: bool = False,
+                  **kw) -> "Dashboard":
         """From an already normalised relation (``BASE_COLUMNS``, chains unfolded)."""
-        return cls(materialize_base(base, cluster) if materialize else base, params, **kw)
+        if materialize:
+            base = materialize_base(base, cluster, partition_by_month=partition_by_month)
+        return cls(base, params, **kw)
 
     # -- lazily built plans --------------------------------------------------
     def shared_plans(self) -> dict[str, Callable[[], DataFrame]]:

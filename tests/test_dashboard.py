@@ -80,3 +80,17 @@ def test_dashboard_uses_a_supplied_first_seen_table(spark):
     got = dash.shared_plans()["m_daily_new_users"]()
     assert sorted(got.collect()) == sorted(R.daily_new_users(base, PAGE).collect())
     first.unpersist()
+
+
+def test_month_partitioned_base(spark, capsys):
+    from routeboard.operators import reports as R
+    from routeboard.plans.catalog import PAGE
+    from routeboard.plans.dashboard import materialize_base
+    from routeboard.sources.order_lines import order_lines_base
+    base = order_lines_base(spark, SF_SMALL)
+    monthly = materialize_base(base, partition_by_month=True)
+    assert "created_month" in monthly.columns
+    for report in (R.overview_kpis, R.activity_over_time, R.route_totals, R.new_user_kpis):
+        assert sorted(report(monthly, PAGE).collect()) == sorted(report(base, PAGE).collect())
+    R.in_range(monthly, PAGE).explain("formatted")
+    assert "PartitionFilters: [isnotnull(created_month" in capsys.readouterr().out
