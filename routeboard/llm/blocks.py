@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 MAX_BLOCKS = 1_000_000
 
 
-def block_of(df: DataFrame, rows: int, doc_id: str = "doc_id") -> Column:
-    """The block number of a row; NULL ids come before all others (block -1)."""
+def block_of(df: DataFrame, rows: int, doc_id: str = "doc_id", most: int | None = None) -> Column:
+    """The block number of a row; NULL ids come before all others (block -1).
+
+    ``rows``: documents a block; ``most``: with it, wider blocks keep their number below about that.
+    """
     low, high, n = df.select(F.min(doc_id), F.max(doc_id), F.count("*")).first()
     if low is None:
         return F.lit(-1).cast("long")
-    rows = max(rows, -(-n // MAX_BLOCKS))
+    rows = max(rows, -(-n // most)) if most else rows
     width = max(1, (high - low + 1) * rows // n)
     at = F.col(doc_id).cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")
     return F.coalesce(F.floor(at / F.lit(width)).cast("long"), F.lit(-1).cast("long"))

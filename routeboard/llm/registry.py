@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeboard.llm import bpe, fingerprints, mixing, quality, urls
+from routeboard.llm import bpe, fingerprints, mixing, quality, substrings, urls
 from routeboard.llm.words import WORD_PATTERN
 
 
@@ -61,12 +61,19 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("failures").bitwiseAND(F.lit(quality.BASE.mask)) != 0).alias("base_failed"), "kept")
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_mixing": op3_mixing,
     "op5_urls": op5_urls,
     "op6_fingerprints": op6_fingerprints,
     "op8_quality": op8_quality,
+    "op10_substrings": op10_substrings,
 }
 
 def queries() -> dict:
@@ -77,6 +84,17 @@ def queries() -> dict:
 _WORDS = f"regexp_extract_all(coalesce(text, ''), '{WORD_PATTERN}')"
 
 ORACLE = {
+    "op10_substrings": f"""
+WITH texts AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS pos FROM texts WHERE len(words) >= 20),
+windows AS (SELECT doc_id, pos, array_to_string(words[pos:pos + 19], ' ') AS w FROM starts JOIN texts USING (doc_id)),
+numbered AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS nth FROM windows),
+removed AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM numbered WHERE nth > 1),
+positions AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM texts),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM positions ANTI JOIN removed USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+""",
     "op3_mixing": f"""
 WITH sized AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
 sums AS (SELECT source, sum(size)::HUGEINT AS source_size FROM sized GROUP BY source),
