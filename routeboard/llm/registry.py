@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeboard.llm import bpe, fingerprints, mixing, quality, substrings, urls
+from routeboard.llm import bpe, fingerprints, mixing, near_copies, quality, substrings, urls
 from routeboard.llm.words import WORD_PATTERN
 
 
@@ -32,6 +32,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -69,6 +73,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_near_copies": op2_near_copies,
     "op3_mixing": op3_mixing,
     "op5_urls": op5_urls,
     "op6_fingerprints": op6_fingerprints,
