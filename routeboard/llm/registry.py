@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeboard.llm import bpe, fingerprints, mixing, near_copies, quality, substrings, urls
+from routeboard.llm import bpe, fingerprints, mixing, near_copies, quality, secrets_scan, substrings, toxicity, urls
 from routeboard.llm.words import WORD_PATTERN
 
 
@@ -65,6 +65,22 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("failures").bitwiseAND(F.lit(quality.BASE.mask)) != 0).alias("base_failed"), "kept")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.fit(docs, labels.where(~held_out))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.expr(f"CAST(size(filter(base, s -> s.kind = {kind})) AS BIGINT)")
+    return found.select("row.doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+                        F.sha2(F.expr(secrets_scan.span_list("base")), 256).alias("base_sha256"),
+                        F.expr(secrets_scan.span_list("spans")).alias("spans"))
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).select(
@@ -75,9 +91,11 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_near_copies": op2_near_copies,
     "op3_mixing": op3_mixing,
+    "op4_toxicity": op4_toxicity,
     "op5_urls": op5_urls,
     "op6_fingerprints": op6_fingerprints,
     "op8_quality": op8_quality,
+    "op9_secrets": op9_secrets,
     "op10_substrings": op10_substrings,
 }
 
