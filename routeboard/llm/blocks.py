@@ -7,6 +7,8 @@ give about ``rows`` documents a block.  Blocks are ordered like the ids.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +27,22 @@ def block_of(df: DataFrame, rows: int, doc_id: str = "doc_id", most: int | None
     width = max(1, (high - low + 1) * rows // n)
     at = F.col(doc_id).cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")
     return F.coalesce(F.floor(at / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
+
+
+def blocked(df: DataFrame, rows: int, doc_id: str, text: str) -> DataFrame:
+    """(given, doc_id, text, block): whether the id is given, the id (else 0), the text (NULL: empty)."""
+    return df.select(F.col(doc_id).isNotNull().alias("given"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("doc_id"),
+                     F.coalesce(F.col(text), F.lit("")).alias("text"), block_of(df, rows, doc_id).alias("block"))
+
+
+def sorted_rows(block: pa.Table) -> list[tuple[bool, int, str]]:
+    """A block's (given, doc_id, text) in the order that decides what comes first."""
+    return sorted(zip(block["given"].to_pylist(), block["doc_id"].to_pylist(), block["text"].to_pylist(), strict=True))
+
+
+def by_bucket(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of ``distinct`` by hash bucket, the buckets in use, and where each starts in that order."""
+    at = (distinct % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(at, kind="stable")
+    used, starts = np.unique(at[order], return_index=True)
+    return order, used, starts

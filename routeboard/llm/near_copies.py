@@ -15,10 +15,10 @@ class there, wherever their copies are.  Candidates must pass
 Each surviving pair of classes is verified once, exactly.
 
 Groups of copies.  In a prefix shingle's list every class is first paired with
-one hub, its smallest class: a group of n near copies costs n pairs a round,
-not n squared.  Then only pairs whose classes do not already hang on one hub
-are compared, so no link between two components is lost.  Components follow
-from the verified links.
+one hub, its smallest class, and after that with another, chosen by a hash: a
+group of n near copies costs n pairs a round, not n squared.  At the end every
+pair whose classes are still in different components is compared, so no link
+between two components is lost.
 
 Empty sets (no word, NULL text) link with nothing.  Repeated rows are copies.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routeboard.llm.links import components
-from routeboard.llm.words import NEAR_PERCENT, NEAR_WORDS, shingle_set
+from routeboard.llm.words import NEAR_PERCENT, NEAR_WORDS, mix, shingle_set
 from routeboard.sources.storage import write_and_reload
 
 CELLS = 1 << 20          # counters of the document-count sketch; bounds its broadcast to 4 MB
@@ -155,26 +155,47 @@ def _shared_grams(key, sent):
                      "size": pa.array(size, pa.int64()), "candidate": pa.array(ok)})
 
 
-def _across(key, rows):
-    """Candidate pairs of a bucket whose classes hang on different hubs."""
+def _lists(rows):
+    """A bucket's postings by gram and set size, and where each gram's list starts and ends."""
     gram, cls, n, pos, top = (rows[c].to_numpy() for c in ("gram", "class", "n", "pos", "top"))
     order = np.lexsort((cls, n, gram))
-    gram, cls, n, pos, top = gram[order], cls[order], n[order], pos[order], top[order]
-    starts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, int)
-    found: list[np.ndarray] = []
-    for a, b in zip(starts, np.r_[starts[1:], len(gram)], strict=True):
-        if (top[a:b] == top[a]).all():
-            continue
-        for i in range(a, b - 1):   # sets of ascending size: partners are a run after i
-            end = a + np.searchsorted(n[a:b], 100 * n[i] // NEAR_PERCENT, side="right")
-            j = np.arange(i + 1, end)
-            j = j[(top[j] != top[i]) & _possible(n[i], n[j], pos[i], pos[j])]
-            if len(j):
-                found.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], axis=1))
+    gram = gram[order]
+    starts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
+    return cls[order], n[order], pos[order], top[order], zip(starts, np.r_[starts[1:], len(gram)], strict=True)
+
+
+def _pair_table(found: list[np.ndarray]) -> pa.Table:
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
+def _pairs_of(cls, n, pos, top, i: int, j: np.ndarray) -> np.ndarray:
+    """The possible pairs of row ``i`` with rows ``j`` of its list that are in another component."""
+    small, large = np.where(n[j] <= n[i], j, i), np.where(n[j] <= n[i], i, j)
+    j = j[(top[j] != top[i]) & _possible(n[small], n[large], pos[small], pos[large])]
+    return np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], axis=1)
+
+
+def _to_other_hub(key, rows):
+    """Candidate pairs of each list's classes with a hub chosen by a hash, in another component."""
+    cls, n, pos, top, lists = _lists(rows)
+    ranks = mix(cls.view(np.uint64) + np.uint64(1))
+    return _pair_table([_pairs_of(cls, n, pos, top, a + int(np.argmin(ranks[a:b])), np.arange(a, b))
+                        for a, b in lists if (top[a:b] != top[a]).any()])
+
+
+def _across(key, rows):
+    """All candidate pairs of a bucket whose classes are in different components."""
+    cls, n, pos, top, lists = _lists(rows)
+    found = []
+    for a, b in lists:
+        if (top[a:b] != top[a]).any():
+            for i in range(a, b - 1):   # sets of ascending size: partners are a run after i
+                end = a + np.searchsorted(n[a:b], 100 * n[i] // NEAR_PERCENT, side="right")
+                found.append(_pairs_of(cls, n, pos, top, i, np.arange(i + 1, end)))
+    return _pair_table(found)
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sorted sets share ``NEAR_PERCENT`` of their union; the suffix filter comes first."""
     total = len(a) + len(b)
@@ -236,8 +257,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int)
 
 
 def near_copies(df: DataFrame, width: int = NEAR_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``df``: doc_id, n_shingles, class_id (smallest id with the same set), n_links (other classes
-    its class was verified to be linked with) and component_id (smallest id reachable by links, itself included).
+    """Per row of ``df``: doc_id, n_shingles, class_id (smallest id with the same set), n_verified (links its class
+    was verified to have, enough to connect its component) and component_id (smallest id reachable by links, itself included).
 
     Rows with a NULL id take part in no link; their component is NULL.
     """
@@ -257,26 +278,28 @@ def near_copies(df: DataFrame, width: int = NEAR_WORDS, doc_id: str = "doc_id",
         shared.where("candidate").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct(), "near-pairs")
     first = write_and_reload(_verified(to_hub, docs, classes, width), "near-links")
 
-    tops = first.groupBy("b").agg(F.min("a").alias("top")).withColumnRenamed("b", "class")
+    links, tried = first, to_hub
     longer = shared.where("size > 2").select("bucket", "gram", "class", "n", "pos")
-    across = (longer.join(tops, "class", "left").withColumn("top", F.coalesce("top", "class"))
-              .groupBy("bucket").applyInArrow(_across, "a long, b long").distinct()
-              .join(to_hub, ["a", "b"], "left_anti"))
-    across = write_and_reload(across, "near-across")
-    links = first
-    if not across.isEmpty():
-        links = first.unionByName(_verified(across, docs, classes, width))
+    for candidates in (_to_other_hub, _across):
+        tops = components(links, "a", "b").select(F.col("id").alias("class"), F.col("component_id").alias("top"))
+        pairs = (longer.join(tops, "class", "left").withColumn("top", F.coalesce("top", "class"))
+                 .groupBy("bucket").applyInArrow(candidates, "a long, b long").distinct()
+                 .join(tried, ["a", "b"], "left_anti"))
+        pairs = write_and_reload(pairs, "near-pairs")
+        if not pairs.isEmpty():
+            links = write_and_reload(links.unionByName(_verified(pairs, docs, classes, width)), "near-links")
+            tried = tried.unionByName(pairs)
     ids = classes.select(F.col("class").alias("a"), F.col("first_id").alias("u"))
     links = write_and_reload(
         links.join(ids, "a").join(ids.select(F.col("a").alias("b"), F.col("u").alias("v")), "b").select("u", "v"), "near-id-links")
     groups = components(links, "u", "v")
-    n_links = links.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    verified = links.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("n_verified"))
     labelled = (classes.join(groups, classes["first_id"] == groups["id"], "left").drop("id")
-                .join(n_links, classes["first_id"] == n_links["id"], "left").drop("id"))
+                .join(verified, classes["first_id"] == verified["id"], "left").drop("id"))
     return (members.join(labelled, "class", "left")
             .select("doc_id", "n_shingles",
                     F.when(F.col("n_shingles") > 0, F.col("first_id")).otherwise(F.col("doc_id")).alias("class_id"),
-                    F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+                    F.coalesce("n_verified", F.lit(0)).cast("long").alias("n_verified"),
                     F.when(F.col("doc_id").isNull(), F.lit(None).cast("long"))
                     .when(F.col("n_shingles") > 0, F.coalesce("component_id", "first_id"))
                     .otherwise(F.col("doc_id")).alias("component_id")))

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeboard.llm import bpe, fingerprints, mixing, near_copies, quality, secrets_scan, substrings, toxicity, urls
+import corpus_pipeline
+from routeboard.llm import bpe, fingerprints, language_model, mixing, near_copies, quality, secrets_scan, substrings, toxicity, urls
 from routeboard.llm.words import WORD_PATTERN
 
 
@@ -59,6 +60,12 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edited(table(spark, sf_dir, "documents"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = language_model.score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", "n_backoff", F.round("log_score", 6).alias("log_score"),
+                         F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), quality.STRICT)
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -94,6 +101,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_urls": op5_urls,
     "op6_fingerprints": op6_fingerprints,
+    "op7_language_model": op7_language_model,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_substrings": op10_substrings,
@@ -101,12 +109,29 @@ QUERIES = {
 
 def queries() -> dict:
     """The registered queries, with the pipeline at the repository top."""
-    return dict(QUERIES)
+    return {**QUERIES, "pipeline": corpus_pipeline.run}
 
 
 _WORDS = f"regexp_extract_all(coalesce(text, ''), '{WORD_PATTERN}')"
 
 ORACLE = {
+    "op7_language_model": f"""
+WITH texts AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+positions AS (SELECT doc_id, unnest(words) AS w2, generate_subscripts(words, 1) AS pos FROM texts),
+pairs AS (SELECT doc_id, pos, w2, lag(w2) OVER (PARTITION BY doc_id ORDER BY pos) AS w1 FROM positions),
+ones AS (SELECT w2 AS w, count(*) AS n FROM positions GROUP BY w2),
+twos AS (SELECT w1, w2, count(*) AS n FROM pairs WHERE w1 IS NOT NULL GROUP BY w1, w2),
+total AS (SELECT count(*) AS n FROM positions),
+scored AS (
+  SELECT doc_id, p.w1 IS NOT NULL AND t.n < 2 AS backed_off,
+         CASE WHEN p.w1 IS NULL THEN ln(b.n / (SELECT n FROM total)) WHEN t.n >= 2 THEN ln(t.n / a.n)
+              ELSE ln(0.4::DOUBLE * b.n / (SELECT n FROM total)) END AS log_p
+  FROM pairs p LEFT JOIN twos t ON t.w1 = p.w1 AND t.w2 = p.w2 LEFT JOIN ones a ON a.w = p.w1 JOIN ones b ON b.w = p.w2),
+summed AS (SELECT doc_id, count(*) FILTER (WHERE backed_off) AS n_backoff, sum(log_p) AS log_score FROM scored GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_backoff, 0)::BIGINT AS n_backoff, round(coalesce(log_score, 0.0), 6) AS log_score,
+       round(CASE WHEN len(words) > 0 THEN log_score / len(words) END, 6) AS mean_log_score
+FROM texts LEFT JOIN summed USING (doc_id)
+""",
     "op10_substrings": f"""
 WITH texts AS (SELECT doc_id, {_WORDS} AS words FROM documents),
 starts AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS pos FROM texts WHERE len(words) >= 20),

@@ -22,20 +22,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from routeboard.llm.blocks import block_of
+from routeboard.llm.blocks import blocked, by_bucket, sorted_rows
 from routeboard.llm.words import window_hashes, word_hashes, words
 
 WINDOW = 20
 BLOCK_ROWS = 1024
 
 
-def _sorted_rows(block: pa.Table) -> list[tuple[bool, int, str]]:
-    """(id is given, doc_id, text) in the order that decides which occurrence is first."""
-    return sorted(zip(block["given"].to_pylist(), block["doc_id"].to_pylist(), block["text"].to_pylist(), strict=True))
-
-
 def _windows(rows, window: int) -> tuple[list[list[bytes]], list[np.ndarray]]:
     tokens = [words(text) for _, _, text in rows]
     return tokens, [window_hashes(word_hashes(t), window) for t in tokens]
@@ -44,16 +38,13 @@ def _windows(rows, window: int) -> tuple[list[list[bytes]], list[np.ndarray]]:
 def remove_repeats(df: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, removed (array of word intervals [start, end), maximal and ascending) and
     kept (the other words, joined by single spaces)."""
-    rows = df.select(F.col(doc_id).isNotNull().alias("given"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("doc_id"),
-                     F.coalesce(F.col(text), F.lit("")).alias("text"), block_of(df, BLOCK_ROWS, doc_id).alias("block"))
+    rows = blocked(df, BLOCK_ROWS, doc_id, text)
     buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(key, block):
-        _, hashes = _windows(_sorted_rows(block), window)
+        _, hashes = _windows(sorted_rows(block), window)
         distinct = np.unique(np.concatenate(hashes))
-        at = (distinct % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(at, kind="stable")
-        used, starts = np.unique(at[order], return_index=True)
+        order, used, starts = by_bucket(distinct, buckets)
         packed = [x.tobytes() for x in np.split(distinct[order], starts[1:])] if len(used) else []
         return pa.table({"bucket": pa.array(used, pa.int32()), "block": pa.array([key[0].as_py()] * len(used), pa.int64()),
                          "hashes": pa.array(packed, pa.binary())})
@@ -74,16 +65,15 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
                          "places": pa.array(packed, pa.binary())})
 
     def remove(block, answers):
-        ordered = _sorted_rows(block)
+        ordered = sorted_rows(block)
         tokens, hashes = _windows(ordered, window)
         every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         distinct, first, back = np.unique(every, return_index=True, return_inverse=True)
         earlier = np.zeros(len(distinct), bool)
-        at = (distinct % np.uint64(buckets)).astype(np.int32)
-        by_bucket = np.argsort(at, kind="stable")
-        starts = np.searchsorted(at[by_bucket], answers["bucket"].to_numpy())
+        order, used, starts = by_bucket(distinct, buckets)
+        starts = starts[np.searchsorted(used, answers["bucket"].to_numpy())]
         for start, places in zip(starts, answers["places"].to_pylist(), strict=True):
-            earlier[by_bucket[start + np.frombuffer(places, np.uint32)]] = True
+            earlier[order[start + np.frombuffer(places, np.uint32)]] = True
         gone = earlier[back] | (first[back] != np.arange(len(every)))
         out, done = [], 0
         for (given, i, _), t, h in zip(ordered, tokens, hashes, strict=True):
