@@ -25,7 +25,6 @@ import heapq
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +32,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from routeboard.llm.words import slices
+
 SLICE_CHARS = 4_000_000
 QUERY_PIECES = 50_000
 QUERY_STEPS = 40_000_000       # sum of squared piece lengths: what a query's steps may hold together
@@ -282,21 +283,6 @@ def codec(content: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def _slices(batch: pa.RecordBatch, sizes: list[int], limit: int) -> Iterator[pa.RecordBatch]:
-    start = total = 0
-    for i, n in enumerate(sizes):
-        if total and total + n > limit:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
-def _lengths(column: pa.Array) -> list[int]:
-    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
-
-
 def _apply(df: DataFrame, source: str, add: dict[str, T.DataType], content: bytes, pattern: str, work) -> DataFrame:
     """``df`` with the columns ``add`` (replacing columns of the same name), made by ``work(codec, values)``."""
     shared = df.sparkSession.sparkContext.broadcast(content)
@@ -306,7 +292,7 @@ def _apply(df: DataFrame, source: str, add: dict[str, T.DataType], content: byte
     def run(batches):
         own = codec(shared.value, pattern)
         for batch in batches:
-            for part in _slices(batch, _lengths(batch.column(source)), SLICE_CHARS):
+            for part in slices(batch, source, SLICE_CHARS):
                 made = work(own, part.column(source).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + made,
                                                  names=keep + list(add))

@@ -21,54 +21,76 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from routeboard.llm.words import words
+from routeboard.llm.words import mix, slices, words
 
 BUCKETS = 1 << 16
 SIZE = 16                      # numbers in an embedding
 GRAMS = (3, 4, 5)
 SAMPLE = (3000, 1500)          # most rows of label 0 and 1 to fit on
 EPOCHS = 8
-CACHED = 150_000
+SLICE_BYTES = 4_000_000        # texts whose words are numbered together
 _EDGES = ".,;:!?\"'()[]{}|*#$%&<>-_"
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def features(word: bytes) -> list[int]:
-    """Buckets of one word (lower-cased, punctuation stripped from its ends)."""
-    w = word.decode().lower().strip(_EDGES)
-    if not w:
-        return []
-    marked = f"<{w}>"
-    grams = [marked] + [marked[i:i + n] for n in GRAMS if n < len(marked) for i in range(len(marked) - n + 1)]
-    return [xxhash.xxh32_intdigest(g) % BUCKETS for g in grams]
+def features(distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words' features and, for each, the number of its word.
 
-
-class _Features(dict):
-    def __missing__(self, word: bytes) -> np.ndarray:
-        made = np.array(features(word), np.uint16)
-        if len(word) <= 64:
-            if len(self) >= CACHED:
-                self.clear()
-            self[word] = made
-        return made
+    Words are lower-cased and lose the punctuation at their ends; one of
+    punctuation alone has no features.  An n-gram's bucket is a polynomial
+    hash of its code points.
+    """
+    bare = [w.decode().lower().strip(_EDGES) for w in distinct]
+    marked = [f"<{w}>" if w else "" for w in bare]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    owner = np.repeat(np.arange(len(marked)), sizes)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # the whole word: codes times powers of their place, summed
+    powers = np.cumprod(np.full(int(sizes.max(initial=0)) + 1, _STEP, np.uint64), dtype=np.uint64)
+    filled = np.flatnonzero(sizes)
+    whole = np.add.reduceat(codes * powers[place], (np.cumsum(sizes) - sizes)[filled]) if len(filled) else codes
+    hashes, owners = [mix(whole)], [filled]
+    for n in GRAMS:
+        at = np.flatnonzero((place + n <= sizes[owner]) & (n < sizes[owner]))
+        h = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            h = h * _STEP + codes[at + k]
+        hashes.append(mix(h))
+        owners.append(owner[at])
+    return (np.concatenate(hashes) >> np.uint64(48)).astype(np.int64), np.concatenate(owners)
+
+
+def _numbered(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words, the number of each text's words in a row, and how many each text has."""
+    tokens = [words(t) for t in texts]
+    coded = pa.array([w for t in tokens for w in t], pa.binary()).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.fromiter(map(len, tokens), np.int64, len(tokens))
 
 
 def _counted(docs: DataFrame) -> DataFrame:
     """(doc_id, label, buckets, shares) of rows (doc_id, label, text)."""
     def run(batches):
-        known = _Features()
         for batch in batches:
-            ids, shares = [], []
-            for t in batch.column("text").to_pylist():
-                parts = [known[w] for w in words(t)]
-                found, counts = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint16), return_counts=True)
-                ids.append(found.astype(np.uint16).tobytes())
-                shares.append((counts / max(1, counts.sum())).astype(np.float32).tobytes())
-            yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array(ids, pa.binary()),
-                                   pa.array(shares, pa.binary())], names=["doc_id", "label", "buckets", "shares"])
+            for part in slices(batch, "text", SLICE_BYTES):
+                distinct, numbers, sizes = _numbered(part.column("text").to_pylist())
+                buckets, owner = features(distinct)
+                order = np.argsort(owner, kind="stable")
+                starts = np.searchsorted(owner[order], np.arange(len(distinct) + 1))
+                ids, shares = [], []
+                for own in np.split(numbers, np.cumsum(sizes)[:-1]):
+                    which, times = np.unique(own, return_counts=True)
+                    made = [buckets[order[starts[w]:starts[w + 1]]] for w in which]
+                    total = np.bincount(np.concatenate(made), np.repeat(times, list(map(len, made))), BUCKETS) if made else np.zeros(1)
+                    found = np.flatnonzero(total)
+                    ids.append(found.astype(np.uint16).tobytes())
+                    shares.append((total[found] / max(1, total.sum())).astype(np.float32).tobytes())
+                yield pa.record_batch([part.column("doc_id"), part.column("label"), pa.array(ids, pa.binary()),
+                                       pa.array(shares, pa.binary())], names=["doc_id", "label", "buckets", "shares"])
 
     return docs.mapInArrow(run, "doc_id long, label int, buckets binary, shares binary")
 
@@ -146,40 +168,25 @@ def score(df: DataFrame, model: tuple[np.ndarray, float], text: str = "text") ->
     """``df`` without ``text`` plus ``score`` (0 to 1, higher: likelier toxic); a column ``score`` is replaced."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in df.columns if c not in ("score", text)]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
 
-    @F.pandas_udf("double")
-    def scored(texts):
-        import pandas as pd
-        return pd.Series([_scorer(shared.value)(t) for t in texts], dtype=float)
-
-    return df.select(*keep, scored(F.col(text)).alias("score"))
-
-
-class _Scorer(dict):
-    """Remembers per word the sum of its features' margins and their number."""
-
-    def __init__(self, model):
-        self.model, (self.margins, self.intercept) = model, model
-
-    def __missing__(self, word: bytes) -> complex:
-        own = features(word)
-        made = complex(float(self.margins[own].sum(dtype=np.float64)) if own else 0.0, len(own))
-        if len(word) <= 64:
-            if len(self) >= 2 * CACHED:
-                self.clear()
-            self[word] = made
-        return made
-
-    def __call__(self, text: str | None) -> float:
-        total = sum(map(self.__getitem__, words(text)), 0j)
-        margin = self.intercept + (total.real / total.imag if total.imag else 0.0)
-        return float(1 / (1 + np.exp(-np.clip(margin, -60, 60))))
-
-
-_current: list[_Scorer] = []
-
-
-def _scorer(model) -> _Scorer:
-    if not _current or _current[0].model is not model:
-        _current[:] = [_Scorer(model)]
-    return _current[0]
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, text, SLICE_BYTES):
+                made = scores(part.column(text).to_pylist(), shared.value)
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(made, pa.float64())], names=[*keep, "score"])
+
+    return df.mapInArrow(run, schema)
+
+
+def scores(texts: list[str | None], model: tuple[np.ndarray, float]) -> np.ndarray:
+    """The softmax's probability of label 1 for each text."""
+    margins, intercept = model
+    distinct, numbers, sizes = _numbered(texts)
+    buckets, owner = features(distinct)
+    total = np.bincount(owner, margins[buckets].astype(np.float64), len(distinct))
+    count = np.bincount(owner, minlength=len(distinct)).astype(np.float64)
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    n = np.bincount(doc, count[numbers], len(texts))
+    mean = np.bincount(doc, total[numbers], len(texts)) / np.maximum(n, 1)
+    return 1 / (1 + np.exp(-np.clip(intercept + mean, -60, 60)))

@@ -8,7 +8,11 @@ Hashes are 64 bits wide: two different windows collide with probability about
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: the same words as a pattern for Spark SQL and DuckDB
@@ -85,3 +89,15 @@ def shingle_set(text: str | None, width: int = NEAR_WORDS) -> np.ndarray:
     """
     h = word_hashes(lower_words(text))
     return np.unique(window_hashes(h, min(width, len(h)))) if len(h) else h
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows with at most ``limit`` bytes in ``column``; a longer value is a run of its own."""
+    start = total = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if total and total + n > limit:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
