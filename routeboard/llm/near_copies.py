@@ -15,8 +15,9 @@ class there, wherever their copies are.  Candidates must pass
 Each surviving pair of classes is verified once, exactly.
 
 Groups of copies.  In a prefix shingle's list every class is first paired with
-one hub, its smallest class, and after that with another, chosen by a hash: a
-group of n near copies costs n pairs a round, not n squared.  At the end every
+one hub, its smallest class, and after that with another, chosen by a hash; a
+class is compared with the hub it shares most lists with, so a group of n near
+copies costs n pairs in the first round, not n squared.  At the end every
 pair whose classes are still in different components is compared, so no link
 between two components is lost.
 
@@ -216,7 +217,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int)
     wanted = (pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
               .join(classes.select("class", "first_id"), "class"))
     wanted = write_and_reload(wanted, "near-candidates")
-    # a bitmap of the candidates' ids spares the text of other documents the shuffle; false hits fall out of the join
+    # a bitmap of the candidates' ids spares the other documents
     slots = 1 << 20
     n = wanted.count()
     while slots < min(MAX_BITS, 16 * n):
@@ -236,14 +237,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int)
             at = batch.column("slot").to_numpy()
             hit = np.flatnonzero((marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             if len(hit):
-                part = batch.take(pa.array(hit))
-                sets = [shingle_set(t, width).tobytes() for t in part.column("text").to_pylist()]
-                yield pa.record_batch([part.column("doc_id"), pa.array(sets, pa.binary())], names=["first_id", "shingles"])
+                sets = [shingle_set(t, width) for t in batch.column("text").take(pa.array(hit)).to_pylist()]
+                yield pa.record_batch([pa.array([class_of(x) for x in sets], pa.int64()),
+                                       pa.array([x.tobytes() for x in sets], pa.binary())], names=["class", "shingles"])
 
     sets = (docs.where("doc_id IS NOT NULL").withColumn("slot", slot("doc_id"))
-            .select("doc_id", "text", "slot").mapInArrow(make, "first_id long, shingles binary"))
-    sets = wanted.join(sets, "first_id").select("class", "shingles").dropDuplicates(["class"])
-    sets = write_and_reload(sets, "near-sets")
+            .select("text", "slot").mapInArrow(make, "class long, shingles binary"))
+    sets = write_and_reload(sets, "near-sets")   # false hits and second copies fall out below
 
     def verify(batches):
         for batch in batches:
@@ -253,7 +253,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int)
 
     return (pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a")
             .join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
-            .select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+            .select("a", "b", "x", "y").mapInArrow(verify, "a long, b long").distinct())
+
+
+def _closest(pairs: DataFrame) -> DataFrame:
+    """For each ``b`` the ``a`` it shares most lists with (ties: the smallest)."""
+    return (pairs.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("b")
+            .agg(F.max(F.struct("n", -F.col("a").cast("decimal(20,0)"), "a")).alias("best")).select("best.a", "b"))
 
 
 def near_copies(df: DataFrame, width: int = NEAR_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -275,7 +281,7 @@ def near_copies(df: DataFrame, width: int = NEAR_WORDS, doc_id: str = "doc_id",
             _shared_grams, "bucket int, gram long, class long, n long, pos long, hub long, size long, candidate boolean"),
         "near-shared")
     to_hub = write_and_reload(
-        shared.where("candidate").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct(), "near-pairs")
+        _closest(shared.where("candidate").select(F.col("hub").alias("a"), F.col("class").alias("b"))), "near-pairs")
     first = write_and_reload(_verified(to_hub, docs, classes, width), "near-links")
 
     links, tried = first, to_hub
