@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, datetime
 
 from .functions.time import check_grain
 
@@ -26,8 +26,9 @@ class ReportParams:
 
     def __post_init__(self) -> None:
         check_grain(self.grain)
-        if not isinstance(self.start, date) or not isinstance(self.end, date):
-            raise TypeError("start and end must be datetime.date values")
+        # a datetime is a date too, but its time of day would cut the first day short
+        if any(not isinstance(d, date) or isinstance(d, datetime) for d in (self.start, self.end)):
+            raise TypeError("start and end must be datetime.date values without a time of day")
 
     def with_grain(self, grain: str) -> "ReportParams":
         return ReportParams(self.start, self.end, grain)

@@ -39,20 +39,31 @@ EVENT_RANGE = ReportParams(date(2024, 1, 10), date(2024, 1, 20), "day")
 EVENT_COHORT = ReportParams(date(2024, 1, 2), date(2024, 1, 20), "day")
 
 
-def orders_base(spark: SparkSession, data_dir: str) -> DataFrame:
-    return order_lines_base(spark, data_dir)
+def orders_base(spark: SparkSession, data_dir: str, window: ReportParams | None = None) -> DataFrame:
+    return order_lines_base(spark, data_dir, window=window)
 
 
 def events_base(spark: SparkSession, data_dir: str) -> DataFrame:
     return normalize(events_fact(spark, data_dir), fold_case=False)
 
 
+# first dates need every transfer, whatever the page's range
+WHOLE_HISTORY = (reports.new_users, reports.new_user_kpis)
+
+
+def _base(base_fn, report, params, spark: SparkSession, d: str) -> DataFrame:
+    """The relation a report reads: from the orders only the report's own range."""
+    if base_fn is orders_base and report not in WHOLE_HISTORY:
+        return orders_base(spark, d, params)
+    return base_fn(spark, d)
+
+
 def _on(base_fn, report, params, **kw) -> Query:
-    return lambda spark, d: report(base_fn(spark, d), params, **kw)
+    return lambda spark, d: report(_base(base_fn, report, params, spark, d), params, **kw)
 
 
 def _derived(base_fn, report, params, make) -> Query:
-    return lambda spark, d: make(report(base_fn(spark, d), params))
+    return lambda spark, d: make(report(_base(base_fn, report, params, spark, d), params))
 
 
 # --- primitives -----------------------------------------------------------------
@@ -132,7 +143,7 @@ def p_median_ranked(spark, d):
 
 def p_running_total(spark, d):
     daily = (
-        reports.in_range(orders_base(spark, d), PAGE)
+        reports.in_range(orders_base(spark, d, PAGE), PAGE)
         .groupBy(F.col("created_date").alias("date"))
         .agg(stable_round(F.sum("amount_usd")).alias("total_volume"))
     )

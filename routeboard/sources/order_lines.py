@@ -25,19 +25,32 @@ Join plan, written for a fact far larger than memory:
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.normalize import SERVICE_TAG
+from ..params import ReportParams
 from .tables import read_table
 
 # Fixed value: days added to every order date (1995-01-01 becomes 2022-01-01).
 DATE_SHIFT_DAYS = 9862
 
 
-def order_lines_base(spark: SparkSession, data_dir: str, service: str = SERVICE_TAG) -> DataFrame:
-    """Normalised relation (``BASE_COLUMNS``), chains unfolded (nation names as stored)."""
+def order_lines_base(spark: SparkSession, data_dir: str, service: str = SERVICE_TAG,
+                     window: ReportParams | None = None) -> DataFrame:
+    """Normalised relation (``BASE_COLUMNS``), chains unfolded (nation names as stored).
+
+    ``window`` keeps the transfers of its date range only.  The shifted date
+    hides the stored one from the optimizer, so the range is moved back and
+    filters ``o_orderdate`` itself, in the scan of ``orders``.
+    """
     orders = read_table(spark, data_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    if window is not None:
+        shift = timedelta(days=DATE_SHIFT_DAYS)
+        orders = orders.where((F.col("o_orderdate") >= F.lit(window.start - shift))
+                              & (F.col("o_orderdate") < F.lit(window.end - shift + timedelta(days=1))))
     customer = read_table(spark, data_dir, "customer").select("c_custkey", "c_nationkey")
     lines = read_table(spark, data_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax")

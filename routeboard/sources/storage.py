@@ -9,6 +9,8 @@ path.
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 
@@ -31,7 +33,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):   # local-cluster is a cluster
         raise RuntimeError("spark.checkpoint.dir is not set; point it at a folder shared by the cluster")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="routeboard-ckpt-"))
     return sc.getCheckpointDir()
@@ -46,6 +48,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/routeboard/{name}-{uuid.uuid4().hex}"
 
 
+def stream_checkpoint(spark: SparkSession, name: str, path: str) -> str:
+    """The checkpoint of the stream ``name`` that writes ``path``: the same in every application.
+
+    Directly under the configured ``spark.checkpoint.dir`` (the context's own
+    checkpoint folder is new for each application) and named by a digest of
+    ``path``, so a restarted job resumes.  Without that setting the caller has
+    to pass a location.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise ValueError("pass checkpoint=, or set spark.checkpoint.dir to a folder shared by the cluster")
+    digest = hashlib.sha256(path.rstrip("/").encode()).hexdigest()[:32]
+    return f"{root.rstrip('/')}/routeboard/{name}-{digest}"
+
+
 def write_and_reload(df: DataFrame, name: str, sort_by: tuple[str, ...] = (),
                      partition_by: tuple[str, ...] = (), cluster_by=(), path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and scan it back.

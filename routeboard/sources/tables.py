@@ -17,21 +17,3 @@ def read_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
 def read_fact(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A real transfer fact table stored at ``path`` (columns ``FACT_COLUMNS``)."""
     return spark.read.format(fmt).load(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a fact scan over the cluster when it yields too few tasks.
-
-    A Parquet file is split by row group, so a fact stored as a handful of
-    single-row-group files scans in a handful of tasks and every narrow step
-    after it (joins against broadcast tables, JSON parsing, the write) stays
-    that narrow.  When the scan has fewer partitions than the default
-    parallelism it is redistributed; a fact stored as many files -- every
-    large table -- is left untouched, so this never adds a shuffle at scale.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # no context / RDD view (a remote session): keep the scan as is
-        return df
-    return df.repartition(target) if current < target else df

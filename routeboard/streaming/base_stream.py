@@ -7,20 +7,21 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.normalize import normalize
 from ..sources.schema import BASE_COLUMNS
-from ..sources.storage import checkpoint_root
+from ..sources.storage import stream_checkpoint
 
 
 def start_base_stream(raw_stream: DataFrame, base_path: str, checkpoint: str | None = None,
                       available_now: bool = True) -> StreamingQuery:
     """Normalise a streaming raw fact and append it to ``base_path``.
 
-    The file sink with a checkpoint under the shared checkpoint folder gives
-    exactly-once appends; a restarted query resumes where it stopped.
+    The file sink with its checkpoint gives exactly-once appends.  Unless
+    ``checkpoint`` names a location, it is derived from ``base_path`` under
+    ``spark.checkpoint.dir``, so a restarted job resumes where it stopped.
     ``available_now`` processes what is there and stops (a scheduled job);
     otherwise it keeps running on the default trigger.
     """
     spark = raw_stream.sparkSession
-    location = checkpoint or f"{checkpoint_root(spark).rstrip('/')}/routeboard/stream-{abs(hash(base_path))}"
+    location = checkpoint or stream_checkpoint(spark, "stream", base_path)
     writer = (
         normalize(raw_stream, fold_case=False).select(*BASE_COLUMNS)
         .writeStream.format("parquet")

@@ -18,14 +18,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.normalize import normalize
-from ..sources.storage import checkpoint_root
+from ..sources.storage import stream_checkpoint
 
 
 def start_first_seen_stream(raw_stream: DataFrame, path: str, checkpoint: str | None = None,
                             available_now: bool = True) -> StreamingQuery:
-    """Append ``(user_address, first_txn_date)`` updates of a streaming raw fact to ``path``."""
+    """Append ``(user_address, first_txn_date)`` updates of a streaming raw fact to ``path``.
+
+    Unless ``checkpoint`` names a location, it is derived from ``path`` under
+    ``spark.checkpoint.dir``, so a restarted job keeps its state.
+    """
     spark = raw_stream.sparkSession
-    location = checkpoint or f"{checkpoint_root(spark).rstrip('/')}/routeboard/first-seen-{abs(hash(path))}"
+    location = checkpoint or stream_checkpoint(spark, "first-seen", path)
     firsts = (
         normalize(raw_stream, fold_case=False)
         .groupBy("user_address")

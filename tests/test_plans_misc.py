@@ -1,12 +1,12 @@
-"""Session settings, storage helpers, scan spreading, and cleanup on failure."""
+"""Session settings, storage helpers, pushed ranges, and cleanup on failure."""
 
 import pytest
 from pyspark.sql import functions as F
 
+from routeboard.plans.catalog import QUERIES
 from routeboard.plans.dashboard import Dashboard
 from routeboard.plans.session import RECOMMENDED_CONF, cluster_conf
 from routeboard.sources.storage import checkpoint_root, scratch_path
-from routeboard.sources.tables import read_table, spread
 from tests.conftest import SF_SMALL
 
 
@@ -26,12 +26,30 @@ def test_checkpoint_root_and_scratch_paths(spark):
     assert a != b and a.startswith(root.rstrip("/"))
 
 
-def test_spread_only_widens_narrow_scans(spark):
-    narrow = read_table(spark, SF_SMALL, "events")          # one row group -> one task
-    assert narrow.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
-    assert spread(narrow).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism * 2)
-    assert spread(wide) is wide                              # no extra shuffle
+RANGED = [k for k in QUERIES if not k.endswith("_events") and k[0] in "rd" and k[:3] not in ("r08", "r09", "r13", "d1_", "d2_")
+          and k != "r14_route_profile_ranked"] + ["p_running_total"]
+
+
+@pytest.mark.parametrize("name", RANGED)
+def test_range_reaches_the_orders_scan(spark, name):
+    plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "o_orderdate" in line and "PushedFilters" in line]
+    assert scans and all("GreaterThanOrEqual(o_orderdate" in x and "LessThan(o_orderdate" in x for x in scans)
+
+
+def test_no_round_robin_exchange(spark):
+    for name in ("p_normalized", "r02_activity_over_time_events", "r13_heatmap"):
+        assert "RoundRobin" not in QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().toString()
+
+
+def test_params_refuse_a_time_of_day():
+    from datetime import date, datetime
+
+    from routeboard import ReportParams
+    with pytest.raises(TypeError):
+        ReportParams(datetime(2024, 1, 10, 12), date(2024, 1, 20))
+    with pytest.raises(TypeError):
+        ReportParams(date(2024, 1, 10), datetime(2024, 1, 20))
 
 
 def test_run_releases_cache_on_failure(spark):

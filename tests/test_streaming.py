@@ -67,3 +67,44 @@ def test_first_seen_stream_matches_batch_and_feeds_reports(spark, tmp_path):
     a = R.new_user_kpis(base, p, daily=R.daily_new_users(base, p, got)).collect()
     b = R.new_user_kpis(base, p).collect()
     assert a == b
+
+
+RESTART = """
+import sys
+from pyspark.sql import SparkSession
+from routeboard.streaming import start_base_stream, start_first_seen_stream
+raw, base, first, ckpt = sys.argv[1:]
+spark = (SparkSession.builder.master("local[2]").config("spark.checkpoint.dir", ckpt).config("spark.ui.enabled", "false")
+         .config("spark.sql.shuffle.partitions", "2").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+schema = spark.read.parquet(raw + "/batch=0").schema
+stream = lambda: spark.readStream.schema(schema).parquet(raw + "/*")
+start_base_stream(stream(), base).awaitTermination(120)
+query = start_first_seen_stream(stream(), first)
+query.awaitTermination(120)
+print("READ", sum(p.numInputRows for p in query.recentProgress))
+"""
+
+
+def test_a_new_process_resumes_at_the_default_checkpoint(spark, tmp_path):
+    """Two applications, no ``checkpoint=``: every row arrives once, and history is not read again."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    raw = events_fact(spark, SF_SMALL)
+    places = [str(tmp_path / x) for x in ("raw", "base", "first", "ckpt")]
+
+    def run_once() -> int:
+        done = subprocess.run([sys.executable, "-c", RESTART, *places], cwd=Path(__file__).resolve().parents[1],
+                              capture_output=True, text=True, timeout=240)
+        assert done.returncode == 0, done.stderr[-2000:]
+        return int(done.stdout.rpartition("READ")[2])
+
+    halves = [raw.where(F.col("id") % 2 == k) for k in (0, 1)]
+    halves[0].write.parquet(f"{places[0]}/batch=0")
+    assert run_once() == halves[0].count()
+    halves[1].write.parquet(f"{places[0]}/batch=1")
+    assert run_once() == halves[1].count()
+    got = spark.read.parquet(places[1]).select(*BASE_COLUMNS)
+    want = normalize(raw, fold_case=False).select(*BASE_COLUMNS)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
