@@ -15,9 +15,10 @@ class there, wherever their copies are.  Candidates must pass
 Each surviving pair of classes is verified once, exactly.
 
 Groups of copies.  In a prefix shingle's list every class is first paired with
-one hub, its smallest class, and after that with another, chosen by a hash; a
-class is compared with the hub it shares most lists with, so a group of n near
-copies costs n pairs in the first round, not n squared.  At the end every
+one hub, its smallest class, and after that with another, chosen by a hash: a
+list of n near copies costs n pairs a round, not n squared.  (One hub a class
+instead of one a list leaves loose groups unmerged: most pairs of a group may
+miss the threshold that some pass.)  At the end every
 pair whose classes are still in different components is compared, so no link
 between two components is lost.
 
@@ -256,12 +257,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int)
             .select("a", "b", "x", "y").mapInArrow(verify, "a long, b long").distinct())
 
 
-def _closest(pairs: DataFrame) -> DataFrame:
-    """For each ``b`` the ``a`` it shares most lists with (ties: the smallest)."""
-    return (pairs.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("b")
-            .agg(F.max(F.struct("n", -F.col("a").cast("decimal(20,0)"), "a")).alias("best")).select("best.a", "b"))
-
-
 def near_copies(df: DataFrame, width: int = NEAR_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``df``: doc_id, n_shingles, class_id (smallest id with the same set), n_verified (links its class
     was verified to have, enough to connect its component) and component_id (smallest id reachable by links, itself included).
@@ -281,7 +276,7 @@ def near_copies(df: DataFrame, width: int = NEAR_WORDS, doc_id: str = "doc_id",
             _shared_grams, "bucket int, gram long, class long, n long, pos long, hub long, size long, candidate boolean"),
         "near-shared")
     to_hub = write_and_reload(
-        _closest(shared.where("candidate").select(F.col("hub").alias("a"), F.col("class").alias("b"))), "near-pairs")
+        shared.where("candidate").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct(), "near-pairs")
     first = write_and_reload(_verified(to_hub, docs, classes, width), "near-links")
 
     links, tried = first, to_hub
