@@ -15,12 +15,14 @@ class there, wherever their copies are.  Candidates must pass
 Each surviving pair of classes is verified once, exactly.
 
 Groups of copies.  In a prefix shingle's list every class is first paired with
-one hub, its smallest class, and after that with another, chosen by a hash: a
-list of n near copies costs n pairs a round, not n squared.  (One hub a class
-instead of one a list leaves loose groups unmerged: most pairs of a group may
-miss the threshold that some pass.)  At the end every
-pair whose classes are still in different components is compared, so no link
-between two components is lost.
+one hub, its smallest class.  In the rounds after that the classes outside the
+list's largest component are paired with a fixed number of its members, more
+of them each round as fewer classes are left: a list of n near copies costs a
+multiple of n pairs, not n squared.  (In a loose group most pairs miss the
+threshold that some pass, so one hub leaves many of its classes alone; each
+further hub takes its share of them.)  At the end every pair whose classes are
+still in different components is compared, so no link between two components
+is lost.
 
 Empty sets (no word, NULL text) link with nothing.  Repeated rows are copies.
 """
@@ -41,6 +43,7 @@ CELLS = 1 << 20          # counters of the document-count sketch; bounds its bro
 SLICES = 16              # the sketch is summed in slices
 MAX_BITS = 1 << 28       # bitmap of candidate ids: 32 MB at most
 RANGES = 16              # hash ranges of the suffix filter
+HUBS = (4, 16, 64)       # by round: members of a list's largest component that its other classes are paired with
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -178,12 +181,21 @@ def _pairs_of(cls, n, pos, top, i: int, j: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], axis=1)
 
 
-def _to_other_hub(key, rows):
-    """Candidate pairs of each list's classes with a hub chosen by a hash, in another component."""
-    cls, n, pos, top, lists = _lists(rows)
-    ranks = mix(cls.view(np.uint64) + np.uint64(1))
-    return _pair_table([_pairs_of(cls, n, pos, top, a + int(np.argmin(ranks[a:b])), np.arange(a, b))
-                        for a, b in lists if (top[a:b] != top[a]).any()])
+def _to_hubs(hubs_a_list: int):
+    """Candidate pairs of each list's classes with ``hubs_a_list`` members of the list's largest component."""
+    def candidates(key, rows):
+        cls, n, pos, top, lists = _lists(rows)
+        ranks = mix(cls.view(np.uint64) + np.uint64(hubs_a_list))
+        found = []
+        for a, b in lists:
+            tops, at, sizes = np.unique(top[a:b], return_inverse=True, return_counts=True)
+            if len(tops) > 1:
+                inside = a + np.flatnonzero(at == np.argmax(sizes))
+                hubs = inside[np.argsort(ranks[inside], kind="stable")[:hubs_a_list]]
+                found += [_pairs_of(cls, n, pos, top, i, np.arange(a, b)) for i in hubs]
+        return _pair_table(found)
+
+    return candidates
 
 
 def _across(key, rows):
@@ -281,7 +293,7 @@ def near_copies(df: DataFrame, width: int = NEAR_WORDS, doc_id: str = "doc_id",
 
     links, tried = first, to_hub
     longer = shared.where("size > 2").select("bucket", "gram", "class", "n", "pos")
-    for candidates in (_to_other_hub, _across):
+    for candidates in (*map(_to_hubs, HUBS), _across):
         tops = components(links, "a", "b").select(F.col("id").alias("class"), F.col("component_id").alias("top"))
         pairs = (longer.join(tops, "class", "left").withColumn("top", F.coalesce("top", "class"))
                  .groupBy("bucket").applyInArrow(candidates, "a long, b long").distinct()
