@@ -20,9 +20,11 @@ list's largest component are paired with a fixed number of its members, more
 of them each round as fewer classes are left: a list of n near copies costs a
 multiple of n pairs, not n squared.  (In a loose group most pairs miss the
 threshold that some pass, so one hub leaves many of its classes alone; each
-further hub takes its share of them.)  At the end every pair whose classes are
-still in different components is compared, so no link between two components
-is lost.
+further hub takes its share of them.)  A list no longer than twice a round's
+hubs is compared in full instead and is done, as is one within one component:
+the next round reads only the other lists.  At the end every pair of theirs
+whose classes are still in different components is compared, so no link
+between two components is lost.
 
 Empty sets (no word, NULL text) link with nothing.  Repeated rows are copies.
 """
@@ -166,7 +168,7 @@ def _lists(rows):
     order = np.lexsort((cls, n, gram))
     gram = gram[order]
     starts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
-    return cls[order], n[order], pos[order], top[order], zip(starts, np.r_[starts[1:], len(gram)], strict=True)
+    return gram, cls[order], n[order], pos[order], top[order], zip(starts, np.r_[starts[1:], len(gram)], strict=True)
 
 
 def _pair_table(found: list[np.ndarray]) -> pa.Table:
@@ -181,33 +183,50 @@ def _pairs_of(cls, n, pos, top, i: int, j: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], axis=1)
 
 
+def _in_full(cls, n, pos, top, a: int, b: int) -> list[np.ndarray]:
+    """All candidate pairs of the list ``a:b`` (sets of ascending size: partners are a run after each)."""
+    ends = a + np.searchsorted(n[a:b], 100 * n[a:b] // NEAR_PERCENT, side="right")
+    return [_pairs_of(cls, n, pos, top, i, np.arange(i + 1, ends[i - a])) for i in range(a, b - 1)]
+
+
 def _to_hubs(hubs_a_list: int):
-    """Candidate pairs of each list's classes with ``hubs_a_list`` members of the list's largest component."""
+    """Candidate pairs of each list's classes with ``hubs_a_list`` members of its largest component, and the lists to go on with.
+
+    Pairs fill ``a`` and ``b``; the postings of lists that are not done fill the other columns.
+    """
     def candidates(key, rows):
-        cls, n, pos, top, lists = _lists(rows)
+        gram, cls, n, pos, top, lists = _lists(rows)
         ranks = mix(cls.view(np.uint64) + np.uint64(hubs_a_list))
-        found = []
+        found, left = [], [np.zeros(0, np.int64)]
         for a, b in lists:
             tops, at, sizes = np.unique(top[a:b], return_inverse=True, return_counts=True)
-            if len(tops) > 1:
-                inside = a + np.flatnonzero(at == np.argmax(sizes))
-                hubs = inside[np.argsort(ranks[inside], kind="stable")[:hubs_a_list]]
-                found += [_pairs_of(cls, n, pos, top, i, np.arange(a, b)) for i in hubs]
-        return _pair_table(found)
+            if len(tops) == 1:
+                continue
+            if b - a <= 2 * hubs_a_list:
+                found += _in_full(cls, n, pos, top, a, b)
+                continue
+            inside = a + np.flatnonzero(at == np.argmax(sizes))
+            hubs = inside[np.argsort(ranks[inside], kind="stable")[:hubs_a_list]]
+            found += [_pairs_of(cls, n, pos, top, i, np.arange(a, b)) for i in hubs]
+            left.append(np.arange(a, b))
+        pairs, left = _pair_table(found), np.concatenate(left)
+        rest = pa.table({"bucket": pa.array([key[0].as_py()] * len(left), pa.int32()), "gram": pa.array(gram[left], pa.int64()),
+                         "class": pa.array(cls[left], pa.int64()), "n": pa.array(n[left], pa.int64()), "pos": pa.array(pos[left], pa.int64())})
+        return pa.concat_tables([pairs, rest], promote_options="default").select(_ROUND)
 
     return candidates
 
 
+_ROUND = ["a", "b", "bucket", "gram", "class", "n", "pos"]
+
+
 def _across(key, rows):
     """All candidate pairs of a bucket whose classes are in different components."""
-    cls, n, pos, top, lists = _lists(rows)
-    found = []
-    for a, b in lists:
-        if (top[a:b] != top[a]).any():
-            for i in range(a, b - 1):   # sets of ascending size: partners are a run after i
-                end = a + np.searchsorted(n[a:b], 100 * n[i] // NEAR_PERCENT, side="right")
-                found.append(_pairs_of(cls, n, pos, top, i, np.arange(i + 1, end)))
-    return _pair_table(found)
+    gram, cls, n, pos, top, lists = _lists(rows)
+    found = [p for a, b in lists if (top[a:b] != top[a]).any() for p in _in_full(cls, n, pos, top, a, b)]
+    pairs = _pair_table(found)
+    return pa.concat_tables([pairs, pa.table({"bucket": pa.array([], pa.int32())} | {c: pa.array([], pa.int64()) for c in _ROUND[3:]})],
+                            promote_options="default").select(_ROUND)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -295,10 +314,13 @@ def near_copies(df: DataFrame, width: int = NEAR_WORDS, doc_id: str = "doc_id",
     longer = shared.where("size > 2").select("bucket", "gram", "class", "n", "pos")
     for candidates in (*map(_to_hubs, HUBS), _across):
         tops = components(links, "a", "b").select(F.col("id").alias("class"), F.col("component_id").alias("top"))
-        pairs = (longer.join(tops, "class", "left").withColumn("top", F.coalesce("top", "class"))
-                 .groupBy("bucket").applyInArrow(candidates, "a long, b long").distinct()
-                 .join(tried, ["a", "b"], "left_anti"))
-        pairs = write_and_reload(pairs, "near-pairs")
+        found = write_and_reload(
+            longer.join(tops, "class", "left").withColumn("top", F.coalesce("top", "class"))
+            .groupBy("bucket").applyInArrow(candidates, "a long, b long, bucket int, gram long, class long, n long, pos long"),
+            "near-round")
+        longer = found.where("a IS NULL").select("bucket", "gram", "class", "n", "pos")
+        pairs = write_and_reload(
+            found.where("a IS NOT NULL").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
         if not pairs.isEmpty():
             links = write_and_reload(links.unionByName(_verified(pairs, docs, classes, width)), "near-links")
             tried = tried.unionByName(pairs)
