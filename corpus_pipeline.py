@@ -26,7 +26,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Repeated rows (same id and text) are copies too.  Rows with a NULL id
     cannot be told apart and stay.
     """
-    first = near_copies.near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = near_copies.near_copies(docs, count_links=False).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 

@@ -26,6 +26,12 @@ the next round reads only the other lists.  At the end every pair of theirs
 whose classes are still in different components is compared, so no link
 between two components is lost.
 
+Link counts.  Every link lies within a component, so once the components are
+known each of them is cut into slices of about ``TILE`` classes (by a hash)
+and every pair of slices is compared in one tile: a sparse incidence matrix of
+the shingles that stand in two sets or more, multiplied with itself, gives all
+intersections exactly.  A tile sends one number a class, not its pairs.
+
 Empty sets (no word, NULL text) link with nothing.  Repeated rows are copies.
 """
 
@@ -45,6 +51,8 @@ CELLS = 1 << 20          # counters of the document-count sketch; bounds its bro
 SLICES = 16              # the sketch is summed in slices
 MAX_BITS = 1 << 28       # bitmap of candidate ids: 32 MB at most
 RANGES = 16              # hash ranges of the suffix filter
+TILE = 128               # classes in a slice of a component, when its links are counted
+COLUMNS = 1 << 16        # shingles multiplied at a time; bounds a tile's matrices to 64 MB each
 HUBS = (4, 16, 64)       # by round: members of a list's largest component that its other classes are paired with
 
 
@@ -243,11 +251,9 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * shared >= NEAR_PERCENT * (total - shared)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """The linked pairs (a, b of classes).  Sets are made for one document of each candidate class."""
+def _sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(class, shingles) of the wanted classes (class, first_id); further rows and classes that share a bit come along."""
     spark = docs.sparkSession
-    wanted = (pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-              .join(classes.select("class", "first_id"), "class"))
     wanted = write_and_reload(wanted, "near-candidates")
     # a bitmap of the candidates' ids spares the other documents
     slots = 1 << 20
@@ -275,7 +281,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int)
 
     sets = (docs.where("doc_id IS NOT NULL").withColumn("slot", slot("doc_id"))
             .select("text", "slot").mapInArrow(make, "class long, shingles binary"))
-    sets = write_and_reload(sets, "near-sets")   # false hits and second copies fall out below
+    return write_and_reload(sets, "near-sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """The linked pairs (a, b of classes).  Sets are made for one document of each candidate class."""
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+                 .join(classes.select("class", "first_id"), "class"), docs, width)   # false hits and second copies fall out below
 
     def verify(batches):
         for batch in batches:
@@ -288,11 +300,77 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int)
             .select("a", "b", "x", "y").mapInArrow(verify, "a long, b long").distinct())
 
 
-def near_copies(df: DataFrame, width: int = NEAR_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``df``: doc_id, n_shingles, class_id (smallest id with the same set), n_verified (links its class
-    was verified to have, enough to connect its component) and component_id (smallest id reachable by links, itself included).
-
-    Rows with a NULL id take part in no link; their component is NULL.
+def _links_in(sets: list[np.ndarray], left: int) -> np.ndarray:
+    """Which of the first ``left`` sets are linked with which of the others; ``left`` 0: all with all (not with themselves)."""
+    hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    same = hashes[1:] == hashes[:-1]
+    shared = np.r_[False, same] | np.r_[same, False]
+    new = np.r_[True, ~same]
+    column, owner = (np.cumsum(new & shared) - 1)[shared], owner[shared]
+    rows, others = (slice(0, left), slice(left, None)) if left else (slice(None), slice(None))
+    n = np.array([len(x) for x in sets])
+    both = np.zeros((len(n[rows]), len(n[others])), np.int64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (start, start + COLUMNS))
+        m = np.zeros((len(sets), int(column[b - 1]) - start + 1), np.float32)
+        m[owner[a:b], column[a:b] - start] = 1
+        both += (m[rows] @ m[others].T).astype(np.int64)   # at most COLUMNS a product: exact in 24 bits
+    out = 100 * both >= NEAR_PERCENT * (n[rows][:, None] + n[others][None, :] - both)
+    if not left:
+        np.fill_diagonal(out, False)
+    return out
+
+
+def _count_links(batches):
+    """Per class of each tile the members of the classes of the tile that it is linked with.
+
+    The rows come sorted by tile and side; one tile is held at a time.
+    """
+    def counted(tile, rows):
+        cls, side, weight, sets = zip(*rows, strict=True)
+        weight, left = np.array(weight, np.int64), 0
+        if tile[1] != tile[2]:
+            left = side.count(tile[1])
+            if left in (0, len(side)):   # a slice without classes
+                return None
+        hit = _links_in([np.frombuffer(x, np.uint64) for x in sets], left)
+        links = hit @ weight if not left else np.r_[hit @ weight[left:], weight[:left] @ hit]
+        return pa.record_batch([pa.array(cls, pa.int64()), pa.array(links, pa.int64())], names=["class", "n"])
+
+    tile, rows = None, []
+    for batch in batches:
+        for top, low, high, side, cls, weight, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (top, low, high) != tile:
+                if rows and (out := counted(tile, rows)) is not None:
+                    yield out
+                tile, rows = (top, low, high), []
+            rows.append((cls, side, weight, shingles))
+    if rows and (out := counted(tile, rows)) is not None:
+        yield out
+
+
+def _link_counts(docs: DataFrame, classes: DataFrame, groups: DataFrame, width: int) -> DataFrame:
+    """(class, n): for each class of a component of several classes, the rows of other classes it is linked with."""
+    inside = classes.join(groups, classes["first_id"] == groups["id"]).select("class", "first_id", "members", F.col("component_id").alias("top"))
+    slices = inside.groupBy("top").agg(F.ceil(F.count("*") / TILE).cast("int").alias("slices"))
+    inside = write_and_reload(
+        inside.join(slices, "top").withColumn("side", F.pmod(F.xxhash64("class"), F.col("slices")).cast("int")), "near-inside")
+    sets = _sets(inside.select("class", "first_id"), docs, width).join(inside, "class").dropDuplicates(["class"])
+    tiles = (sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+             .select("top", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "class", "members", "shingles"))
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (tiles.repartition(parts, "top", "low", "high").sortWithinPartitions("top", "low", "high", "side")
+            .mapInArrow(_count_links, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")))
+
+
+def near_copies(df: DataFrame, width: int = NEAR_WORDS, doc_id: str = "doc_id", text: str = "text", count_links: bool = True) -> DataFrame:
+    """Per row of ``df``: doc_id, n_shingles, class_id (smallest id with the same set), n_links (the other rows that
+    it is linked with, copies included) and component_id (smallest id reachable by links, itself included).
+
+    Rows with a NULL id take part in no link; their component is NULL.  Without ``count_links`` there is no
+    column n_links, and only the links that connect the components are looked for.
     """
     docs = _ids(df, doc_id, text)
     buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -300,7 +378,7 @@ def near_copies(df: DataFrame, width: int = NEAR_WORDS, doc_id: str = "doc_id",
     sketch = _sketch(survey)
     members = survey.where("slice IS NULL").select("doc_id", "n_shingles", "class")
     classes = write_and_reload(
-        members.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first_id")), "near-classes")
+        members.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("members")), "near-classes")
 
     shared = write_and_reload(
         _prefix_rows(docs.where("doc_id IS NOT NULL"), sketch, width, buckets).groupBy("bucket").applyInArrow(
@@ -328,13 +406,14 @@ def near_copies(df: DataFrame, width: int = NEAR_WORDS, doc_id: str = "doc_id",
     links = write_and_reload(
         links.join(ids, "a").join(ids.select(F.col("a").alias("b"), F.col("u").alias("v")), "b").select("u", "v"), "near-id-links")
     groups = components(links, "u", "v")
-    verified = links.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("n_verified"))
-    labelled = (classes.join(groups, classes["first_id"] == groups["id"], "left").drop("id")
-                .join(verified, classes["first_id"] == verified["id"], "left").drop("id"))
-    return (members.join(labelled, "class", "left")
-            .select("doc_id", "n_shingles",
-                    F.when(F.col("n_shingles") > 0, F.col("first_id")).otherwise(F.col("doc_id")).alias("class_id"),
-                    F.coalesce("n_verified", F.lit(0)).cast("long").alias("n_verified"),
-                    F.when(F.col("doc_id").isNull(), F.lit(None).cast("long"))
-                    .when(F.col("n_shingles") > 0, F.coalesce("component_id", "first_id"))
-                    .otherwise(F.col("doc_id")).alias("component_id")))
+    labelled = classes.join(groups, classes["first_id"] == groups["id"], "left").drop("id")
+    columns = ["doc_id", "n_shingles",
+               F.when(F.col("n_shingles") > 0, F.col("first_id")).otherwise(F.col("doc_id")).alias("class_id"),
+               F.when(F.col("doc_id").isNull(), F.lit(None).cast("long"))
+               .when(F.col("n_shingles") > 0, F.coalesce("component_id", "first_id"))
+               .otherwise(F.col("doc_id")).alias("component_id")]
+    if count_links:
+        labelled = labelled.join(_link_counts(docs, classes, groups, width), "class", "left")
+        n_links = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("members") - 1 + F.coalesce("n", F.lit(0)))
+        columns.insert(3, F.coalesce(n_links, F.lit(0)).cast("long").alias("n_links"))
+    return members.join(labelled, "class", "left").select(*columns)

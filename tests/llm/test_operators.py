@@ -126,6 +126,34 @@ def test_near_copies(docs, awkward, empty):
     assert near_copies.near_copies(empty).count() == 0
 
 
+def expected_links(rows):
+    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+    out = Counter({i: 0 for i, _ in sets})
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            both = len(a & b)
+            if a and b and 100 * both >= 75 * (len(a) + len(b) - both):
+                out.update((i, j))
+    return out
+
+
+def test_near_copies_count_every_link(spark, docs, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = [f"v{int(x)}" for x in rng.integers(0, 400, 120)]
+    rows = list(plain(docs).items())
+    for k in range(70):   # a loose group: some pairs are linked, others only through a third
+        edited = list(base)
+        for at in rng.integers(0, 120, int(rng.integers(1, 5))):
+            edited[int(at)] = f"own{k}"
+        rows += [(1000 + 10 * k + c, " ".join(edited)) for c in range(1 + (k % 7 == 0))]
+    table = spark.createDataFrame([*rows, (None, " ".join(base))], "doc_id long, text string")
+    want = expected_links(rows)
+    assert len({n for i, n in want.items() if i >= 1000}) > 5
+    monkeypatch.setattr(near_copies, "TILE", 8)   # several tiles a component
+    got = {r["doc_id"]: r["n_links"] for r in near_copies.near_copies(table).collect()}
+    assert got.pop(None) == 0 and got == dict(want)
+
+
 def test_near_filters_lose_no_pair():
     rng = np.random.default_rng(5)
     for _ in range(300):
