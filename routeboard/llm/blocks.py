@@ -1,38 +1,150 @@
 """Blocks: documents grouped by ranges of their id, so that neighbours in id order meet in one task.
 
-The block width follows the id range and the row count (one aggregate over
-the id column alone, when the plan is made), so dense and evenly spread ids
-give about ``rows`` documents a block.  Blocks are ordered like the ids.
+Two passes over the ids (and the lengths of the texts) place the bounds when
+the plan is made.  Ids are aggregated, range-partitioned and cut wherever the
+rows or the bytes since the last cut reach their limit, so neither outlying
+nor sparse ids fill a block.  The rows of an id (or of NULL) that has more than
+a block's share are cut further by their text, in a pass over those rows alone;
+rows that are equal in both are dealt over as many blocks as they need.
+A bound is exact, not sampled: block numbers do not change between readings.
+
+Blocks are ordered like the rows: NULL ids first, then by id, then by text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_BLOCKS = 1_000_000
+BLOCK_BYTES = 8 << 20    # of text
+
+
+def _cuts(rows: int, size: int):
+    """First ids of blocks, and the ids that need several, from (given, id, n, bytes) sorted by id."""
+    def run(batches):
+        n = total = 0
+        fresh, alone = True, False
+        for batch in batches:
+            out = []
+            for given, i, count, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                heavy = count > 1 and (count > rows or weight > size)
+                if fresh or alone or heavy or n + count > rows or total + weight > size:
+                    out.append((given, i, heavy))
+                    n = total = 0
+                n, total, fresh, alone = n + count, total + weight, False, heavy
+            if out:
+                yield pa.record_batch([pa.array(c, ty) for c, ty in zip(zip(*out, strict=True), (pa.bool_(), pa.int64(), pa.bool_()), strict=True)],
+                                      names=["given", "id", "heavy"])
+
+    return run
+
+
+def _text_cuts(rows: int, size: int):
+    """First texts of the blocks of each heavy id, from (given, id, text) sorted; a text too frequent for one block stands several times.
 
+    A cut is the shortest beginning of its text that is larger than the text before.
+    """
+    def run(batches):
+        last, n, total, start = None, 0, 0, None
+        for batch in batches:
+            out = []
+            for given, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                weight = len(text.encode())
+                if last is None or last[:2] != (given, i):
+                    n, total, start = 0, 0, ""
+                    if last is None:   # the id may have begun in the partition before
+                        start = text
+                        out.append((given, i, start))
+                elif n + 1 > rows or total + weight > size:
+                    if text != last[2]:
+                        k = next((k for k, (a, b) in enumerate(zip(last[2], text, strict=False)) if a != b), len(last[2]))
+                        start = text[:k + 1]
+                        out.append((given, i, start))
+                    else:   # equal rows: their text is a bound, once for each block
+                        if start != text:
+                            out.append((given, i, text))
+                        out.append((given, i, text))
+                        start = text
+                    n = total = 0
+                n, total, last = n + 1, total + weight, (given, i, text)
+            if out:
+                yield pa.record_batch([pa.array(c, ty) for c, ty in zip(zip(*out, strict=True), (pa.bool_(), pa.int64(), pa.string()), strict=True)],
+                                      names=["given", "id", "text"])
+
+    return run
 
-def block_of(df: DataFrame, rows: int, doc_id: str = "doc_id", most: int | None = None) -> Column:
-    """The block number of a row; NULL ids come before all others (block -1).
 
-    ``rows``: documents a block; ``most``: with it, wider blocks keep their number below about that.
+def with_block(df: DataFrame, rows: int, doc_id: str = "doc_id", text: str = "text", most: int = MAX_BLOCKS, falling: bool = False) -> DataFrame:
+    """``df`` with the column ``block``: at most ``rows`` rows and BLOCK_BYTES of text (one longer text is a block of its own).
+
+    ``most``: about so many blocks; with more rows or bytes the limits rise.
+    ``falling``: the blocks of one id are numbered against the order of its texts.
     """
-    low, high, n = df.select(F.min(doc_id), F.max(doc_id), F.count("*")).first()
-    if low is None:
-        return F.lit(-1).cast("long")
-    rows = max(rows, -(-n // most)) if most else rows
-    width = max(1, (high - low + 1) * rows // n)
-    at = F.col(doc_id).cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")
-    return F.coalesce(F.floor(at / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
+    spark = df.sparkSession
+    given, key, body = F.col(doc_id).isNotNull(), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), F.coalesce(F.col(text), F.lit(""))
+    ids = df.groupBy(given.alias("given"), key.alias("id")).agg(F.count("*").alias("n"), F.sum(F.octet_length(body)).cast("long").alias("bytes"))
+    n, size = df.select(F.count("*"), F.coalesce(F.sum(F.octet_length(body)), F.lit(0))).first()
+    rows, size = max(rows, -(-n // most)), max(BLOCK_BYTES, -(-size // most))
+    cuts = ids.repartitionByRange("given", "id").sortWithinPartitions("given", "id").mapInArrow(_cuts(rows, size), "given boolean, id long, heavy boolean").collect()
+    cuts = sorted((r["given"], r["id"], r["heavy"]) for r in cuts)
+    heavy = {c[:2]: [] for c in cuts if c[2]}
+    if heavy:
+        wanted = F.broadcast(spark.createDataFrame(list(heavy), "given boolean, id long"))
+        long = df.select(given.alias("given"), key.alias("id"), body.alias("text")).join(wanted, ["given", "id"], "left_semi")
+        for r in (long.repartitionByRange("given", "id", "text").sortWithinPartitions("given", "id", "text")
+                  .mapInArrow(_text_cuts(rows, size), "given boolean, id long, text string").collect()):
+            heavy[r["given"], r["id"]].append(r["text"])
+    # a heavy id's first block begins with its smallest text
+    texts = {i: ["", *sorted(t)] if not t or min(t) else sorted(t) for i, t in heavy.items()}
+    sizes = np.array([len(texts[c[:2]]) if c[2] else 1 for c in cuts], np.int64)
+    ends = np.cumsum(sizes)
+    bounds = spark.sparkContext.broadcast((np.array([c[0] for c in cuts], bool), np.array([c[1] for c in cuts], np.int64), ends - sizes))
+    inside = spark.sparkContext.broadcast(texts)
+
+    @F.pandas_udf("long")
+    def block(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        has, first, at = bounds.value
+        nulls = int((~has).sum())
+        for own, i in batches:
+            own = own.to_numpy(bool)
+            place = np.where(own, nulls + np.searchsorted(first[nulls:], i.to_numpy(np.int64), side="right"), nulls) - 1
+            yield pd.Series(at[place])
+
+    out = df.withColumn("block", block(given, key))
+    if not heavy:
+        return out
+
+    @F.pandas_udf("long")
+    def within(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        from bisect import bisect_left, bisect_right
+        for own, i, t, nth in batches:
+            found = []
+            for a, b, x, k in zip(own, i, t, nth, strict=True):
+                starts = inside.value.get((a, b)) if x is not None else None
+                if starts is None:
+                    found.append(0)
+                    continue
+                low, high = bisect_left(starts, x), bisect_right(starts, x)
+                place = low + k % (high - low) if high - low > 1 else high - 1   # equal rows are dealt out
+                found.append(len(starts) - 1 - place if falling else place)
+            yield pd.Series(found, dtype="int64")
+
+    is_heavy = F.broadcast(spark.createDataFrame(list(heavy), "heavy_given boolean, heavy_id long"))
+    marked = out.withColumn("nth", F.monotonically_increasing_id()).join(is_heavy, (given == F.col("heavy_given")) & (key == F.col("heavy_id")), "left")
+    spot = within(given, key, F.when(F.col("heavy_id").isNotNull(), body), F.col("nth"))
+    return marked.withColumn("block", F.col("block") + spot).select(*df.columns, "block")
 
 
 def blocked(df: DataFrame, rows: int, doc_id: str, text: str) -> DataFrame:
     """(given, doc_id, text, block): whether the id is given, the id (else 0), the text (NULL: empty)."""
-    return df.select(F.col(doc_id).isNotNull().alias("given"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("doc_id"),
-                     F.coalesce(F.col(text), F.lit("")).alias("text"), block_of(df, rows, doc_id).alias("block"))
+    placed = with_block(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), rows)
+    return placed.select(F.col("doc_id").isNotNull().alias("given"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text", "block")
 
 
 def sorted_rows(block: pa.Table) -> list[tuple[bool, int, str]]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from routeboard.llm.blocks import MAX_BLOCKS, block_of
+from routeboard.llm.blocks import with_block
 from routeboard.llm.words import shingle_set
 
 K = 128
@@ -85,12 +85,12 @@ def with_edited(df: DataFrame, k: int = K, doc_id: str = "doc_id", text: str = "
     the next text.  Columns: doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next.
 
-    Texts are shuffled once, by blocks of the id range; a block also gets the
+    Texts are shuffled once, by blocks in id order; a block also gets the
     first document of the following block, so every document meets its next
     in a sorted stream and no task holds more than a few texts at a time.
     """
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("block", block_of(rows, BLOCK_ROWS, most=MAX_BLOCKS))
+    rows = with_block(rows, BLOCK_ROWS, falling=True)
     # per block the id of its first document, and the block that it follows (the first block's: the last)
     heads = rows.groupBy("block").agg(F.max("doc_id").alias("head"))
     falling, every = Window.orderBy(F.desc("block")), Window.partitionBy()

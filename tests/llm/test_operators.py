@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from routeboard.llm import (bpe, fingerprints, language_model, mixing, near_copies, quality, registry, secrets_scan,
+from routeboard.llm import (blocks, bpe, fingerprints, language_model, mixing, near_copies, quality, registry, secrets_scan,
                             substrings, toxicity, urls)
 from routeboard.llm.words import shingle_set, words
 
@@ -338,6 +338,37 @@ def test_substrings(docs, awkward, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def uneven_ids():
+    """Rows (id, text) with a third on NULL, a third on one id (a part of it equal), and one far outlier."""
+    rng = np.random.default_rng(7)
+    text = lambda k: " ".join(f"t{int(x)}" for x in rng.integers(0, 3, 24)) + f" {k}"
+    rows = [(None, text(k)) for k in range(60)] + [(77, text(k)) for k in range(30)] + [(77, "all the same " * 9)] * 30
+    return rows + [(3 * k, text(k)) for k in range(60)] + [(10**15, text(0)), (-10**15, None)]
+
+
+def test_blocks_hold_few_rows(spark):
+    table = spark.createDataFrame(uneven_ids(), "doc_id long, text string").repartition(5)
+    placed = blocks.blocked(table, 10, "doc_id", "text").collect()
+    assert max(Counter(r["block"] for r in placed).values()) <= 20
+    ordered = sorted(placed, key=lambda r: (r["given"], r["doc_id"], r["text"]))
+    assert all(a["block"] <= b["block"] for a, b in zip(ordered, ordered[1:], strict=False) if a[:3] != b[:3])
+    assert Counter((r["doc_id"] if r["given"] else None, r["text"]) for r in placed) == Counter((i, t or "") for i, t in uneven_ids())
+
+
+def test_uneven_ids_give_the_same_results(spark, monkeypatch):
+    table = spark.createDataFrame(uneven_ids(), "doc_id long, text string").repartition(5)
+    rows = sorted(uneven_ids(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    for module in (substrings, fingerprints):
+        monkeypatch.setattr(module, "BLOCK_ROWS", 10)
+    want = expected_kept(dict(enumerate(t for _, t in rows)))
+    got = Counter((r["doc_id"], r["n_words"], r["kept"]) for r in substrings.remove_repeats(table).collect())
+    assert got == Counter((rows[k][0], n, kept) for k, (n, _, kept) in want.items())
+    falling = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    pairs = [(i, t or "", falling[(k + 1) % len(falling)][1] or "") for k, (i, t) in enumerate(falling)]
+    edited = Counter((i, hashlib.sha256((a[:len(a) - len(a) // 2] + b[:len(a) // 2]).encode()).hexdigest()) for i, a, b in pairs)
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in fingerprints.with_edited(table).collect()) == edited
+
+
 def test_pipeline(spark, docs):
     rows = docs
     for name, stage in corpus_pipeline.STAGES:
