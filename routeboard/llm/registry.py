@@ -66,6 +66,12 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
+def op7_trigram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = language_model.score(table(spark, sf_dir, "documents"), order=3)
+    return scored.select("doc_id", "n_words", "n_backoff", F.round("log_score", 6).alias("log_score"),
+                         F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), quality.STRICT)
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -102,6 +108,7 @@ QUERIES = {
     "op5_urls": op5_urls,
     "op6_fingerprints": op6_fingerprints,
     "op7_language_model": op7_language_model,
+    "op7_trigram_model": op7_trigram_model,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_substrings": op10_substrings,
@@ -131,6 +138,29 @@ summed AS (SELECT doc_id, count(*) FILTER (WHERE backed_off) AS n_backoff, sum(l
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_backoff, 0)::BIGINT AS n_backoff, round(coalesce(log_score, 0.0), 6) AS log_score,
        round(CASE WHEN len(words) > 0 THEN log_score / len(words) END, 6) AS mean_log_score
 FROM texts LEFT JOIN summed USING (doc_id)
+""",
+    "op7_trigram_model": f"""
+WITH texts AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+positions AS (SELECT doc_id, unnest(words) AS w3, generate_subscripts(words, 1) AS pos FROM texts),
+triples AS (
+  SELECT doc_id, pos, w3, lag(w3) OVER w AS w2, lag(w3, 2) OVER w AS w1
+  FROM positions WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+ones AS (SELECT w3 AS w, count(*) AS n FROM positions GROUP BY w3),
+twos AS (SELECT w2 AS a, w3 AS b, count(*) AS n FROM triples WHERE w2 IS NOT NULL GROUP BY w2, w3),
+threes AS (SELECT w1, w2, w3, count(*) AS n FROM triples WHERE w1 IS NOT NULL GROUP BY w1, w2, w3),
+total AS (SELECT count(*) AS n FROM positions),
+shorter AS (
+  SELECT t.*, CASE WHEN t.w2 IS NULL THEN b.n / (SELECT n FROM total) WHEN p.n >= 2 THEN p.n / a.n
+                   ELSE 0.4::DOUBLE * b.n / (SELECT n FROM total) END AS two, p.n AS n_two
+  FROM triples t JOIN ones b ON b.w = t.w3 LEFT JOIN ones a ON a.w = t.w2 LEFT JOIN twos p ON p.a = t.w2 AND p.b = t.w3),
+scored AS (
+  SELECT doc_id, CASE WHEN s.w1 IS NULL THEN s.w2 IS NOT NULL AND n_two < 2 ELSE t.n < 2 END AS backed_off,
+         ln(CASE WHEN s.w1 IS NULL THEN two WHEN t.n >= 2 THEN t.n / c.n ELSE 0.4::DOUBLE * two END) AS log_p
+  FROM shorter s LEFT JOIN threes t ON t.w1 = s.w1 AND t.w2 = s.w2 AND t.w3 = s.w3 LEFT JOIN twos c ON c.a = s.w1 AND c.b = s.w2),
+summed AS (SELECT doc_id, count(*) FILTER (WHERE backed_off) AS n_backoff, sum(log_p) AS log_score FROM scored GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_backoff, 0)::BIGINT AS n_backoff, round(coalesce(log_score, 0.0), 6) AS log_score,
+       round(CASE WHEN len(words) > 0 THEN log_score / len(words) END, 6) AS mean_log_score
+FROM texts LEFT JOIN summed USING (doc_id)
 """,
     "op10_substrings": f"""
 WITH texts AS (SELECT doc_id, {_WORDS} AS words FROM documents),

@@ -268,6 +268,23 @@ def test_language_model(docs, awkward, empty):
     assert language_model.score(empty).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, 4])
+def test_language_model_orders(docs, order):
+    tokens = {i: WORD.findall(t or "") for i, t in plain(docs).items()}
+    counts = Counter(tuple(t[a:a + k]) for t in tokens.values() for k in range(1, order + 1) for a in range(len(t) - k + 1))
+    n = sum(map(len, tokens.values()))
+
+    def log_of(gram):
+        if len(gram) == 1:
+            return np.log(counts[gram] / n)
+        return np.log(counts[gram] / counts[gram[:-1]]) if counts[gram] > 1 else np.log(0.4) + log_of(gram[1:])
+    for r in language_model.score(docs, order=order).collect():
+        t = tokens[r["doc_id"]]
+        grams = [tuple(t[max(0, k - order + 1):k + 1]) for k in range(len(t))]
+        assert r["n_words"] == len(t) and r["log_score"] == pytest.approx(sum(map(log_of, grams)))
+        assert r["n_backoff"] == sum(len(g) > 1 and counts[g] == 1 for g in grams)
+
+
 def test_quality(docs, awkward, empty):
     ledger = quality.ledger(awkward)
     for r in ledger.join(docs.select("doc_id", "text"), "doc_id").collect():
