@@ -81,7 +81,7 @@ def _text_cuts(rows: int, size: int):
 
 
 def with_block(df: DataFrame, rows: int, doc_id: str = "doc_id", text: str = "text", most: int = MAX_BLOCKS, falling: bool = False) -> DataFrame:
-    """``df`` with the column ``block``: at most ``rows`` rows and BLOCK_BYTES of text (one longer text is a block of its own).
+    """``df`` with the column ``block``: at most about ``rows`` rows and BLOCK_BYTES of text (twice that next to equal rows; one longer text fills a block).
 
     ``most``: about so many blocks; with more rows or bytes the limits rise.
     ``falling``: the blocks of one id are numbered against the order of its texts.
