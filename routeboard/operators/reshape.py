@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .numbering import number_in_order
+
 HOURS = list(range(24))
 
 
@@ -56,9 +58,8 @@ def share_of_total(df: DataFrame, value: str, out: str = "share") -> DataFrame:
 
 
 def number_rows(df: DataFrame, order: Sequence[Column], out: str = "row_number") -> DataFrame:
-    """1-based position of each row in ``order``, as the first column."""
-    numbered = df.withColumn(out, F.row_number().over(Window.orderBy(*order)))
-    return numbered.select(out, *df.columns)
+    """1-based position of each row in ``order``, as the first column (numbered by ranges, see ``numbering``)."""
+    return number_in_order(df, order, out=out).select(out, *df.columns)
 
 
 def format_numbers(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
