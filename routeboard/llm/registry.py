@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from routeboard.llm import bpe, fingerprints, language_model, mixing, near_copies, quality, secrets_scan, substrings, toxicity, urls
+from routeboard.llm import bpe, fingerprints, language_model, merkle, mixing, near_copies, quality, secrets_scan, substrings, toxicity, urls
 from routeboard.llm.words import WORD_PATTERN
 
 
@@ -100,6 +100,17 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0,
+                      merkle.record_digest(["doc_id", "source", "lang", F.col("n_chars") + 1, "text"]))
+    made = merkle.manifest(docs, carry={"tampered": tampered})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), "proof")
+    return made.withColumn("folded_root", folded).select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest("proof").alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_near_copies": op2_near_copies,
@@ -112,6 +123,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_substrings": op10_substrings,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 def queries() -> dict:
@@ -193,6 +205,59 @@ SELECT doc_id, size, source_size, target,
        size * (floor(rate) + CASE WHEN ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT
                                        / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS taken
 FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source
+""",
+    "op12_merkle_manifest": """
+WITH RECURSIVE fields AS (
+  SELECT doc_id, lang, n_chars,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') AS head, coalesce(strlen(text) || ':' || text, '-') AS tail,
+         -- crc32 of the decimal doc_id, bit by bit
+         list_reduce([4294967295::BIGINT] || list_transform(range(8 * length(doc_id::VARCHAR)), lambda i:
+             ((ascii(substr(doc_id::VARCHAR, (i // 8 + 1)::BIGINT, 1)) >> (i % 8)::INTEGER) & 1)::BIGINT),
+             lambda c, b: xor(c >> 1, 3988292384::BIGINT * (xor(c, b) & 1))) AS crc
+  FROM documents),
+digests AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') || tail) AS leaf,
+         CASE WHEN xor(crc, 4294967295::BIGINT) % 7 = 0
+              THEN sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1)::VARCHAR, '-') || tail) END AS tampered
+  FROM fields),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot,
+         count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM digests),
+nodes AS (
+  SELECT tree, 0 AS level, spot, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, spot // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY spot)) FROM nodes WHERE n > 1 GROUP BY tree, level, spot // 2, n),
+subroots AS (SELECT tree, digest, level AS height FROM nodes WHERE n = 1),
+high AS (
+  SELECT 0 AS level, tree AS spot, count(*) OVER () AS n, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, spot // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY spot)) FROM high WHERE n > 1 GROUP BY level, spot // 2, n),
+top AS (SELECT digest AS root, level AS height FROM high WHERE n = 1),
+low_steps AS (
+  SELECT l.tree, l.spot, l.level, s.digest, (l.spot >> l.level) % 2 = 1 AS is_left
+  FROM (SELECT tree, spot, unnest(range(height)) AS level FROM leaves JOIN subroots USING (tree)) l
+  LEFT JOIN nodes s ON s.tree = l.tree AND s.level = l.level AND s.spot = xor(l.spot >> l.level, 1)),
+high_steps AS (
+  SELECT t.tree, t.level, s.digest, (t.tree >> t.level) % 2 = 1 AS is_left
+  FROM (SELECT tree, unnest(range((SELECT height FROM top))) AS level FROM subroots) t
+  LEFT JOIN high s ON s.level = t.level AND s.spot = xor(t.tree >> t.level, 1)),
+whole AS (
+  SELECT tree, spot, level, digest, is_left FROM low_steps
+  UNION ALL
+  SELECT l.tree, l.spot, b.height + h.level, h.digest, h.is_left FROM leaves l JOIN subroots b USING (tree) JOIN high_steps h USING (tree)),
+proofs AS (
+  SELECT tree, spot, sha256(coalesce(string_agg(digest, '' ORDER BY level), '')) AS proof_sha256,
+         list(struct_pack(digest, is_left) ORDER BY level) AS steps FROM whole GROUP BY tree, spot),
+folding AS (
+  SELECT l.tree, l.spot, coalesce(tampered, leaf) AS own, coalesce(steps, []) AS steps, 1 AS k FROM leaves l LEFT JOIN proofs p ON p.tree = l.tree AND p.spot = l.spot
+  UNION ALL
+  SELECT tree, spot, sha256(CASE WHEN steps[k].is_left THEN coalesce(steps[k].digest, '') ELSE '' END || own
+                          || CASE WHEN steps[k].is_left THEN '' ELSE coalesce(steps[k].digest, '') END), steps, k + 1
+  FROM folding WHERE k <= len(steps))
+SELECT doc_id, leaf, s.digest AS subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, f.own AS folded_root, f.own = root AS verified
+FROM leaves l JOIN subroots s USING (tree) CROSS JOIN top LEFT JOIN proofs p ON p.tree = l.tree AND p.spot = l.spot
+JOIN folding f ON f.tree = l.tree AND f.spot = l.spot AND f.k = len(f.steps) + 1
 """,
     "op5_urls": """
 WITH parts AS (
