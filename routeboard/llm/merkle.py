@@ -58,9 +58,9 @@ def record_digest(columns: Sequence[Column | str]) -> Column:
     return digest_of(*[F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in fields])
 
 
-def _levels(n: int) -> int:
+def _levels(n: int, most: int) -> int:
     """Levels that a round climbs in a tree with ``n`` nodes at its start."""
-    return min(LEVELS, (n - 1).bit_length())
+    return min(most, (n - 1).bit_length())
 
 
 def _place(level: int, at: int) -> tuple[int, int]:
@@ -123,13 +123,13 @@ def _blocks(batches) -> Iterator[list[tuple]]:
         yield rows
 
 
-def _up(nodes: DataFrame) -> DataFrame:
+def _up(nodes: DataFrame, most: int) -> DataFrame:
     """The next round's nodes: (tree, at, n, digest), one for each block of ``nodes``."""
     def climb(batches):
         out = []
         for rows in _blocks(batches):
             tree, block, n = rows[0][:3]
-            levels = _levels(n)
+            levels = _levels(n, most)
             out.append((tree, block, -(-n // (1 << levels)), _climb([(at, digest) for *_, at, digest in rows], levels)[1]))
             if len(out) == 1000:
                 yield _batch(out, _NODES)
@@ -137,7 +137,7 @@ def _up(nodes: DataFrame) -> DataFrame:
         if out:
             yield _batch(out, _NODES)
 
-    return _by_block(nodes).select("tree", "block", "n", "at", "digest").mapInArrow(climb, "tree string, at long, n long, digest string")
+    return _by_block(nodes, most).select("tree", "block", "n", "at", "digest").mapInArrow(climb, "tree string, at long, n long, digest string")
 
 
 _TYPES = {"tree": pa.string(), "at": pa.int64(), "n": pa.int64(), "digest": pa.string(), "proof": pa.list_(_STEP)}
@@ -149,63 +149,64 @@ def _batch(rows: list[tuple], names: Sequence[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[k]) for k, c in zip(names, zip(*rows, strict=True), strict=True)], names=list(names))
 
 
-def _by_block(nodes: DataFrame) -> DataFrame:
+def _by_block(nodes: DataFrame, most: int) -> DataFrame:
     """The external queue: messages dealt out by block and sorted by label."""
-    block = nodes.withColumn("block", F.shiftright("at", LEVELS))
+    block = nodes.withColumn("block", F.shiftright("at", most))
     return block.repartition("tree", "block").sortWithinPartitions("tree", "block", "at")
 
 
-def _down(nodes: DataFrame, tops: DataFrame) -> DataFrame:
+def _down(nodes: DataFrame, tops: DataFrame, most: int) -> DataFrame:
     """(tree, at, proof) of every node, given the proofs of the blocks' tops (tree, at, proof)."""
     def descend(batches):
         out = []
         for rows in _blocks(batches):
             top, leaves = rows[0][5], rows[1:]       # the block's own proof sorts first
             tree, block, n = leaves[0][:3]
-            levels = _levels(n)
+            levels = _levels(n, most)
             made, _ = _climb([(at, digest) for _, _, _, at, digest, _ in leaves], levels)
             for at, proof in _descend(made, levels, top):
                 out.append((tree, at, proof))
-            if len(out) >= 1 << LEVELS:
+            if len(out) >= 1000:
                 yield _batch(out, _PROOFS)
                 out = []
         if out:
             yield _batch(out, _PROOFS)
 
     none = F.lit(None)
-    both = (nodes.select("tree", F.shiftright("at", LEVELS).alias("block"), "n", "at", "digest", none.cast(f"array<{STEP}>").alias("proof"))
+    both = (nodes.select("tree", F.shiftright("at", most).alias("block"), "n", "at", "digest", none.cast(f"array<{STEP}>").alias("proof"))
             .unionByName(tops.select("tree", F.col("at").alias("block"), none.cast("long").alias("n"), F.lit(-1).cast("long").alias("at"),
                                      none.cast("string").alias("digest"), "proof")))
     sorted_ = both.repartition("tree", "block").sortWithinPartitions("tree", "block", "at")
     return sorted_.mapInArrow(descend, f"tree string, at long, proof array<{STEP}>")
 
 
-def _sweep(leaves: DataFrame, name: str) -> list[DataFrame]:
+def _sweep(leaves: DataFrame, name: str, levels: int) -> list[DataFrame]:
     """The nodes of every round, leaves first; in the last one every tree has one node."""
     rounds = [leaves]
-    most = leaves.agg(F.max("n")).first()[0] or 0
-    while most > 1:
-        rounds.append(write_and_reload(_up(rounds[-1]), f"merkle-{name}"))
-        most = -(-most // (1 << _levels(most)))
+    largest = leaves.agg(F.max("n")).first()[0] or 0
+    while largest > 1:
+        rounds.append(write_and_reload(_up(rounds[-1], levels), f"merkle-{name}"))
+        largest = -(-largest // (1 << _levels(largest, levels)))
     return rounds
 
 
-def _proofs(rounds: list[DataFrame], tops: DataFrame, name: str) -> DataFrame:
+def _proofs(rounds: list[DataFrame], tops: DataFrame, name: str, levels: int) -> DataFrame:
     """(tree, at, proof) of the leaves, given the proofs (tree, at, proof) of the trees' tops."""
     for k, nodes in enumerate(reversed(rounds[:-1])):
-        tops = _down(nodes, tops)
+        tops = _down(nodes, tops, levels)
         if k < len(rounds) - 2:
             tops = write_and_reload(tops, f"merkle-{name}-proofs")
     return tops
 
 
 def manifest(df: DataFrame, columns: Sequence[str] = ("doc_id", "source", "lang", "n_chars", "text"), tree: str = "lang",
-             order: str = "doc_id", carry: dict[str, Column] | None = None) -> DataFrame:
+             order: str = "doc_id", carry: dict[str, Column] | None = None, levels: int = LEVELS) -> DataFrame:
     """Per row of ``df``: ``order``, leaf, subroot, root, proof and the ``carry`` columns.
 
     ``columns`` are the fields of a leaf.  ``proof`` is an array of steps
     (``STEP``) from the leaf to the root; ``fold`` follows it.  ``carry`` names
-    expressions over ``df`` that go along with their row.
+    expressions over ``df`` that go along with their row.  A task holds blocks
+    of ``2**levels`` nodes.
     """
     carry = carry or {}
     kept = [f"carry{k}" for k in range(len(carry))]
@@ -215,7 +216,7 @@ def manifest(df: DataFrame, columns: Sequence[str] = ("doc_id", "source", "lang"
     placed = number_in_order(leaves, [F.col("id").asc_nulls_first(), F.col("digest").asc()], by=["tree"], out="place")
     placed = write_and_reload(placed.join(sizes, F.col("tree").eqNullSafe(F.col("of"))).drop("of").withColumn("at", F.col("place") - 1).drop("place"),
                               "merkle-placed")
-    rounds = _sweep(placed.select(*_NODES), "leaves")
+    rounds = _sweep(placed.select(*_NODES), "leaves", levels)
 
     # the subroots are the leaves of the last tree, ordered by the bytes of the tree's value, NULL first
     subroots = number_in_order(rounds[-1].select(F.col("tree").alias("of"), F.col("digest").alias("subroot")),
@@ -223,15 +224,15 @@ def manifest(df: DataFrame, columns: Sequence[str] = ("doc_id", "source", "lang"
     subroots = write_and_reload(subroots.select("of", "subroot", F.lit("").alias("tree"), (F.col("place") - 1).alias("at")), "merkle-subroots")
     count = subroots.count()
     forest = subroots.select("tree", "at", F.lit(count).cast("long").alias("n"), F.col("subroot").alias("digest"))
-    high = _sweep(forest, "subroots")
+    high = _sweep(forest, "subroots", levels)
     root = (high[-1].first() or {"digest": None})["digest"]
     top = df.sparkSession.range(1 if count else 0).select(F.lit("").alias("tree"), F.lit(0).cast("long").alias("at"),
                                                           F.array().cast(f"array<{STEP}>").alias("proof"))
-    own = _proofs(high, top, "subroots").select("at", "proof").join(subroots.select("at", "of", "subroot"), "at")
+    own = _proofs(high, top, "subroots", levels).select("at", "proof").join(subroots.select("at", "of", "subroot"), "at")
     own = write_and_reload(own.select("of", "subroot", "proof"), "merkle-tops")
 
     tops = own.select(F.col("of").alias("tree"), F.lit(0).cast("long").alias("at"), "proof")
-    proofs = _proofs(rounds, tops, "leaves").select(F.col("tree").alias("of"), F.col("at").alias("place"), "proof")
+    proofs = _proofs(rounds, tops, "leaves", levels).select(F.col("tree").alias("of"), F.col("at").alias("place"), "proof")
     found = placed.join(proofs, F.col("tree").eqNullSafe(F.col("of")) & (F.col("at") == F.col("place"))).drop("of", "place")
     found = found.join(own.select("of", "subroot"), F.col("tree").eqNullSafe(F.col("of")))
     return found.select(F.col("id").alias(order), F.col("digest").alias("leaf"), "subroot", F.lit(root).cast("string").alias("root"), "proof",

@@ -8,11 +8,14 @@ are tested against brute force in ``tests/llm``.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from routeboard.llm import bpe, fingerprints, language_model, merkle, mixing, near_copies, quality, secrets_scan, substrings, toxicity, urls
+from routeboard.llm import (alignment, bpe, fingerprints, language_model, merkle, mixing, near_copies, quality, secrets_scan, substrings,
+                            token_counts, toxicity, urls)
 from routeboard.llm.words import WORD_PATTERN
 
 
@@ -100,6 +103,22 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def public_file(name: str) -> bytes:
+    """A public tokenizer file, read on the driver."""
+    import public_tokenizers as public
+    return Path(public.path(name)).read_bytes()
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align_corpus(table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json").decode(), public_file("piece_bpe_32k.model"))
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json").decode(), columns=["doc_id"])
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0,
@@ -123,7 +142,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_substrings": op10_substrings,
+    "op11_alignment": op11_alignment,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_token_counts": op13_token_counts,
 }
 
 def queries() -> dict:
