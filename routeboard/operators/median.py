@@ -1,121 +1,81 @@
-"""Exact per-group median that never gathers a whole group into one task.
+"""Exact per-group median that never gathers a group in one task, planned lazily.
 
 Spark's built-in ``median`` is exact, but its final merge holds every distinct
-value of a group in one task.  That is fine while the largest group is small,
-and ruinous when one route carries a third of all transfers.  ``group_median``
-checks the size of the largest group (one small aggregation job) and uses the
-built-in below a row bound; above it, a distributed rank selection:
-
-1. collapse duplicates to ``(key, value, weight)`` -- map-side combined;
-2. range-partition on ``(key, value)``: a hot key is cut into many partitions
-   by value, and the partition id becomes a *block* number that grows with the
-   value inside each key; the result is checkpointed (reliable checkpoint
-   directory) so block numbers are fixed from here on;
-3. per ``(key, block)``: total weight, and the weight of earlier blocks of the
-   same key (a window over at most ``keys + partitions`` rows); from these,
-   the one or two blocks of each key that hold its middle ranks;
-4. only those blocks are ranked (a join with the small target table, then a
-   running weight inside each block), so a task sees at most one range
-   partition per block and the rest of the data is never shuffled again; the
-   one or two middle values are combined with the same linear interpolation
-   ``percentile(0.5)`` uses.
-
-Both paths return exactly the same numbers.
+value of a group in one task.  Here the middle values are found by digit
+histograms instead, whatever the sizes:
+
+1. collapse duplicates to ``(key, value, weight)``: combined map-side, dealt
+   out by key *and* value, so a hot key spreads over all tasks;
+2. write each double as a 64-bit integer of the same order (``order_code``) and
+   cut it into three digits.  The weights per ``(key, first digit)`` are a
+   histogram with at most 2**20 rows a key; a running sum over it gives the
+   digit that holds each middle rank, and the rank inside it;
+3. repeat with the second and third digit, for the values whose earlier digits
+   match only; the third digit leaves a single value.
+
+Every step is an aggregation that combines before its shuffle, a window over a
+histogram, or a join with at most two rows a key.  Nothing runs when the plan
+is made, and no result of a sampled or arbitrary order is used twice, so a
+recomputed task gives the same rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import ensure_checkpoint_dir
-
-# Largest group (rows with a value) the built-in median may merge in one task.
-BUILTIN_MAX_GROUP_ROWS = 5_000_000
-
-
-def group_median(
-    df: DataFrame,
-    key: str,
-    value: str,
-    out: str = "median",
-    strategy: str = "auto",
-    max_group_rows: int = BUILTIN_MAX_GROUP_ROWS,
-    largest_group: int | None = None,
-) -> DataFrame:
-    """``(key, out)``: exact median of non-NULL ``value`` per ``key`` (NULL key is a group).
-
-    Keys whose values are all NULL are absent; join back with a left join.
-    ``strategy`` is ``"auto"``, ``"builtin"`` or ``"ranked"``.  With ``"auto"``
-    the size of the largest group decides; pass ``largest_group`` (rows with a
-    value in the largest group) when it is already known, to skip the job that
-    measures it.
-    """
-    vals = df.where(F.col(value).isNotNull()).select(key, value)
-    if strategy == "auto":
-        biggest = largest_group
-        if biggest is None:
-            biggest = vals.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-        strategy = "builtin" if biggest <= max_group_rows else "ranked"
-    if strategy == "builtin":
-        return vals.groupBy(key).agg(F.median(value).alias(out))
-    if strategy != "ranked":
-        raise ValueError(f"unknown median strategy {strategy!r}")
-    return _ranked_median(vals, key, value, out)
+# low bits that the first, second and third digit leave out: 20, 22 and 22 bits each
+DIGIT_SHIFTS = (44, 22, 0)
 
 
-def _ranked_median(vals: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    ensure_checkpoint_dir(vals.sparkSession)
-    pairs = vals.groupBy(key, value).agg(F.count(F.lit(1)).alias("_w"))
-    ranged = (
-        pairs.repartitionByRange(key, value)
-        .withColumn("_block", F.spark_partition_id())
-        .checkpoint(eager=True)
-    )
+def order_code(value: Column | str) -> Column:
+    """A BIGINT for every DOUBLE, in Spark's order of doubles (NaN last)."""
+    value = (F.col(value) if isinstance(value, str) else value).cast("double")
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value).cast("bigint")
+    # negative doubles count down: flip all bits but the sign
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit((1 << 63) - 1)))
 
-    # per (key, block): weight, weight of the key's earlier blocks, key total
-    blocks = ranged.groupBy(key, "_block").agg(F.sum("_w").alias("_bw"))
-    by_key = Window.partitionBy(key)
-    blocks = blocks.select(
-        F.col(key).alias("_bkey"),
-        F.col("_block").alias("_bblock"),
-        "_bw",
-        (F.sum("_bw").over(by_key.orderBy("_block")) - F.col("_bw")).alias("_before"),
-        F.sum("_bw").over(by_key).alias("_n"),
-    )
-    pos = (F.col("_n") - 1) * 0.5
-    lo_rank = F.floor(pos) + 1          # 1-based ranks of the two middle values
-    hi_rank = F.ceil(pos) + 1
 
-    def holds(rank):
-        return (F.col("_before") < rank) & (rank <= F.col("_before") + F.col("_bw"))
+def weigh(df: DataFrame, key: str, value: str) -> DataFrame:
+    """``(key, value, weight)``: how often each key has each non-NULL value."""
+    rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias(value))
+    return rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("weight"))
 
-    # only the one or two blocks of each key that hold a middle rank are ranked
-    targets = blocks.where(holds(lo_rank) | holds(hi_rank))
-    candidates = ranged.join(
-        targets,
-        F.col(key).eqNullSafe(F.col("_bkey")) & (F.col("_block") == F.col("_bblock")),
-    )
-    in_block = (
-        Window.partitionBy(key, "_block").orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    last = F.col("_before") + F.sum("_w").over(in_block)
-    ranked = candidates.select(key, value, "_n", (last - F.col("_w")).alias("_first"), last.alias("_last"))
 
-    def covers(rank):                   # value covers ranks (first, last]
-        return (F.col("_first") < rank) & (rank <= F.col("_last"))
+def group_median(df: DataFrame, key: str, value: str, out: str = "median") -> DataFrame:
+    """``(key, out)``: exact median of the non-NULL ``value`` (read as DOUBLE) per ``key`` (NULL key is a group).
 
-    picked = ranked.where(covers(lo_rank) | covers(hi_rank)).select(
-        key,
-        F.when(covers(lo_rank), F.col(value)).alias("_lo"),
-        F.when(covers(hi_rank), F.col(value)).alias("_hi"),
-        (pos - F.floor(pos)).alias("_frac"),
-    )
-    agg = picked.groupBy(key).agg(
-        F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("_frac").alias("_frac"))
-    median = (
-        F.when(F.col("_lo") == F.col("_hi"), F.col("_lo"))
-        .otherwise((1 - F.col("_frac")) * F.col("_lo") + F.col("_frac") * F.col("_hi"))
-    )
-    return agg.select(key, median.alias(out))
+    Keys whose values are all NULL are absent; join back with a left join.
+    """
+    return weighted_median(weigh(df, key, value), key, value, "weight", out)
+
+
+def weighted_median(weighted: DataFrame, key: str, value: str, weight: str, out: str = "median") -> DataFrame:
+    """``(key, out)`` from distinct ``(key, value)`` rows with a positive ``weight`` each."""
+    rows = weighted.select(F.col(key).alias("_key"), F.col(value).alias("_value"), F.col(weight).alias("_w"),
+                           order_code(value).alias("_code"))
+    targets = None
+    for shift in DIGIT_SHIFTS:
+        digit = F.shiftright("_code", shift).alias("_digit")
+        if targets is None:
+            histogram = rows.groupBy("_key", digit).agg(F.sum("_w").alias("_w"))
+            whole = Window.partitionBy("_key")
+            n = F.sum("_w").over(whole)
+            running = F.sum("_w").over(whole.orderBy("_digit"))
+            last = F.shiftright(n, 1)                      # 0-based ranks of the middle values: (n - 1) div 2 and n div 2
+            ranks = F.array_distinct(F.array(F.shiftright(n - 1, 1), last))
+            found = histogram.select("_key", "_digit", "_w", (running - F.col("_w")).alias("_before"), ranks.alias("_ranks"))
+            found = found.withColumn("_rank", F.explode("_ranks")).withColumn("_middle", F.col("_rank"))
+        else:
+            wanted = targets.select(F.col("_key").alias("_of"), F.col("_digit").alias("_prefix"), "_rank", "_middle")
+            matches = F.col("_key").eqNullSafe(F.col("_of")) & (F.shiftright("_code", before) == F.col("_prefix"))
+            histogram = rows.join(wanted, matches).groupBy("_key", "_middle", "_rank", digit).agg(F.sum("_w").alias("_w"), F.max("_value").alias("_value"))
+            running = F.sum("_w").over(Window.partitionBy("_key", "_middle").orderBy("_digit"))
+            found = histogram.withColumn("_before", running - F.col("_w"))
+        held = found.where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_w")))
+        targets = held.withColumn("_rank", F.col("_rank") - F.col("_before"))
+        before = shift
+    # the whole code is one value
+    ends = targets.groupBy("_key").agg(F.min("_value").alias("_low"), F.max("_value").alias("_high"))
+    middle = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(0.5 * F.col("_low") + 0.5 * F.col("_high"))
+    return ends.select(F.col("_key").alias(key), middle.alias(out))

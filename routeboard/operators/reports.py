@@ -1,7 +1,7 @@
 """The sixteen dashboard reports over the normalised transfer relation.
 
 Every report is ``(base, params, ...) -> DataFrame`` and only builds a lazy
-plan.  ``base`` has ``BASE_COLUMNS`` with chain names as written; reports that
+plan; nothing runs before the result is read.  ``base`` has ``BASE_COLUMNS`` with chain names as written; reports that
 the dashboard shows case-folded fold them here (``fold_case``).
 
 Each report is split in two: a *measure table* -- one scan of the pruned base
@@ -39,7 +39,7 @@ from ..functions.labels import (
 from ..functions.numeric import safe_ratio, stable_round
 from ..functions.time import time_bucket
 from ..params import CLASS_WINDOW, ReportParams
-from .median import group_median
+from .median import group_median, weighted_median
 from .normalize import fold
 
 asc = F.asc_nulls_last
@@ -148,19 +148,40 @@ def route_measures(base: DataFrame, p: ReportParams, names: Sequence[str] = ROUT
     return in_range(base, p).groupBy(_route(fold_case).alias("path")).agg(*_measures(names, catalog))
 
 
-def route_medians(base: DataFrame, p: ReportParams, fold_case: bool = False,
-                  strategy: str = "auto", measures: DataFrame | None = None) -> DataFrame:
-    """``(path, _median_usd)``: exact median transfer value per route.
+def route_medians(base: DataFrame, p: ReportParams, fold_case: bool = False) -> DataFrame:
+    """``(path, _median_usd)``: exact median transfer value per route."""
+    rows = in_range(base, p).select(_route(fold_case).alias("path"), "amount_usd")
+    return group_median(rows, "path", "amount_usd", "_median_usd")
+
+
+# what a route's cells count; the last one weighs the distinct values
+_CELLS = ("id", "user_address", "created_date", "raw_asset", "amount_usd")
+
 
-    ``measures`` (a ``route_measures`` table with ``_n_usd``) supplies the size
-    of the largest route, so choosing the median strategy costs no extra scan.
+def route_cells(base: DataFrame, p: ReportParams, fold_case: bool = False) -> DataFrame:
+    """``(path, kind, item, usd, weight)``: each distinct id, user, day, token and value of a route.
+
+    One scan and one shuffle, dealt out by route *and* item.  The distinct
+    counts, the sums and the median of a route are all read from this table
+    (``cell_measures``, ``median.weighted_median``), so the fact behind it is
+    not scanned again for the median.  ``weight`` is the number of transfers
+    with the value, 0 for the other kinds.
     """
-    rows = in_range(base, p).select(_route(fold_case).alias("path"), "amount_usd")
-    largest = None
-    if measures is not None and strategy == "auto":
-        largest = measures.agg(F.max("_n_usd")).first()[0] or 0
-    return group_median(rows, "path", "amount_usd", "_median_usd", strategy=strategy,
-                        largest_group=largest)
+    none = F.lit(None)
+    cells = [F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("item"), none.cast("double").alias("usd")) for c in _CELLS[:-1]]
+    cells.append(F.struct(F.lit(_CELLS[-1]).alias("kind"), none.cast("string").alias("item"), F.col("amount_usd").alias("usd")))
+    rows = in_range(base, p).select(_route(fold_case).alias("path"), F.explode(F.array(*cells)).alias("cell")).select("path", "cell.*")
+    return rows.groupBy("path", "kind", "item", "usd").agg(F.count("usd").alias("weight"))
+
+
+def cell_measures(cells: DataFrame) -> DataFrame:
+    """The ``route_measures`` of a ``route_cells`` table."""
+    distinct = lambda c: F.count_if((F.col("kind") == c) & F.col("item").isNotNull())
+    sums = cells.groupBy("path").agg(
+        distinct("created_date").alias("active_days"), distinct("id").alias("number_of_transfers"),
+        distinct("user_address").alias("number_of_users"), distinct("raw_asset").alias("transferred_tokens"),
+        F.sum(F.col("usd") * F.col("weight")).alias("_sum_usd"), F.max("usd").alias("_max_usd"), F.sum("weight").alias("_n_usd"))
+    return sums.withColumn("_avg_usd", safe_ratio("_sum_usd", "_n_usd"))
 
 
 # --- R01 -------------------------------------------------------------------
@@ -364,13 +385,15 @@ def heatmap(base: DataFrame, p: ReportParams) -> DataFrame:
 
 # --- R14 -------------------------------------------------------------------
 def route_profile(base: DataFrame, p: ReportParams, fold_case: bool = False,
-                  median_strategy: str = "auto", measures: DataFrame | None = None,
-                  medians: DataFrame | None = None) -> DataFrame:
+                  measures: DataFrame | None = None, medians: DataFrame | None = None) -> DataFrame:
     """Per route: activity, users, tokens, and volume statistics (not case-folded)."""
+    if measures is None and medians is None:
+        cells = route_cells(base, p, fold_case)
+        measures = cell_measures(cells)
+        # the weight is an aggregate: this filter cannot move below the cells, which both parts then share
+        medians = weighted_median(cells.where("weight > 0"), "path", "usd", "weight", "_median_usd")
     stats = measures if measures is not None else route_measures(base, p, fold_case=fold_case)
-    # a caller's (persisted) measure table sizes the largest route for free;
-    # otherwise the median makes its own cheap count per route
-    med = medians if medians is not None else route_medians(base, p, fold_case, median_strategy, measures)
+    med = medians if medians is not None else route_medians(base, p, fold_case)
     med = med.withColumnRenamed("path", "_mpath")
     joined = stats.join(med, stats.path.eqNullSafe(med._mpath), "left")
     return joined.select(

@@ -10,7 +10,8 @@ directory, so every query's work grows with those tables:
   in every awkward shape, run through ``normalize`` -- the extraction path and
   the hour-of-day reports.
 
-Each entry is ``(spark, data_dir) -> DataFrame`` and only builds a plan.
+Each entry is ``(spark, data_dir) -> DataFrame`` and only builds a plan; D3
+numbers its rows through a written table, so it runs jobs while it is built.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ from pyspark.sql import functions as F
 from ..functions.labels import quarter_label, route_label, weekday_label
 from ..functions.numeric import stable_round
 from ..operators import derived, reports
-from ..operators.median import group_median
+from ..operators.median import group_median, weigh, weighted_median
 from ..operators.normalize import normalize, success_filter
 from ..params import CLASS_WINDOW, ReportParams
 from ..sources.envelope import events_fact
 from ..sources.order_lines import order_lines_base
 
 Query = Callable[[SparkSession, str], DataFrame]
+R = reports
 
 PAGE = ReportParams()                                             # 2023-01-01 .. 2025-08-31, week
 EVENT_RANGE = ReportParams(date(2024, 1, 10), date(2024, 1, 20), "day")
@@ -128,17 +130,22 @@ def p_first_seen(spark, d):
     return reports.first_seen(orders_base(spark, d))
 
 
-def _median_by_brand(spark, d, strategy):
-    m = group_median(orders_base(spark, d), "raw_asset", "amount_usd", "median_amount_usd", strategy=strategy)
+def p_median(spark, d):
+    m = group_median(orders_base(spark, d), "raw_asset", "amount_usd", "median_amount_usd")
     return m.select("raw_asset", F.round("median_amount_usd", 4).alias("median_amount_usd"))
 
 
-def p_median(spark, d):
-    return _median_by_brand(spark, d, "builtin")
+def p_median_ranked(spark, d):
+    """The same from a ready table of distinct values and their weights."""
+    weighted = weigh(orders_base(spark, d), "raw_asset", "amount_usd")
+    m = weighted_median(weighted, "raw_asset", "amount_usd", "weight", "median_amount_usd")
+    return m.select("raw_asset", F.round("median_amount_usd", 4).alias("median_amount_usd"))
 
 
-def p_median_ranked(spark, d):
-    return _median_by_brand(spark, d, "ranked")
+def _profile_of_tables(spark, d):
+    """R14 from a route measure table and a median table made apart."""
+    base = orders_base(spark, d, PAGE)
+    return R.route_profile(base, PAGE, measures=R.route_measures(base, PAGE), medians=R.route_medians(base, PAGE))
 
 
 def p_running_total(spark, d):
@@ -162,7 +169,6 @@ def p_distinct_rows(spark, d):
 
 # --- registry ------------------------------------------------------------------
 O, E = orders_base, events_base
-R = reports
 
 QUERIES: dict[str, Query] = {
     "r01_overview_kpis": _on(O, R.overview_kpis, PAGE),
@@ -190,7 +196,7 @@ QUERIES: dict[str, Query] = {
     "r13_heatmap": _on(E, R.heatmap, PAGE),
     "r13_heatmap_range": _on(E, R.heatmap, EVENT_RANGE),
     "r14_route_profile": _on(O, R.route_profile, PAGE),
-    "r14_route_profile_ranked": _on(O, R.route_profile, PAGE, median_strategy="ranked"),
+    "r14_route_profile_ranked": _profile_of_tables,
     "r14_route_profile_events": _on(E, R.route_profile, EVENT_RANGE),
     "r15_source_destination": _on(O, R.source_destination, PAGE),
     "r15_source_destination_events": _on(E, R.source_destination, EVENT_RANGE),

@@ -96,7 +96,7 @@ class Dashboard:
     """All reports for one set of parameters over one normalised base."""
 
     def __init__(self, base: DataFrame, params: ReportParams = ReportParams(),
-                 class_window: ReportParams = CLASS_WINDOW, median_strategy: str = "auto",
+                 class_window: ReportParams = CLASS_WINDOW,
                  first_seen: DataFrame | None = None):
         """``first_seen``: a maintained ``(user_address, first_txn_date)`` table
         (``streaming.first_seen_table``); without it the new-user reports
@@ -104,7 +104,6 @@ class Dashboard:
         self.base = base
         self.params = params
         self.class_window = class_window
-        self.median_strategy = median_strategy
         self.first_seen = first_seen
 
     @classmethod
@@ -154,7 +153,7 @@ class Dashboard:
         """The sixteen reports, finished from the shared measure tables ``m`` where they can be."""
         b, p = self.base, self.params
         class_users = m.get("m_users_class_window", m["m_users"])
-        medians = reports.route_medians(b, p, strategy=self.median_strategy, measures=m["m_routes"])
+        medians = reports.route_medians(b, p)
         return {
             "r01_overview_kpis": lambda: reports.overview_kpis(b, p, measures=m["m_overall"]),
             "r02_activity_over_time": lambda: reports.activity_over_time(b, p, measures=m["m_buckets"]),

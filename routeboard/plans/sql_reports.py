@@ -4,9 +4,9 @@ For users who write SQL: register the normalised base once, then run a report
 by name with named parameters (``:start``, ``:end``, ``:grain``) bound by
 ``spark.sql(text, args=...)`` -- values are bound as literals, never spliced
 into the text.  Catalyst plans these exactly like the DataFrame reports in
-``operators.reports`` (same pushdown, same aggregation strategy); the one
-difference is R14's median, which here is Spark's built-in ``median`` rather
-than the skew-safe ``group_median``.
+``operators.reports`` (same pushdown, same aggregation strategy).  R14 takes
+its medians from digit histograms as ``operators.median`` does, never from a
+function that gathers a whole route.
 """
 
 from __future__ import annotations
@@ -50,6 +50,31 @@ SELECT CASE {whens} END AS {label}, count(user_address) AS number_of_users
 FROM u GROUP BY 1 ORDER BY 2 DESC NULLS FIRST, 1 ASC NULLS LAST"""
 
 
+def _code(x: str) -> str:
+    """``median.order_code`` in SQL."""
+    bits = f"CAST(java_method('java.lang.Double', 'doubleToLongBits', {x}) AS BIGINT)"
+    return f"IF({bits} >= 0, {bits}, {bits} ^ 9223372036854775807)"
+
+
+def _digit(name: str, histogram: str, shift: int, within: tuple[str, int] | None) -> str:
+    """CTEs: the histogram of one digit of ``code``, and the digits that hold the middle ranks (0-based)."""
+    if within is None:
+        return f"""{histogram} AS (
+  SELECT path, digit, w, sum(w) OVER (PARTITION BY path ORDER BY digit) - w AS before, sum(w) OVER (PARTITION BY path) AS n
+  FROM (SELECT path, shiftright(code, {shift}) AS digit, sum(w) AS w FROM coded GROUP BY 1, 2)),
+{name} AS (
+  SELECT path, digit, middle, middle - before AS rank
+  FROM (SELECT *, explode(array_distinct(array((n - 1) DIV 2, n DIV 2))) AS middle FROM {histogram})
+  WHERE before <= middle AND middle < before + w)"""
+    source, earlier = within
+    return f"""{histogram} AS (
+  SELECT *, sum(w) OVER (PARTITION BY path, middle ORDER BY digit) - w AS before
+  FROM (SELECT c.path, middle, rank, shiftright(code, {shift}) AS digit, sum(c.w) AS w, max(c.usd) AS usd
+        FROM coded c JOIN {source} t ON c.path <=> t.path AND shiftright(code, {earlier}) = t.digit GROUP BY 1, 2, 3, 4)),
+{name} AS (
+  SELECT path, digit, middle, rank - before AS rank, usd FROM {histogram} WHERE before <= rank AND rank < before + w)"""
+
+
 _IN_RANGE = "FROM {view} WHERE created_date BETWEEN :start AND :end"
 _BUCKET = "CASE WHEN :grain = 'day' THEN created_date ELSE trunc(created_date, :grain) END"
 _FIRST_BUCKET = "CASE WHEN :grain = 'day' THEN first_txn_date ELSE trunc(first_txn_date, :grain) END"
@@ -109,18 +134,30 @@ FROM d""",
        concat(CAST(weekday(created_at) + 1 AS STRING), ' - ', date_format(created_at, 'E')) AS day,
        count(DISTINCT id) AS number_of_transfers, {_sr('sum(amount_usd)')} AS volume_of_transfers
 {_IN_RANGE} GROUP BY 1, 2 ORDER BY 1 ASC NULLS LAST, 2 ASC NULLS LAST""",
-    "r14_route_profile": f"""SELECT {_ROUTE} AS path,
-       count(DISTINCT created_date) AS active_days,
-       count(DISTINCT id) AS number_of_transfers,
-       count(DISTINCT user_address) AS number_of_users,
-       {_sr('try_divide(count(DISTINCT user_address), count(DISTINCT created_date))')} AS avg_daily_users,
-       count(DISTINCT raw_asset) AS transferred_tokens,
-       {_sr('sum(amount_usd)')} AS volume_usd,
-       {_sr('avg(amount_usd)')} AS avg_volume_usd,
-       {_sr('median(amount_usd)')} AS median_volume_usd,
-       {_sr('max(amount_usd)')} AS max_volume_usd,
-       {_sr('try_divide(sum(amount_usd), count(DISTINCT created_date))')} AS avg_daily_volume_usd
-{_IN_RANGE} GROUP BY 1 ORDER BY 2 DESC NULLS FIRST, 1 ASC NULLS LAST""",
+    "r14_route_profile": f"""WITH prices AS (
+  SELECT {_ROUTE} AS path, amount_usd AS usd, count(*) AS w {_IN_RANGE} AND amount_usd IS NOT NULL GROUP BY 1, 2),
+coded AS (SELECT path, usd, w, {_code('usd')} AS code FROM prices),
+{_digit('d1', 'n1', 44, None)},
+{_digit('d2', 'n2', 22, ('d1', 44))},
+{_digit('d3', 'n3', 0, ('d2', 22))},
+medians AS (SELECT path AS of, 0.5D * min(usd) + 0.5D * max(usd) AS usd FROM d3 GROUP BY path),
+stats AS (
+  SELECT {_ROUTE} AS path,
+         count(DISTINCT created_date) AS active_days,
+         count(DISTINCT id) AS number_of_transfers,
+         count(DISTINCT user_address) AS number_of_users,
+         count(DISTINCT raw_asset) AS transferred_tokens,
+         sum(amount_usd) AS total, avg(amount_usd) AS mean, max(amount_usd) AS most
+  {_IN_RANGE} GROUP BY 1)
+SELECT path, active_days, number_of_transfers, number_of_users,
+       {_sr('try_divide(number_of_users, active_days)')} AS avg_daily_users,
+       transferred_tokens,
+       {_sr('total')} AS volume_usd,
+       {_sr('mean')} AS avg_volume_usd,
+       {_sr('usd')} AS median_volume_usd,
+       {_sr('most')} AS max_volume_usd,
+       {_sr('try_divide(total, active_days)')} AS avg_daily_volume_usd
+FROM stats LEFT JOIN medians ON path <=> of ORDER BY 2 DESC NULLS FIRST, 1 ASC NULLS LAST""",
     "r15_source_destination": f"""SELECT lower(source_chain) AS source_chain,
        lower(destination_chain) AS destination_chain,
        {_sr('sum(amount_usd)')} AS volume_usd, count(DISTINCT id) AS number_of_transactions

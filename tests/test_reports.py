@@ -90,8 +90,8 @@ def test_route_profile(base):
 
 
 def test_route_profile_median_strategies_agree(base):
-    a = {r.path: r.asDict() for r in R.route_profile(base, P, median_strategy="builtin").collect()}
-    b = {r.path: r.asDict() for r in R.route_profile(base, P, median_strategy="ranked").collect()}
+    a = {r.path: r.asDict() for r in R.route_profile(base, P).collect()}
+    b = {r.path: r.asDict() for r in R.route_profile(base, P, medians=R.route_medians(base, P)).collect()}
     assert a == b
 
 

@@ -26,7 +26,7 @@ def shuffled(stage_list):
     return [s for s in stage_list if s["shuffle_records"] >= 500]
 
 
-@pytest.mark.parametrize("phase", ["route_measures", "ranked_median", "user_measures", "first_seen",
+@pytest.mark.parametrize("phase", ["route_measures", "ranked_median", "route_profile", "user_measures", "first_seen",
                                    "bucket_measures", "source_destination"])
 def test_hot_route_is_spread(stages, phase):
     assert shuffled(stages[phase])

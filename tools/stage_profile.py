@@ -120,7 +120,10 @@ def skew_check(data_dir: str = "/root/testdata/sf0.01") -> dict[str, list[dict]]
         R.route_measures(rows(spark), PAGE).write.format("noop").mode("overwrite").save()
 
     def ranked_median(spark):
-        R.route_medians(rows(spark), PAGE, strategy="ranked").write.format("noop").mode("overwrite").save()
+        R.route_medians(rows(spark), PAGE).write.format("noop").mode("overwrite").save()
+
+    def route_profile(spark):
+        R.route_profile(rows(spark), PAGE).write.format("noop").mode("overwrite").save()
 
     def user_measures(spark):
         R.user_measures(rows(spark), PAGE).write.format("noop").mode("overwrite").save()
@@ -139,7 +142,7 @@ def skew_check(data_dir: str = "/root/testdata/sf0.01") -> dict[str, list[dict]]
         ranked = r.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("amount_usd")))
         ranked.write.format("noop").mode("overwrite").save()
 
-    return profile({"route_measures": measures, "ranked_median": ranked_median,
+    return profile({"route_measures": measures, "ranked_median": ranked_median, "route_profile": route_profile,
                     "user_measures": user_measures, "first_seen": first_seen,
                     "bucket_measures": bucket_measures, "source_destination": source_destination,
                     "control_per_route_window": per_route_window})
