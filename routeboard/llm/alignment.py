@@ -40,41 +40,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from routeboard.llm.token_counts import Remembered, Splitter, byte_letters, check_supported
 from routeboard.llm.words import slices
 from routeboard.sources.storage import write_and_reload
 
-SLICE_BYTES = 1 << 20            # text that is tokenised and aligned at a time
+SLICE_BYTES = 1 << 19            # text that is tokenised and aligned at a time
 BLOCK_BYTES = 24 << 20           # text whose pairs are sent and answered together
 BLOCK_TEXTS = 1 << 20
+FOLD_PAIRS = 400_000             # id pairs a block holds before they are folded into its distinct ones
 MAX_MODEL_BYTES = 64 << 20       # checked bound of what is sent to the tasks
 LEAD = " "                       # what B puts in front of a text, and A is given in front of it
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
 class Tokens:
-    """One side: texts to ids, and every id's bytes."""
+    """One side: a text to its ids (an array), and every id's bytes."""
 
-    def __init__(self, encode: Callable[[list[str]], list], spelled: Sequence[bytes]):
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], spelled: Sequence[bytes]):
         self.encode, self.spelled = encode, list(spelled)
         self.lengths = np.array([len(x) for x in self.spelled], np.int64)
         digits = [str(i) for i in range(len(self.spelled))]
         self.written = np.array([d + end for end in ",|;" for d in digits], object)   # an id with what follows it
 
 
+class _Ids(Remembered):
+    """A pre-token's ids, packed."""
+
+    def value(self, tokens: list) -> bytes:
+        return np.array([t.id for t in tokens], "<u4").tobytes()
+
+
 def byte_level_side(content: str) -> Tokens:
-    """A: a byte-level BPE file (JSON) of the tokenizers library; special strings are plain text."""
-    import tokenizers
+    """A: a byte-level BPE file (JSON) of the tokenizers library; special strings are plain text.
 
-    from routeboard.llm.token_counts import byte_letters
+    Pre-tokens are cut as the library cuts them and merged by it, each
+    distinct one once while it is remembered.
+    """
+    import tokenizers
 
+    special = set(check_supported(content))
     own = tokenizers.Tokenizer.from_str(content)
-    own.encode_special_tokens = True
+    splitter, ids = Splitter(own), _Ids(own, {})
     values = {c: b for b, c in byte_letters().items()}
     spelled = [b""] * own.get_vocab_size()
-    special = own.get_added_tokens_decoder()
     for entry, i in own.get_vocab().items():
-        spelled[i] = b"" if i in special else bytes(values[c] for c in entry)
-    return Tokens(lambda texts: [e.ids for e in own.encode_batch_fast([LEAD + t for t in texts], add_special_tokens=False)], spelled)
+        spelled[i] = b"" if entry in special else bytes(values[c] for c in entry)
+    return Tokens(lambda texts: [np.frombuffer(b"".join(map(ids.__getitem__, splitter.pieces(LEAD + t))), "<u4") for t in texts], spelled)
 
 
 def piece_side(model: bytes) -> Tokens:
@@ -85,11 +96,11 @@ def piece_side(model: bytes) -> Tokens:
     spelled = [bytes([int(own.id_to_piece(i)[3:5], 16)]) if own.is_byte(i)
                else b"" if own.is_control(i) or own.is_unknown(i) else own.id_to_piece(i).replace("▁", LEAD).encode()
                for i in range(own.get_piece_size())]
-    return Tokens(lambda texts: own.encode(texts, num_threads=1), spelled)
+    return Tokens(lambda texts: [np.array(ids, np.uint32) for ids in own.encode(texts, num_threads=1)], spelled)
 
 
-def _spell(side: Tokens, ids: Sequence[int]) -> bytes:
-    return b"".join(map(side.spelled.__getitem__, ids))
+def _spell(side: Tokens, ids: np.ndarray) -> bytes:
+    return b"".join(map(side.spelled.__getitem__, ids.tolist()))
 
 
 def align(texts: list[str], a: Tokens, b: Tokens) -> Iterator[tuple]:
@@ -104,12 +115,13 @@ def align(texts: list[str], a: Tokens, b: Tokens) -> Iterator[tuple]:
     if not good:
         yield from coded
         return
-    ids_a, ids_b = (np.concatenate([np.asarray(c[k], np.int64) for c in good]) for k in (0, 1))
+    ids_a, ids_b = (np.concatenate([c[k] for c in good]).astype(np.int64) for k in (0, 1))
     ends_a, ends_b = np.cumsum(a.lengths[ids_a]), np.cumsum(b.lengths[ids_b])
     last_a, last_b = np.cumsum([len(c[0]) for c in good]), np.cumsum([len(c[1]) for c in good])
     border = ends_a[last_a - 1]                         # where each text ends
-    both = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    cuts = np.union1d(ends_a, ends_b)
+    ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")     # two ascending runs: merged
+    again = ends[1:] == ends[:-1]
+    both, cuts = ends[1:][again], ends[np.r_[True, ~again]]
     # a link is a piece between neighbouring cuts
     code = ids_a[np.searchsorted(ends_a, cuts)] * len(b.spelled) + ids_b[np.searchsorted(ends_b, cuts)]
     # each token written with what follows it, in the order of groups, A before B
@@ -117,7 +129,7 @@ def align(texts: list[str], a: Tokens, b: Tokens) -> Iterator[tuple]:
     count_a, count_b = np.bincount(group_a, minlength=len(both)), np.bincount(group_b, minlength=len(both))
     ahead_a, ahead_b = np.cumsum(count_a), np.cumsum(count_b) - count_b
     out = np.empty(len(ids_a) + len(ids_b), object)
-    closes_a, closes_b = np.isin(ends_a, both, assume_unique=True), np.isin(ends_b, both, assume_unique=True)
+    closes_a, closes_b = both[group_a] == ends_a, both[group_b] == ends_b
     out[np.arange(len(ids_a)) + ahead_b[group_a]] = a.written[ids_a + closes_a * len(a.spelled)]
     out[np.arange(len(ids_b)) + ahead_a[group_b]] = b.written[ids_b + 2 * closes_b * len(b.spelled)]
     at_cut, at_both = np.searchsorted(cuts, border, side="right"), np.searchsorted(both, border, side="right")
@@ -152,20 +164,21 @@ class _Block:
     """The distinct pairs of a run of texts with the documents that hold them."""
 
     def __init__(self, number: int):
-        self.number, self.bytes, self.texts, self._pairs, self._weights = number, 0, 0, [], []
+        self.number, self.bytes, self.texts, self._new, self._pairs, self._weights = number, 0, 0, 0, [], []
 
     def add(self, pairs: np.ndarray, copies: int, size: int) -> None:
         self.bytes, self.texts = self.bytes + size, self.texts + 1
         self._pairs.append(pairs)
         self._weights.append(np.full(len(pairs), copies, np.int64))
-        if sum(map(len, self._pairs[1:])) > 2_000_000:
+        self._new += len(pairs)
+        if self._new > FOLD_PAIRS:
             self._fold()
 
     def _fold(self) -> None:
         pairs, at = np.unique(np.concatenate(self._pairs), return_inverse=True)
         weights = np.zeros(len(pairs), np.int64)
         np.add.at(weights, at, np.concatenate(self._weights))
-        self._pairs, self._weights = [pairs], [weights]
+        self._new, self._pairs, self._weights = 0, [pairs], [weights]
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         if not self.texts:

@@ -125,25 +125,39 @@ class Splitter:
         return (m.group() for m in self._pattern.finditer(text))   # the same pieces, one at a time
 
 
-class _Lengths(dict):
-    """Tokens of a pre-token: 1 for the proven ones, merged (and remembered, within bounds) for the rest."""
+class Remembered(dict):
+    """What is known of pre-tokens: ``start`` for good, the rest merged by the library and remembered within bounds."""
 
-    def __init__(self, tokenizer, proven):
-        super().__init__(dict.fromkeys(proven, 1))
-        self._proven, self._model, self._letters, self._bytes = proven, tokenizer.model, byte_letters(), 0
+    def __init__(self, tokenizer, start: dict):
+        super().__init__(start)
+        self._start, self._model, self._letters, self._bytes = start, tokenizer.model, byte_letters(), 0
+
+    def value(self, tokens: list):
+        """What to remember of a pre-token's tokens."""
+        raise NotImplementedError
 
-    def __missing__(self, piece: str) -> int:
+    def __missing__(self, piece: str):
         raw = piece.encode()
-        n = len(self._model.tokenize(raw.decode("latin-1").translate(self._letters)))
+        value = self.value(self._model.tokenize(raw.decode("latin-1").translate(self._letters)))
         size = ENTRY_BYTES + len(raw)
         if size <= REMEMBERED_BYTES // 1000:
             self._bytes += size
             if self._bytes > REMEMBERED_BYTES:
                 self.clear()
-                self.update(dict.fromkeys(self._proven, 1))
+                self.update(self._start)
                 self._bytes = size
-            self[piece] = n
-        return n
+            self[piece] = value
+        return value
+
+
+class _Lengths(Remembered):
+    """Tokens of a pre-token: 1 for the proven ones."""
+
+    def __init__(self, tokenizer, proven):
+        super().__init__(tokenizer, dict.fromkeys(proven, 1))
+
+    def value(self, tokens: list) -> int:
+        return len(tokens)
 
 
 def whole_tokens(content: str) -> list[str]:
