@@ -79,8 +79,10 @@ def normalize(fact: DataFrame, fold_case: bool = True, service: str = SERVICE_TA
     status filter runs before the payload is read, and is pushed into the scan
     when the statuses are stored columns.  ``data`` may be
 
-    * JSON text: parsed once per row with ``from_json`` against ``DATA_SCHEMA``
-      (every leaf reads the same parsed struct), or
+    * JSON text: parsed once per row with ``from_json`` against ``DATA_SCHEMA``,
+      whatever filter or projection follows (every leaf reads the same parsed
+      struct, which is a generated column that Catalyst does not repeat; it is
+      made even where no leaf is read), or
     * a ``VARIANT`` column: each leaf is read straight from the binary value
       with ``try_variant_get(..., 'string')``.
 
@@ -101,7 +103,8 @@ def normalize(fact: DataFrame, fold_case: bool = True, service: str = SERVICE_TA
         def leaf(name: str) -> Column:
             return F.try_variant_get(F.col("d"), "$." + PATHS[name], "string")
     else:
-        rows = rows.select("created_at", "id", F.from_json("data", DATA_SCHEMA).alias("d"))
+        # a generated column is not inlined: filters on leaves stay above the parse, those on stored columns go below
+        rows = rows.select("created_at", "id", F.explode(F.array(F.from_json("data", DATA_SCHEMA))).alias("d"))
 
         def leaf(name: str) -> Column:
             c = F.col("d")

@@ -114,6 +114,73 @@ def bucket_measures(base: DataFrame, p: ReportParams, names: Sequence[str] = BUC
     )
 
 
+# --- daily cells: the small-domain part of the measure tables --------------------
+def daily_cells(base: DataFrame, p: ReportParams) -> DataFrame:
+    """Per day, source, destination and token (as written): sum, count and maximum of the values.
+
+    Days, chains and tokens are few, so the cells are combined map-side and
+    every measure over them -- distinct days, chains and tokens, volumes, means,
+    maxima -- is read from this table.  Only the distinct ids and users still
+    need the transfers (``distinct_transfers``): a transfer becomes one row here
+    and two there, where one aggregation for all would make five.
+    """
+    return in_range(base, p).groupBy("created_date", "source_chain", "destination_chain", "raw_asset").agg(
+        F.sum("amount_usd").alias("_sum_usd"), F.count("amount_usd").alias("_n_usd"), F.max("amount_usd").alias("_max_usd"))
+
+
+def _cell_sums() -> list[Column]:
+    return [F.sum("_sum_usd").alias("_sum_usd"), F.max("_max_usd").alias("_max_usd"), F.sum("_n_usd").alias("_n_usd")]
+
+
+def _with_mean(df: DataFrame) -> DataFrame:
+    return df.withColumn("_avg_usd", safe_ratio("_sum_usd", "_n_usd"))
+
+
+def distinct_transfers(base: DataFrame, p: ReportParams, by: Column | None = None) -> DataFrame:
+    """``(by, ids, users)``: distinct transfers and users per group (one row without a group)."""
+    rows = in_range(base, p)
+    counts = [F.count_distinct("id").alias("ids"), F.count_distinct("user_address").alias("users")]
+    return rows.groupBy(by.alias("by")).agg(*counts) if by is not None else rows.agg(*counts)
+
+
+def bucket_of(p: ReportParams) -> Column:
+    return time_bucket("created_date", p.grain)
+
+
+def route_of(fold_case: bool = False) -> Column:
+    return _route(fold_case)
+
+
+def overall_from_cells(cells: DataFrame, distinct: DataFrame, fold_case: bool = True) -> DataFrame:
+    """The ``overall_measures`` of daily cells and ``distinct_transfers``: one row each, put side by side."""
+    one = _with_mean(cells.agg(F.count_distinct(_chain("source_chain", fold_case)).alias("number_of_sources"),
+                               F.count_distinct(_chain("destination_chain", fold_case)).alias("number_of_destinations"), *_cell_sums()))
+    counts = distinct.select(F.col("ids").alias("total_transactions"), F.col("users").alias("unique_users"), F.lit(0).alias("_one"))
+    return one.withColumn("_one", F.lit(0)).join(counts, "_one").drop("_one")
+
+
+def buckets_from_cells(cells: DataFrame, distinct: DataFrame, p: ReportParams, fold_case: bool = True) -> DataFrame:
+    """The ``bucket_measures`` of daily cells and of ``distinct_transfers`` by bucket."""
+    sums = cells.groupBy(bucket_of(p).alias("date")).agg(
+        F.count_distinct(_chain("source_chain", fold_case)).alias("sources"),
+        F.count_distinct(_chain("destination_chain", fold_case)).alias("destinations"), *_cell_sums())
+    counts = distinct.select(F.col("by").alias("date"), F.col("ids").alias("total_transactions"), F.col("users").alias("unique_users"))
+    return sums.join(counts, "date")
+
+
+def routes_from_cells(cells: DataFrame, distinct: DataFrame, fold_case: bool = False) -> DataFrame:
+    """The ``route_measures`` of daily cells and of ``distinct_transfers`` by route."""
+    sums = cells.groupBy(_route(fold_case).alias("path")).agg(
+        F.count_distinct("created_date").alias("active_days"), F.count_distinct("raw_asset").alias("transferred_tokens"), *_cell_sums())
+    counts = distinct.select("by", F.col("ids").alias("number_of_transfers"), F.col("users").alias("number_of_users"))
+    return _with_mean(sums.join(counts, F.col("path").eqNullSafe(F.col("by"))).drop("by"))
+
+
+def quarters_from_cells(cells: DataFrame, p: ReportParams) -> DataFrame:
+    """The ``quarterly_cumulative`` report of daily cells."""
+    return _cumulative(cells, p, "_sum_usd", (2022, 2026), False)
+
+
 USER_MEASURES = ("_txns", "_days", "_paths")
 
 
@@ -215,13 +282,16 @@ def quarterly_cumulative(base: DataFrame, p: ReportParams, years: tuple[int, int
     A bucket that straddles a quarter boundary yields one row per quarter;
     days outside the labelled quarters form the NULL quarter.
     """
+    return _cumulative(in_range(base, p), p, "amount_usd", years, inclusive_last_day)
+
+
+def _cumulative(rows: DataFrame, p: ReportParams, usd: str, years: tuple[int, int] | None, inclusive_last_day: bool) -> DataFrame:
     per_bucket = (
-        in_range(base, p)
-        .groupBy(
+        rows.groupBy(
             time_bucket("created_date", p.grain).alias("date"),
             quarter_label("created_date", years, inclusive_last_day).alias("quarter"),
         )
-        .agg(_volume().alias("total_volume"))
+        .agg(_volume(usd).alias("total_volume"))
     )
     running = Window.partitionBy("quarter").orderBy("date")
     return (
@@ -373,13 +443,17 @@ def new_user_kpis(base: DataFrame, p: ReportParams, daily: DataFrame | None = No
 
 
 # --- R13 -------------------------------------------------------------------
+def heatmap_order() -> list[Column]:
+    return [asc("hour"), asc("day")]
+
+
 def heatmap(base: DataFrame, p: ReportParams) -> DataFrame:
     """Transfers and volume per (hour of day, weekday)."""
     return (
         in_range(base, p)
         .groupBy(F.hour("created_at").alias("hour"), weekday_label("created_at").alias("day"))
         .agg(F.count_distinct("id").alias("number_of_transfers"), _volume().alias("volume_of_transfers"))
-        .orderBy(asc("hour"), asc("day"))
+        .orderBy(*heatmap_order())
     )
 
 
@@ -412,30 +486,21 @@ def route_profile(base: DataFrame, p: ReportParams, fold_case: bool = False,
 
 
 # --- R15 -------------------------------------------------------------------
-def source_destination(base: DataFrame, p: ReportParams, fold_case: bool = True) -> DataFrame:
-    """Volume and transfers per (source, destination), priced transfers only.
+def pairs_order() -> list[Column]:
+    return [desc("volume_usd"), asc("number_of_transactions"), asc("source_chain"), asc("destination_chain")]
 
-    "Priced only" is applied inside the aggregation -- the sum ignores NULL
-    values, the distinct count takes ids of priced rows, and pairs without a
-    priced row are dropped afterwards -- rather than as a row filter, which
-    Catalyst would push below a JSON parse and so parse every document twice.
-    """
-    priced = F.col("amount_usd").isNotNull()
+
+def source_destination(base: DataFrame, p: ReportParams, fold_case: bool = True) -> DataFrame:
+    """Volume and transfers per (source, destination), priced transfers only."""
     return (
         in_range(base, p)
+        .where(F.col("amount_usd").isNotNull())
         .groupBy(
             _chain("source_chain", fold_case).alias("source_chain"),
             _chain("destination_chain", fold_case).alias("destination_chain"),
         )
-        .agg(
-            _volume().alias("volume_usd"),
-            F.count_distinct(F.when(priced, F.col("id"))).alias("number_of_transactions"),
-            F.count("amount_usd").alias("_priced"),
-        )
-        .where(F.col("_priced") > 0)
-        .drop("_priced")
-        .orderBy(desc("volume_usd"), asc("number_of_transactions"), asc("source_chain"),
-                 asc("destination_chain"))
+        .agg(_volume().alias("volume_usd"), F.count_distinct("id").alias("number_of_transactions"))
+        .orderBy(*pairs_order())
     )
 
 

@@ -10,8 +10,12 @@ of its 16 queries, each a full scan.  Here:
   feeds the activity, active-chain and moving-average reports, a global one
   the two KPI rows, a per-user one the three class breakdowns, a per-route one
   the route profile and route totals, a per-day first-seen table the two
-  new-user reports -- 10 scans of the base instead of 16 (9 when the
-  class breakdown uses the page's own date range);
+  new-user reports.  What has a small domain (days, chains, tokens, volumes)
+  comes from one table of daily cells;
+* with a ``ResultStore`` the base and every table made from it are kept under
+  the version of their source: a later page, also in another process, reads
+  them and scans neither the source nor the base (``made`` tells what it had to
+  make);
 * report results that feed derived tables are persisted (one row per bucket,
   class or route), so a derived table never re-scans the base.
 """
@@ -30,7 +34,9 @@ from ..operators import derived, reports
 from ..operators.normalize import normalize
 from ..params import CLASS_WINDOW, ReportParams
 from ..sources.schema import BASE_COLUMNS
+from ..sources.reuse import ResultStore, source_version
 from ..sources.storage import write_and_reload
+from ..sources.tables import read_fact
 
 REPORT_NAMES = (
     "r01_overview_kpis", "r02_activity_over_time", "r03_quarterly_cumulative", "r04_chain_kpis",
@@ -56,6 +62,18 @@ DERIVED_SOURCE = {
     "d7_share_active_days": "r11_active_days",
     "d7_share_paths": "r12_paths_per_user",
 }
+# the measure tables that a report is finished from
+NEEDS = {
+    "r01_overview_kpis": ("m_cells", "m_overall"), "r02_activity_over_time": ("m_cells", "m_buckets"),
+    "r03_quarterly_cumulative": ("m_cells",), "r04_chain_kpis": ("m_cells", "m_overall"),
+    "r05_active_chains": ("m_cells", "m_buckets"), "r06_moving_average": ("m_cells", "m_buckets"),
+    "r07_txn_ranges": ("m_users", "m_users_class_window"), "r08_new_users": ("m_daily_new_users",),
+    "r09_new_user_kpis": ("m_daily_new_users",), "r10_txn_exact": ("m_users",), "r11_active_days": ("m_users",),
+    "r12_paths_per_user": ("m_users",), "r13_heatmap": ("m_heatmap",),
+    "r14_route_profile": ("m_cells", "m_routes", "m_route_medians"), "r15_source_destination": ("m_pairs",),
+    "r16_route_totals": ("m_cells", "m_routes"),
+}
+_BY_BUCKET = ("m_buckets",)      # the only measure table that depends on the grain
 # report results that derived tables read
 _FEEDS = tuple(sorted(set(DERIVED_SOURCE.values())))
 
@@ -97,21 +115,28 @@ class Dashboard:
 
     def __init__(self, base: DataFrame, params: ReportParams = ReportParams(),
                  class_window: ReportParams = CLASS_WINDOW,
-                 first_seen: DataFrame | None = None):
+                 first_seen: DataFrame | None = None, store: ResultStore | None = None, version: str | None = None):
         """``first_seen``: a maintained ``(user_address, first_txn_date)`` table
         (``streaming.first_seen_table``); without it the new-user reports
-        derive first dates from the whole base."""
+        derive first dates from the whole base.  ``store`` keeps the measure
+        tables for later pages, under ``version``: that of the source ``base``
+        was made from (``source_version(base)`` by default)."""
         self.base = base
         self.params = params
         self.class_window = class_window
         self.first_seen = first_seen
+        self.store = store
+        self.version = version or (source_version(base) if store is not None else None)
 
     @classmethod
     def from_fact(cls, fact: DataFrame, params: ReportParams = ReportParams(),
                   materialize: bool = True, cluster: bool = False, partition_by_month: bool = False,
                   **kw) -> "Dashboard":
-        """From a raw fact (``id, created_at, status, simplified_status, data``)."""
+        """From a raw fact (``id, created_at, status, simplified_status, data``; see ``sources.tables.read_fact``)."""
+        fact = read_fact(fact.sparkSession, fact)
         base = normalize(fact, fold_case=False)
+        if kw.get("store") is not None:
+            return cls._kept(base, params, **kw)
         if materialize:
             base = materialize_base(base, cluster, partition_by_month=partition_by_month)
         return cls(base, params, **kw)
@@ -121,56 +146,76 @@ class Dashboard:
                   materialize: bool = True, cluster: bool = False, partition_by_month: bool = False,
                   **kw) -> "Dashboard":
         """From an already normalised relation (``BASE_COLUMNS``, chains unfolded)."""
+        if kw.get("store") is not None:
+            return cls._kept(base, params, **kw)
         if materialize:
             base = materialize_base(base, cluster, partition_by_month=partition_by_month)
         return cls(base, params, **kw)
 
+    @classmethod
+    def _kept(cls, base: DataFrame, params: ReportParams, store: ResultStore, version: str | None = None, **kw) -> "Dashboard":
+        """Over the base that ``store`` keeps for this version of the source."""
+        version = version or source_version(base)
+        kept = store.table(version, "base", lambda: base.select(*BASE_COLUMNS).sortWithinPartitions("created_date"))
+        return cls(kept, params, store=store, version=version, **kw)
+
     # -- lazily built plans --------------------------------------------------
     def shared_plans(self) -> dict[str, Callable[[], DataFrame]]:
         """Measure tables several reports finish from; each is one scan + one aggregation."""
         b, p = self.base, self.params
         plans = {
-            "m_overall": lambda: reports.overall_measures(b, p),
-            "m_buckets": lambda: reports.bucket_measures(b, p),
+            "m_cells": lambda: reports.daily_cells(b, p),
+            "m_overall": lambda: reports.distinct_transfers(b, p),
+            "m_buckets": lambda: reports.distinct_transfers(b, p, reports.bucket_of(p)),
             "m_users": lambda: reports.user_measures(b, p),
-            "m_routes": lambda: reports.route_measures(b, p),
+            "m_routes": lambda: reports.distinct_transfers(b, p, reports.route_of()),
+            "m_route_medians": lambda: reports.route_medians(b, p),
+            "m_heatmap": lambda: reports.heatmap(b, p),
+            "m_pairs": lambda: reports.source_destination(b, p),
             "m_daily_new_users": lambda: reports.daily_new_users(b, p, self.first_seen),
         }
         if self.class_window != p:
             plans["m_users_class_window"] = lambda: reports.user_measures(b, self.class_window, ("_txns",))
         return plans
 
-    def direct_plans(self) -> dict[str, Callable[[], DataFrame]]:
-        """Reports with a grouping of their own: each reads the base directly."""
-        b, p = self.base, self.params
-        return {
-            "r03_quarterly_cumulative": lambda: reports.quarterly_cumulative(b, p),
-            "r13_heatmap": lambda: reports.heatmap(b, p),
-            "r15_source_destination": lambda: reports.source_destination(b, p),
-        }
+    def _measure(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A measure table: kept ones are read, or made and kept."""
+        if self.store is None or (name == "m_daily_new_users" and self.first_seen is not None):
+            return make()
+        p = self.class_window if name == "m_users_class_window" else self.params
+        parameters = {"start": p.start, "end": p.end, **({"grain": p.grain} if name in _BY_BUCKET else {})}
+        return self.store.table(self.version, name, make, **parameters)
+
+    def report(self, name: str) -> DataFrame:
+        """One report, finished from the measure tables it needs (kept ones with a store)."""
+        shared = self.shared_plans()
+        measures = {n: self._measure(n, shared[n]) for n in NEEDS[name] if n in shared}
+        return self.report_plans(measures)[name]()
 
     def report_plans(self, m: dict[str, DataFrame]) -> dict[str, Callable[[], DataFrame]]:
         """The sixteen reports, finished from the shared measure tables ``m`` where they can be."""
         b, p = self.base, self.params
-        class_users = m.get("m_users_class_window", m["m_users"])
-        medians = reports.route_medians(b, p)
+        class_users = lambda: m.get("m_users_class_window", m["m_users"])
+        overall = lambda: reports.overall_from_cells(m["m_cells"], m["m_overall"])
+        buckets = lambda: reports.buckets_from_cells(m["m_cells"], m["m_buckets"], p)
+        routes = lambda: reports.routes_from_cells(m["m_cells"], m["m_routes"])
         return {
-            "r01_overview_kpis": lambda: reports.overview_kpis(b, p, measures=m["m_overall"]),
-            "r02_activity_over_time": lambda: reports.activity_over_time(b, p, measures=m["m_buckets"]),
-            "r03_quarterly_cumulative": lambda: reports.quarterly_cumulative(b, p),
-            "r04_chain_kpis": lambda: reports.chain_kpis(b, p, measures=m["m_overall"]),
-            "r05_active_chains": lambda: reports.active_chains(b, p, measures=m["m_buckets"]),
-            "r06_moving_average": lambda: reports.moving_average(b, p, measures=m["m_buckets"]),
-            "r07_txn_ranges": lambda: reports.txn_ranges(b, self.class_window, measures=class_users),
+            "r01_overview_kpis": lambda: reports.overview_kpis(b, p, measures=overall()),
+            "r02_activity_over_time": lambda: reports.activity_over_time(b, p, measures=buckets()),
+            "r03_quarterly_cumulative": lambda: reports.quarters_from_cells(m["m_cells"], p),
+            "r04_chain_kpis": lambda: reports.chain_kpis(b, p, measures=overall()),
+            "r05_active_chains": lambda: reports.active_chains(b, p, measures=buckets()),
+            "r06_moving_average": lambda: reports.moving_average(b, p, measures=buckets()),
+            "r07_txn_ranges": lambda: reports.txn_ranges(b, self.class_window, measures=class_users()),
             "r08_new_users": lambda: reports.new_users(b, p, daily=m["m_daily_new_users"]),
             "r09_new_user_kpis": lambda: reports.new_user_kpis(b, p, daily=m["m_daily_new_users"]),
             "r10_txn_exact": lambda: reports.txn_exact(b, p, measures=m["m_users"]),
             "r11_active_days": lambda: reports.active_days(b, p, measures=m["m_users"]),
             "r12_paths_per_user": lambda: reports.paths_per_user(b, p, measures=m["m_users"]),
-            "r13_heatmap": lambda: reports.heatmap(b, p),
-            "r14_route_profile": lambda: reports.route_profile(b, p, measures=m["m_routes"], medians=medians),
-            "r15_source_destination": lambda: reports.source_destination(b, p),
-            "r16_route_totals": lambda: reports.route_totals(b, p, measures=m["m_routes"]),
+            "r13_heatmap": lambda: m["m_heatmap"].orderBy(*reports.heatmap_order()),
+            "r14_route_profile": lambda: reports.route_profile(b, p, measures=routes(), medians=m["m_route_medians"]),
+            "r15_source_destination": lambda: m["m_pairs"].orderBy(*reports.pairs_order()),
+            "r16_route_totals": lambda: reports.route_totals(b, p, measures=routes()),
         }
 
     @staticmethod
@@ -191,8 +236,7 @@ class Dashboard:
     # -- execution -------------------------------------------------------------
     def run(self, action: Callable[[DataFrame], object] | None = None,
             parallel: int = 1) -> tuple[dict[str, object], dict[str, float]]:
-        """Build the shared measure tables (with the reports that need none), then the
-        other reports, then every derived table.
+        """Build the shared measure tables, then the reports, then every derived table.
 
         Measure tables are persisted (MEMORY_AND_DISK; a lost block is
         recomputed from the materialised base) and released at the end.
@@ -209,9 +253,9 @@ class Dashboard:
 
         def timed(name: str, make: Callable[[], DataFrame], keep: bool, act) -> None:
             t0 = time.perf_counter()
-            df = make()
+            df = self._measure(name, make) if name in shared else make()
             if keep:
-                df = df.persist(StorageLevel.MEMORY_AND_DISK)
+                df = df if name in shared and self.store is not None else df.persist(StorageLevel.MEMORY_AND_DISK)
                 frames[name] = df
             results[name] = act(df)
             seconds[name] = time.perf_counter() - t0
@@ -227,18 +271,12 @@ class Dashboard:
                 for f in futures:
                     f.result()
 
-        shared, direct = self.shared_plans(), self.direct_plans()
+        shared = self.shared_plans()
         try:
-            # measure tables, and the reports that read only the base, start together
-            run_all({**shared, **direct}, tuple(shared) + _FEEDS,
-                    lambda n: (lambda df: df.count()) if n in shared else action)
+            run_all(shared, tuple(shared), lambda n: (lambda df: None) if self.store is not None else (lambda df: df.count()))
             measures = {n: frames[n] for n in shared}
-            rest = {n: make for n, make in self.report_plans(measures).items() if n not in direct}
-            # derived tables whose report is already done run with the remaining reports
-            derived_all = self.derived_plans(frames)
-            ready = {n: make for n, make in derived_all.items() if DERIVED_SOURCE[n] in direct}
-            run_all({**rest, **ready}, _FEEDS)
-            run_all({n: make for n, make in derived_all.items() if n not in ready}, ())
+            run_all(self.report_plans(measures), _FEEDS)
+            run_all(self.derived_plans(frames), ())
         finally:
             for df in frames.values():
                 df.unpersist()

@@ -10,16 +10,31 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from ..functions.labels import (
-    DAY_EXACT_CLASSES,
-    PATH_EXACT_CLASSES,
-    ROUTE_SEPARATOR,
-    TXN_EXACT_CLASSES,
-    TXN_RANGE_CLASSES,
+from ..params import ReportParams
+
+# Literals on purpose: what the queries are checked against does not come from them.
+PAGE = ReportParams(date(2023, 1, 1), date(2025, 8, 31), "week")
+CLASS_WINDOW = ReportParams(date(2022, 11, 1), date(2025, 8, 31), "week")
+EVENT_RANGE = ReportParams(date(2024, 1, 10), date(2024, 1, 20), "day")
+EVENT_COHORT = ReportParams(date(2024, 1, 2), date(2024, 1, 20), "day")
+DATE_SHIFT_DAYS = 9862
+ROUTE_SEPARATOR = "➡"
+TXN_RANGE_CLASSES = (
+    (1, 1, "1 Txn"), (2, 2, "2 Txns"), (3, 5, "3-5 Txns"), (6, 10, "6-10 Txns"), (11, 15, "11-15 Txns"),
+    (16, 25, "16-25 Txns"), (26, 50, "26-50 Txns"), (51, None, ">50 Txns"),
+)
+TXN_EXACT_CLASSES = (
+    (1, 1, "1 Txn"), (2, 2, "2 Txns"), (3, 3, "3 Txns"), (4, 4, "4 Txn"), (5, 5, "5 Txns"), (6, 6, "6 Txns"),
+    (7, 7, "7 Txn"), (8, 8, "8 Txns"), (9, 9, "9 Txns"), (10, 10, "10 Txns"), (11, None, ">10 Txns"),
+)
+DAY_EXACT_CLASSES = (
+    (1, 1, "1 Day"), (2, 2, "2 Days"), (3, 3, "3 Days"), (4, 4, "4 Days"), (5, 5, "5 Days"), (6, 6, "6 Days"),
+    (7, 7, "7 Days"), (8, 8, "8 Days"), (9, 9, "9 Days"), (10, 10, "10 Days"), (11, None, ">10 Days"),
+)
+PATH_EXACT_CLASSES = (
+    (1, 1, "1 Path"), (2, 2, "2 Paths"), (3, 3, "3 Paths"), (4, 4, "4 Paths"), (5, 5, "5 Paths"), (6, 6, "6 Paths"),
+    (7, 7, "7 Paths"), (8, 8, "8 Paths"), (9, 9, "9 Paths"), (10, 10, "10 Paths"), (11, None, ">10 Paths"),
 )
-from ..params import CLASS_WINDOW, ReportParams
-from ..sources.order_lines import DATE_SHIFT_DAYS
-from .catalog import EVENT_COHORT, EVENT_RANGE, PAGE
 
 ORDERS_CTE = f"""base AS (
   SELECT CAST(CAST(o.o_orderdate AS DATE) + {DATE_SHIFT_DAYS} AS TIMESTAMP) AS created_at,
@@ -137,7 +152,7 @@ g AS (SELECT {bucket('created_date', p.grain)} AS date, {quarter_case('created_d
       FROM base WHERE {rng(p)} GROUP BY 1, 2)
 SELECT date, quarter, total_volume,
        sum(total_volume) OVER (PARTITION BY quarter ORDER BY date) AS cumulative_volume
-FROM g ORDER BY date, quarter"""
+FROM g ORDER BY date ASC NULLS LAST, quarter ASC NULLS LAST"""
 
 
 def r04(cte, p):
@@ -172,7 +187,7 @@ def _classes(cte, p, measure, classes, label):
     return f"""WITH {cte},
 u AS (SELECT user_address, {measure} AS n FROM base WHERE {rng(p)} GROUP BY user_address)
 SELECT {class_case('n', classes)} AS {label}, count(DISTINCT user_address) AS number_of_users
-FROM u GROUP BY 1 ORDER BY 2 DESC"""
+FROM u GROUP BY 1 ORDER BY 2 DESC NULLS FIRST, 1 ASC NULLS LAST"""
 
 
 def r07(cte, p):
@@ -245,7 +260,7 @@ FROM base WHERE {rng(p)} GROUP BY 1"""
 
 
 def r14(cte, p):
-    return f"WITH {cte}\n{_r14_body(p)} ORDER BY active_days DESC, path"
+    return f"WITH {cte}\n{_r14_body(p)} ORDER BY active_days DESC NULLS FIRST, path ASC NULLS LAST"
 
 
 def r15(cte, p):
@@ -253,7 +268,7 @@ def r15(cte, p):
 SELECT lower(source_chain) AS source_chain, lower(destination_chain) AS destination_chain,
        {sr('sum(amount_usd)')} AS volume_usd, count(DISTINCT id) AS number_of_transactions
 FROM base WHERE {rng(p)} AND amount_usd IS NOT NULL
-GROUP BY 1, 2 ORDER BY 3 DESC, 4"""
+GROUP BY 1, 2 ORDER BY 3 DESC NULLS FIRST, 4 ASC NULLS LAST, 1 ASC NULLS LAST, 2 ASC NULLS LAST"""
 
 
 def _r16_body(p):
@@ -265,7 +280,7 @@ FROM base WHERE {rng(p)} GROUP BY 1"""
 
 
 def r16(cte, p):
-    return f"WITH {cte}\n{_r16_body(p)} ORDER BY 2 DESC"
+    return f"WITH {cte}\n{_r16_body(p)} ORDER BY 2 DESC NULLS FIRST, 1 ASC NULLS LAST"
 
 
 # --- derived -----------------------------------------------------------------------
@@ -423,3 +438,16 @@ SELECT DISTINCT source_chain, destination_chain FROM base""",
 }
 ORACLE["p_median_ranked"] = ORACLE["p_median"]
 ORACLE["p_normalized_variant"] = ORACLE["p_normalized"]
+
+# stored and kept results are the same tables
+ORACLE |= {
+    "p_stored_fact": ORACLE["p_normalized"],
+    "s_kept_activity": ORACLE["r02_activity_over_time"],
+    "s_kept_activity_events": ORACLE["r02_activity_over_time_events"],
+    "s_kept_quarterly": ORACLE["r03_quarterly_cumulative"],
+    "s_kept_chain_kpis": ORACLE["r04_chain_kpis"],
+    "s_kept_heatmap": ORACLE["r13_heatmap"],
+    "s_kept_route_profile": ORACLE["r14_route_profile"],
+    "s_kept_route_profile_events": ORACLE["r14_route_profile_events"],
+    "s_kept_pairs_events": ORACLE["r15_source_destination_events"],
+}

@@ -1,8 +1,15 @@
 import math
+from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from routeboard.operators.normalize import normalize
+from routeboard.operators.reports import in_range
+from routeboard.params import ReportParams
+from routeboard.sources.envelope import events_fact
+from routeboard.sources.storage import scratch_path
+from tests.conftest import SF_SMALL
 from tests.edge_rows import FEE_CASES, RAW_SCHEMA, VALUE_CASES, raw_rows
 
 
@@ -111,3 +118,21 @@ def test_instant_created_at_read_as_utc_whatever_the_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert (r.created_at, r.created_date, r.h) == (datetime(2024, 1, 1, 3, 0), date(2024, 1, 1), 3)
+
+
+@pytest.mark.parametrize("name", ["p_priced", "r15_source_destination_events", "r14_route_profile_events"])
+def test_one_parse_whatever_the_filter(spark, name):
+    from routeboard.plans.catalog import QUERIES
+    plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    scans = plan.count("Relation [")
+    assert scans == 1 or name.startswith("r14")      # R14's cells stand in the plan once for each reader, and run once
+    assert plan.count("from_json") == scans
+
+
+def test_stored_filters_go_below_the_parse(spark):
+    path = scratch_path(spark, "fact")
+    events_fact(spark, SF_SMALL).write.parquet(path)
+    df = in_range(normalize(spark.read.parquet(path)), ReportParams(date(2024, 1, 10), date(2024, 1, 12), "day"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters"):].split("\n")[0]
+    assert "created_at" in pushed and "EqualTo(status,executed)" in pushed
