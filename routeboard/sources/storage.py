@@ -83,4 +83,16 @@ def write_and_reload(df: DataFrame, name: str, sort_by: tuple[str, ...] = (),
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     # the schema is known: no inference pass over the written footers
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    loaded = df.sparkSession.read.schema(df.schema).parquet(path)
+    loaded._written_to = path
+    return loaded
+
+
+def release(*frames: DataFrame) -> None:
+    """Removes what ``write_and_reload`` wrote for ``frames``; nothing may read them (or plans on them) any more."""
+    for df in frames:
+        path = getattr(df, "__dict__", {}).get("_written_to")
+        if path is None:
+            raise ValueError("only a table that write_and_reload returned can be released")
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
