@@ -32,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from routeboard.llm.worker import hold
 from routeboard.llm.words import slices
 
 SLICE_CHARS = 4_000_000
@@ -125,7 +126,6 @@ class Codec:
         self.tokens = {r: t for t, r in ranks.items()}
         merges = {(ranks[t[:i]] << 32 | ranks[t[i:]]): r for t, r in ranks.items()
                   for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        self.merges = merges
         size = max(self.tokens) + 1
         self.opens = np.zeros(size, bool)
         self.opens[[r for t, r in ranks.items() if t[0] < 128 and not t[:1].isalpha()]] = True
@@ -134,6 +134,7 @@ class Codec:
         # a byte b is written as the character 256 + b, so any byte sequence is a valid string
         self._load("vocabulary", id=pa.array(self.tokens.keys(), pa.int32()),
                    bytes=pa.array(["".join(chr(256 + b) for b in t) for t in self.tokens.values()]))
+        self.merges: dict[int, int] | None = None
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.runs: dict[bytes, bytes] = {}
@@ -153,6 +154,8 @@ class Codec:
         """Leftmost pair of minimum rank first, with a heap; for one very long piece."""
         ids, n = list(token_ids), len(token_ids)
         after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        if self.merges is None:     # only long pieces need the table outside DuckDB
+            self.merges = dict(self.db.sql("SELECT pair, rank FROM merges").fetchall())
         merges = self.merges
         pair = lambda i: merges.get(ids[i] << 32 | ids[after[i]]) if i >= 0 and after[i] >= 0 else None
         heap = [(r, i) for i in range(n) if (r := pair(i)) is not None]
@@ -283,6 +286,11 @@ def codec(content: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
+def forget_codecs() -> None:
+    """Drops this worker's codecs with all they remember."""
+    _codecs.clear()
+
+
 def _apply(df: DataFrame, source: str, add: dict[str, T.DataType], content: bytes, pattern: str, work) -> DataFrame:
     """``df`` with the columns ``add`` (replacing columns of the same name), made by ``work(codec, values)``."""
     shared = df.sparkSession.sparkContext.broadcast(content)
@@ -290,6 +298,7 @@ def _apply(df: DataFrame, source: str, add: dict[str, T.DataType], content: byte
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(c, t) for c, t in add.items()])
 
     def run(batches):
+        hold("bpe", forget_codecs)
         own = codec(shared.value, pattern)
         for batch in batches:
             for part in slices(batch, source, SLICE_CHARS):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routeboard.sources.storage import checkpoint_root
+from routeboard.sources.storage import release, write_and_reload
 
 
 def _least(edges: DataFrame, keep) -> DataFrame:
@@ -17,11 +17,12 @@ def _least(edges: DataFrame, keep) -> DataFrame:
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(id, component_id) for every id that has a link; the component is its smallest id.
 
-    Every round is written by ``checkpoint()`` to the shared folder; the number
-    of rounds grows with the logarithm of a component's size.
+    Every round is written to the shared folder, and removed once the next one
+    is; the number of rounds grows with the logarithm of a component's size.
+    The result is written too (``storage.release`` removes it).
     """
-    checkpoint_root(links.sparkSession)
-    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct().checkpoint()
+    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
+    edges = write_and_reload(edges, "components")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -30,11 +31,15 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         least = _least(down, F.lit(True))
         small = least.select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(
             least.select("u", F.col("least").alias("v")))
-        edges = small.where("u <> v").distinct().checkpoint()
+        latest = write_and_reload(small.where("u <> v").distinct(), "components")
+        release(edges)
+        edges = latest
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before:
             break
         before = after
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(
+    groups = write_and_reload(edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component_id"))).groupBy("id").agg(
-        F.min("component_id").alias("component_id"))
+        F.min("component_id").alias("component_id")), "components-done")
+    release(edges)
+    return groups

@@ -27,7 +27,8 @@ whose classes are still in different components is compared, so no link
 between two components is lost.
 
 Link counts.  Every link lies within a component, so once the components are
-known each of them is cut into slices of about ``TILE`` classes (by a hash)
+known each of them is cut into slices of about ``TILE`` classes and at most
+about ``TILE_BYTES`` of sets (by a hash)
 and every pair of slices is compared in one tile: a sparse incidence matrix of
 the shingles that stand in two sets or more, multiplied with itself, gives all
 intersections exactly.  A tile sends one number a class, not its pairs.
@@ -37,6 +38,8 @@ Empty sets (no word, NULL text) link with nothing.  Repeated rows are copies.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -44,15 +47,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routeboard.llm.links import components
-from routeboard.llm.words import NEAR_PERCENT, NEAR_WORDS, mix, shingle_set
-from routeboard.sources.storage import write_and_reload
+from routeboard.llm.worker import hold
+from routeboard.llm.words import NEAR_PERCENT, NEAR_WORDS, forget_words, mix, shingle_set
+from routeboard.sources.storage import release, write_and_reload
 
 CELLS = 1 << 20          # counters of the document-count sketch; bounds its broadcast to 4 MB
 SLICES = 16              # the sketch is summed in slices
 MAX_BITS = 1 << 28       # bitmap of candidate ids: 32 MB at most
 RANGES = 16              # hash ranges of the suffix filter
-TILE = 128               # classes in a slice of a component, when its links are counted
-COLUMNS = 1 << 16        # shingles multiplied at a time; bounds a tile's matrices to 64 MB each
+TILE = 512               # classes in a slice of a component, when its links are counted
+TILE_BYTES = 16 << 20    # bytes of sets in a slice
+CELLS_AT_ONCE = 1 << 24  # matrix cells (sets x shingles) multiplied at a time: 64 MB
 HUBS = (4, 16, 64)       # by round: members of a list's largest component that its other classes are paired with
 
 
@@ -73,6 +78,7 @@ def _ids(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 def _survey(docs: DataFrame, width: int) -> DataFrame:
     """One pass: a row (doc_id, n_shingles, class) for each document and sketch slices of each task."""
     def run(batches):
+        hold("words", forget_words)
         counts = np.zeros(CELLS, np.uint32)
         for batch in batches:
             rows = []
@@ -83,15 +89,17 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
             if rows:
                 n, keys = zip(*rows, strict=True)
                 yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()),
-                                       pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names=_SURVEY)
-        parts = [x.tobytes() for x in np.split(counts, SLICES)]
-        yield pa.record_batch([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()),
-                               pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=_SURVEY)
+                                       pa.nulls(len(rows), pa.int32()), *[pa.nulls(len(rows), pa.binary())] * 2], names=_SURVEY)
+        # only the cells that this task has met: what is sent grows with its texts, not with the tasks
+        parts = [(np.flatnonzero(x).astype("<u2"), x[x > 0].astype("<u4")) for x in np.split(counts, SLICES)]
+        yield pa.record_batch([*[pa.nulls(SLICES, pa.int64())] * 3, pa.array(range(SLICES), pa.int32()),
+                               pa.array([x.tobytes() for x, _ in parts], pa.binary()), pa.array([n.tobytes() for _, n in parts], pa.binary())],
+                              names=_SURVEY)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, slice int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, slice int, cells binary, counts binary")
 
 
-_SURVEY = ["doc_id", "n_shingles", "class", "slice", "counts"]
+_SURVEY = ["doc_id", "n_shingles", "class", "slice", "cells", "counts"]
 
 
 def _sketch(survey: DataFrame) -> np.ndarray:
@@ -99,14 +107,14 @@ def _sketch(survey: DataFrame) -> np.ndarray:
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                values = np.frombuffer(part, np.uint32).astype(np.uint64)
-                sums[k] = sums[k] + values if k in sums else values
+            for k, cells, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = sums.setdefault(k, np.zeros(CELLS // SLICES, np.uint64))
+                own[np.frombuffer(cells, "<u2")] += np.frombuffer(counts, "<u4")
         if sums:
             packed = [np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in sums.values()]
             yield pa.record_batch([pa.array(sums, pa.int32()), pa.array(packed, pa.binary())], names=["slice", "counts"])
 
-    slices = (survey.where("slice IS NOT NULL").select("slice", "counts").repartition(SLICES, "slice")
+    slices = (survey.where("slice IS NOT NULL").select("slice", "cells", "counts").repartition(SLICES, "slice")
               .mapInArrow(add, "slice int, counts binary").collect())
     return np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in sorted(slices, key=lambda r: r["slice"])])
 
@@ -116,6 +124,7 @@ def _prefix_rows(docs: DataFrame, sketch: np.ndarray, width: int, buckets: int)
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
+        hold("words", forget_words)
         counts = shared.value
         for batch in batches:
             seen: set[int] = set()
@@ -252,9 +261,8 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(class, shingles) of the wanted classes (class, first_id); further rows and classes that share a bit come along."""
+    """(class, shingles) of the wanted classes (class, first_id), a written table; further rows and classes that share a bit come along."""
     spark = docs.sparkSession
-    wanted = write_and_reload(wanted, "near-candidates")
     # a bitmap of the candidates' ids spares the other documents
     slots = 1 << 20
     n = wanted.count()
@@ -270,6 +278,7 @@ def _sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(bytes(marks))
 
     def make(batches):
+        hold("words", forget_words)
         marks = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             at = batch.column("slot").to_numpy()
@@ -285,9 +294,12 @@ def _sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """The linked pairs (a, b of classes).  Sets are made for one document of each candidate class."""
-    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-                 .join(classes.select("class", "first_id"), "class"), docs, width)   # false hits and second copies fall out below
+    """The linked pairs (a, b of classes), written.  Sets are made for one document of each candidate class."""
+    wanted = write_and_reload(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+                              .join(classes.select("class", "first_id"), "class"), "near-candidates")
+    # one row a class: false hits fall out, and second copies do not meet the pairs again and again
+    sets = _sets(wanted, docs, width)
+    kept = sets.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
     def verify(batches):
         for batch in batches:
@@ -295,9 +307,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int)
                     for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return (pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a")
-            .join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
-            .select("a", "b", "x", "y").mapInArrow(verify, "a long, b long").distinct())
+    links = write_and_reload(
+        pairs.join(kept.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a")
+        .join(kept.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
+        .select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "near-links")
+    release(wanted, sets)
+    return links
 
 
 def _links_in(sets: list[np.ndarray], left: int) -> np.ndarray:
@@ -312,11 +327,12 @@ def _links_in(sets: list[np.ndarray], left: int) -> np.ndarray:
     rows, others = (slice(0, left), slice(left, None)) if left else (slice(None), slice(None))
     n = np.array([len(x) for x in sets])
     both = np.zeros((len(n[rows]), len(n[others])), np.int64)
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        a, b = np.searchsorted(column, (start, start + COLUMNS))
+    wide = max(1, CELLS_AT_ONCE // len(sets))
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        a, b = np.searchsorted(column, (start, start + wide))
         m = np.zeros((len(sets), int(column[b - 1]) - start + 1), np.float32)
         m[owner[a:b], column[a:b] - start] = 1
-        both += (m[rows] @ m[others].T).astype(np.int64)   # at most COLUMNS a product: exact in 24 bits
+        both += (m[rows] @ m[others].T).astype(np.int64)   # at most 2**24 a product: exact in a float's 24 bits
     out = 100 * both >= NEAR_PERCENT * (n[rows][:, None] + n[others][None, :] - both)
     if not left:
         np.fill_diagonal(out, False)
@@ -352,17 +368,25 @@ def _count_links(batches):
 
 
 def _link_counts(docs: DataFrame, classes: DataFrame, groups: DataFrame, width: int) -> DataFrame:
-    """(class, n): for each class of a component of several classes, the rows of other classes it is linked with."""
-    inside = classes.join(groups, classes["first_id"] == groups["id"]).select("class", "first_id", "members", F.col("component_id").alias("top"))
-    slices = inside.groupBy("top").agg(F.ceil(F.count("*") / TILE).cast("int").alias("slices"))
+    """(class, n), written: for each class of a component of several classes, the rows of other classes it is linked with."""
+    inside = classes.join(groups, classes["first_id"] == groups["id"]).select("class", "first_id", "members", "n", F.col("component_id").alias("top"))
+    cut = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(8 * F.sum("n") / TILE_BYTES))
+    slices = inside.groupBy("top").agg(cut.cast("int").alias("slices"))
     inside = write_and_reload(
         inside.join(slices, "top").withColumn("side", F.pmod(F.xxhash64("class"), F.col("slices")).cast("int")), "near-inside")
-    sets = _sets(inside.select("class", "first_id"), docs, width).join(inside, "class").dropDuplicates(["class"])
-    tiles = (sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    sets = _sets(inside.select("class", "first_id"), docs, width)
+    tiles = (sets.join(inside, "class").dropDuplicates(["class"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
              .select("top", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "class", "members", "shingles"))
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (tiles.repartition(parts, "top", "low", "high").sortWithinPartitions("top", "low", "high", "side")
-            .mapInArrow(_count_links, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")))
+    counts = write_and_reload(
+        tiles.repartition(parts, "top", "low", "high").sortWithinPartitions("top", "low", "high", "side")
+        .mapInArrow(_count_links, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")), "near-counts")
+    release(inside, sets)
+    return counts
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def near_copies(df: DataFrame, width: int = NEAR_WORDS, doc_id: str = "doc_id", text: str = "text", count_links: bool = True) -> DataFrame:
@@ -378,7 +402,8 @@ def near_copies(df: DataFrame, width: int = NEAR_WORDS, doc_id: str = "doc_id",
     sketch = _sketch(survey)
     members = survey.where("slice IS NULL").select("doc_id", "n_shingles", "class")
     classes = write_and_reload(
-        members.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("members")), "near-classes")
+        members.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("class").agg(
+            F.min("doc_id").alias("first_id"), F.count("*").alias("members"), F.max("n_shingles").alias("n")), "near-classes")
 
     shared = write_and_reload(
         _prefix_rows(docs.where("doc_id IS NOT NULL"), sketch, width, buckets).groupBy("bucket").applyInArrow(
@@ -386,27 +411,30 @@ def near_copies(df: DataFrame, width: int = NEAR_WORDS, doc_id: str = "doc_id",
         "near-shared")
     to_hub = write_and_reload(
         shared.where("candidate").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct(), "near-pairs")
-    first = write_and_reload(_verified(to_hub, docs, classes, width), "near-links")
-
-    links, tried = first, to_hub
+    links, tried = [_verified(to_hub, docs, classes, width)], [to_hub]
+    before = shared
     longer = shared.where("size > 2").select("bucket", "gram", "class", "n", "pos")
     for candidates in (*map(_to_hubs, HUBS), _across):
-        tops = components(links, "a", "b").select(F.col("id").alias("class"), F.col("component_id").alias("top"))
+        groups = components(_all(links), "a", "b")
+        tops = groups.select(F.col("id").alias("class"), F.col("component_id").alias("top"))
         found = write_and_reload(
             longer.join(tops, "class", "left").withColumn("top", F.coalesce("top", "class"))
             .groupBy("bucket").applyInArrow(candidates, "a long, b long, bucket int, gram long, class long, n long, pos long"),
             "near-round")
-        longer = found.where("a IS NULL").select("bucket", "gram", "class", "n", "pos")
+        release(before, groups)          # what a later step reads is written by now
+        before, longer = found, found.where("a IS NULL").select("bucket", "gram", "class", "n", "pos")
         pairs = write_and_reload(
-            found.where("a IS NOT NULL").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
+            found.where("a IS NOT NULL").select("a", "b").distinct().join(_all(tried), ["a", "b"], "left_anti"), "near-pairs")
         if not pairs.isEmpty():
-            links = write_and_reload(links.unionByName(_verified(pairs, docs, classes, width)), "near-links")
-            tried = tried.unionByName(pairs)
+            links.append(_verified(pairs, docs, classes, width))
+            tried.append(pairs)
     ids = classes.select(F.col("class").alias("a"), F.col("first_id").alias("u"))
-    links = write_and_reload(
-        links.join(ids, "a").join(ids.select(F.col("a").alias("b"), F.col("u").alias("v")), "b").select("u", "v"), "near-id-links")
-    groups = components(links, "u", "v")
-    labelled = classes.join(groups, classes["first_id"] == groups["id"], "left").drop("id")
+    by_id = write_and_reload(
+        _all(links).join(ids, "a").join(ids.select(F.col("a").alias("b"), F.col("u").alias("v")), "b").select("u", "v"), "near-id-links")
+    release(before, *links, *tried)
+    groups = components(by_id, "u", "v")
+    release(by_id)
+    labelled = classes.drop("n").join(groups, classes["first_id"] == groups["id"], "left").drop("id")
     columns = ["doc_id", "n_shingles",
                F.when(F.col("n_shingles") > 0, F.col("first_id")).otherwise(F.col("doc_id")).alias("class_id"),
                F.when(F.col("doc_id").isNull(), F.lit(None).cast("long"))

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from routeboard.llm.words import window_hashes, word_hashes
+from routeboard.llm.worker import hold
+from routeboard.llm.words import forget_words, window_hashes, word_hashes
 
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
@@ -80,13 +81,17 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     return _failures(_measured(df, text).drop(text))
 
 
-def _measured(df: DataFrame, text: str) -> DataFrame:
+def _measured(df: DataFrame, text: str, within: int | None = None) -> DataFrame:
+    """``df`` with ``MEASURES`` of its column ``text``, or of field ``within`` of its column ``row``."""
     keep = [c for c in df.columns if c not in (*MEASURES, "failures")]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(m, T.LongType()) for m in MEASURES])
 
     def run(batches):
+        hold("words", forget_words)
         for batch in batches:
-            columns = zip(*map(measure, batch.column(text).to_pylist()), strict=True) if batch.num_rows else [()] * len(MEASURES)
+            texts = batch.column(text) if within is None else batch.column("row").field(within)
+            found = [measure(t.as_py()) for t in texts]      # one text at a time: a batch is never held twice
+            columns = zip(*found, strict=True) if found else [()] * len(MEASURES)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep] + [pa.array(x, pa.int64()) for x in columns], names=[*keep, *MEASURES])
 
@@ -106,8 +111,8 @@ def apply_policy(ledger_df: DataFrame, policy: Policy) -> DataFrame:
 def keep(df: DataFrame, policy: Policy = STRICT, text: str = "text") -> DataFrame:
     """The rows of ``df`` that pass ``policy``, with the columns of ``df``."""
     columns = df.columns
-    packed = df.select(F.struct(*columns).alias("row"), F.col(text).alias("text"))
-    return apply_policy(_failures(_measured(packed, "text")), policy).where("kept").select("row.*")
+    packed = df.select(F.struct(*columns).alias("row"))
+    return apply_policy(_failures(_measured(packed, text, columns.index(text))), policy).where("kept").select("row.*")
 
 
 def ablations(ledger_df: DataFrame, policies: tuple[Policy, ...]) -> DataFrame:

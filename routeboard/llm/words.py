@@ -49,6 +49,11 @@ class _WordHashes(dict):
 _known = _WordHashes()
 
 
+def forget_words() -> None:
+    """Empties this worker's memory of word hashes."""
+    _known.clear()
+
+
 def word_hashes(tokens: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_known.__getitem__, tokens), np.uint64, len(tokens))
 
