@@ -33,6 +33,7 @@ from ..sources.order_lines import order_lines_base
 from ..sources.reuse import ResultStore
 from ..sources.storage import scratch_path
 from ..sources.tables import read_fact
+from ..streaming import StreamedCells, read_first_seen, start_cells_stream, start_first_seen_state
 from .dashboard import Dashboard
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,6 +187,28 @@ def _kept(base_fn, report: str, params: ReportParams) -> Query:
     return query
 
 
+def _streamed(report: str, params: ReportParams) -> Query:
+    """``report`` over measures that a stream has kept: the fact arrives in three loads whose days overlap."""
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        raw = events_fact(spark, d)
+        loads, kept, checkpoint = (scratch_path(spark, x) for x in ("loads", "cells", "cells-stream"))
+        raw.repartition(3, "id").write.parquet(loads)
+        stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(loads)
+        start_cells_stream(stream, kept, checkpoint=checkpoint).awaitTermination()
+        return getattr(StreamedCells(spark, kept), report)(params)
+    return query
+
+
+def t_streamed_first_seen(spark, d):
+    """The users' first dates, kept by a stream in touched buckets."""
+    raw = events_fact(spark, d)
+    loads, kept, checkpoint = (scratch_path(spark, x) for x in ("loads", "first-state", "first-state-stream"))
+    raw.repartition(3, "id").write.parquet(loads)
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(loads)
+    start_first_seen_state(stream, kept, buckets=16, checkpoint=checkpoint).awaitTermination()
+    return read_first_seen(spark, kept)
+
+
 # --- registry ------------------------------------------------------------------
 O, E = orders_base, events_base
 
@@ -261,6 +284,12 @@ QUERIES: dict[str, Query] = {
     "p_whole_partition_max": p_whole_partition_max,
     "p_distinct_rows": p_distinct_rows,
     "p_stored_fact": p_stored_fact,
+    "t_streamed_activity": _streamed("activity_over_time", EVENT_RANGE),
+    "t_streamed_quarterly": _streamed("quarterly_cumulative", EVENT_RANGE),
+    "t_streamed_chains": _streamed("active_chains", EVENT_RANGE),
+    "t_streamed_moving_average": _streamed("moving_average", EVENT_RANGE),
+    "t_streamed_heatmap": _streamed("heatmap", EVENT_RANGE),
+    "t_streamed_first_seen": t_streamed_first_seen,
     "s_kept_activity": _kept(O, "r02_activity_over_time", PAGE),
     "s_kept_activity_events": _kept(E, "r02_activity_over_time", EVENT_RANGE),
     "s_kept_quarterly": _kept(O, "r03_quarterly_cumulative", PAGE),

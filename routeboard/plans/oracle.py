@@ -439,8 +439,14 @@ SELECT DISTINCT source_chain, destination_chain FROM base""",
 ORACLE["p_median_ranked"] = ORACLE["p_median"]
 ORACLE["p_normalized_variant"] = ORACLE["p_normalized"]
 
-# stored and kept results are the same tables
+# stored, kept and streamed results are the same tables
 ORACLE |= {
+    "t_streamed_activity": ORACLE["r02_activity_over_time_events"],
+    "t_streamed_quarterly": ORACLE["r03_quarterly_cumulative_events"],
+    "t_streamed_chains": ORACLE["r05_active_chains_events"],
+    "t_streamed_moving_average": ORACLE["r06_moving_average_events"],
+    "t_streamed_heatmap": ORACLE["r13_heatmap_range"],
+    "t_streamed_first_seen": f"WITH {EVENTS_CTE}\nSELECT user_address, min(created_date) AS first_txn_date FROM base GROUP BY user_address",
     "p_stored_fact": ORACLE["p_normalized"],
     "s_kept_activity": ORACLE["r02_activity_over_time"],
     "s_kept_activity_events": ORACLE["r02_activity_over_time_events"],
