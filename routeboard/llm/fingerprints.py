@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routeboard.llm.blocks import with_block
-from routeboard.llm.words import shingle_set
+from routeboard.llm.words import shingle_set, unused
 
 K = 128
 BLOCK_ROWS = 512
@@ -72,8 +72,9 @@ def fingerprint(df: DataFrame, k: int = K, text: str = "text") -> DataFrame:
         made = [sketch(t, k) for t in texts]
         return pd.DataFrame({"fingerprint": [to_hex(s) for s in made], "n_shingles": [distinct_shingles(s, k) for s in made]})
 
-    keep = [c for c in df.columns if c not in ("fingerprint", "n_shingles")]
-    return df.select(*keep, run(F.col(text)).alias("made")).select(*keep, "made.*")
+    keep = [c for c in df.columns if c.lower() not in ("fingerprint", "n_shingles")]
+    made = unused("made", df.columns)
+    return df.select(*keep, run(F.col(text)).alias(made)).select(*keep, f"{made}.*")
 
 
 def with_edited(df: DataFrame, k: int = K, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -8,7 +8,8 @@ equal allow entry), else ``default``.
 The trie is broadcast; its rules come from the caller and their size is
 checked against ``MAX_RULE_BYTES`` first.  Nothing is shuffled.  NULL URLs and
 URLs without ``://`` have an empty host and path, which only a rule with an
-empty host and path fits.
+empty host and path fits.  Repeated rows are judged row by row, a very long URL
+takes time in proportion to its segments, and an empty table gives none.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from routeboard.llm.words import unused
+
 MAX_RULE_BYTES = 64 << 20
 _PARTS = re.compile(r"([^/?#]*)([^?#]*)")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -34,12 +37,13 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 class _Node:
-    __slots__ = ("below", "ends", "paths")
+    __slots__ = ("below", "ends", "lengths", "paths")
 
     def __init__(self):
         self.below: dict[str, _Node] = {}
         self.paths: _Node | None = None   # on a host node: the trie of its rules' paths
         self.ends: dict[str, tuple[str, str]] = {}  # on a path node: begun segment -> (rule, verdict)
+        self.lengths: list[int] = []   # of the begun segments, longest first
 
 
 class UrlTrie:
@@ -61,6 +65,8 @@ class UrlTrie:
                 node = node.below.setdefault(segment, _Node())
             if node.ends.get(begun, ("", ""))[1] != "block":
                 node.ends[begun] = (host.translate(_LOWER) + path, verdict)
+                if len(begun) not in node.lengths:
+                    node.lengths = sorted([*node.lengths, len(begun)], reverse=True)
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
         """(rule, verdict) of the longest fitting rule."""
@@ -71,9 +77,11 @@ class UrlTrie:
             if node.paths:
                 at = node.paths
                 for segment in segments:
-                    for begun, end in at.ends.items():
-                        if segment.startswith(begun) and (best is None or (len(end[0]), depth) > (len(best[0]), depth_best)):
-                            best, depth_best = end, depth
+                    # a begun segment is looked up by its length; the longest is the longest rule of this node
+                    begun = next((segment[:n] for n in at.lengths if segment[:n] in at.ends), None)
+                    end = at.ends.get(begun)
+                    if end and (best is None or (len(end[0]), depth) > (len(best[0]), depth_best)):
+                        best, depth_best = end, depth
                     at = at.below.get(segment)
                     if at is None:
                         break
@@ -95,5 +103,6 @@ def judge(df: DataFrame, rules, url: str = "url", default: str = "allow") -> Dat
             rows.append((host, path, rule, verdict))
         return pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"])
 
-    keep = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    return df.select(*keep, judged(F.col(url)).alias("judged")).select(*keep, "judged.*")
+    keep = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    made = unused("judged", df.columns)
+    return df.select(*keep, judged(F.col(url)).alias(made)).select(*keep, f"{made}.*")

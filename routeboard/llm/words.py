@@ -27,6 +27,13 @@ _LENGTH = 0xD1B54A32D192ED03
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column has it in any case."""
+    while name.lower() in map(str.lower, columns):
+        name = "_" + name
+    return name
+
+
 def words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
