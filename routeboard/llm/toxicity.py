@@ -7,14 +7,17 @@ mean of its words' features; embeddings and softmax weights are learnt
 jointly by Adam with a fixed seed.
 
 Training uses a bounded sample of labelled rows: at most ``sample[1]`` of
-label 1 and ``sample[0]`` of label 0, those of smallest id hash.  Features of
+label 1 and ``sample[0]`` of label 0: ids of smallest hash first, then, if ids
+repeat, the rows of smallest hash of id and text, equal rows once.  Features of
 the sample are made in Spark tasks from whole texts; only their counts reach
 the driver, each document's at most ``BUCKETS`` pairs.  Scoring is one pass
 over whole texts without a shuffle; the broadcast model has ``BUCKETS``
 numbers, because the softmax margin of a mean of embeddings is the mean of
 the embeddings' margins.
 
-NULL and empty texts have no features and score by the intercept alone.
+NULL and empty texts have no features and score by the intercept alone; where
+no sampled text has a word, all do.  With labels of one kind only (or none)
+every score is that label's (or 0.5).  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -109,7 +112,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS,
         return np.zeros(BUCKETS, np.float32), 0.0 if not rows else (20.0 if rows[0][2] else -20.0)
     params = [emb, soft, bias]
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    scale = np.float32(1 / np.median([np.sqrt((s * s).sum()) for _, s, _ in rows if len(s)]))
+    scale = np.float32(1 / np.median([np.sqrt((s * s).sum()) for _, s, _ in rows if len(s)] or [1.0]))
     step = 0
     for epoch in range(epochs):
         order = rng.permutation(len(rows))
@@ -143,16 +146,32 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS,
     return (emb @ (soft[:, 1] - soft[:, 0])) * scale, float(bias[1] - bias[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, doc_id: str = "doc_id",
-        label: str = "toxic", text: str = "text") -> tuple[np.ndarray, float]:
-    """Trains on the labelled rows of ``docs`` (one label an id: the largest, where they differ; NULL labels are ignored)."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(
+def _known(labels: DataFrame, doc_id: str, label: str) -> DataFrame:
+    """(doc_id, label): one label an id, the largest where they differ."""
+    return labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(
         F.max(label).cast("int").alias("label"))
+
+
+def sampled(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, doc_id: str = "doc_id",
+            label: str = "toxic", text: str = "text") -> DataFrame:
+    """(doc_id, label, text): at most ``sample[k]`` rows of label k, each (id, text) once."""
+    known = _known(labels, doc_id, label)
     nearest = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in enumerate(sample)]
     # at most sum(sample) ids, so this broadcast is bounded
     chosen = F.broadcast(nearest[0].unionByName(nearest[1]))
-    rows = _counted(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(chosen, "doc_id")
-                    .select("doc_id", "label", "text")).collect()
+    of_ids = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(chosen, "doc_id")
+    hashed = of_ids.withColumn("row_hash", F.xxhash64("doc_id", "text"))
+    narrow = hashed.select("doc_id", "label", "row_hash").distinct()
+    rows = [narrow.where(F.col("label") == k).orderBy("row_hash", "doc_id").limit(n) for k, n in enumerate(sample)]
+    wanted = F.broadcast(rows[0].unionByName(rows[1]).drop("label"))   # bounded alike
+    return hashed.join(wanted, ["doc_id", "row_hash"]).groupBy("doc_id", "label", "row_hash").agg(F.min("text").alias("text")).drop("row_hash")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, doc_id: str = "doc_id",
+        label: str = "toxic", text: str = "text") -> tuple[np.ndarray, float]:
+    """Trains on a sample of the labelled rows of ``docs`` (one label an id: the largest, where they differ; NULL labels are ignored)."""
+    known = _known(labels, doc_id, label)
+    rows = _counted(sampled(docs, labels, sample, doc_id, label, text).select("doc_id", "label", "text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], r["buckets"]))
     margins, intercept = train([(np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["shares"], np.float32), r["label"])
                                 for r in rows])
