@@ -4,9 +4,11 @@ Two passes over the ids (and the lengths of the texts) place the bounds when
 the plan is made.  Ids are aggregated, range-partitioned and cut wherever the
 rows or the bytes since the last cut reach their limit, so neither outlying
 nor sparse ids fill a block.  The rows of an id (or of NULL) that has more than
-a block's share are cut further by their text, in a pass over those rows alone;
-rows that are equal in both are dealt over as many blocks as they need.
-A bound is exact, not sampled: block numbers do not change between readings.
+a block's share are sorted by their text in range partitions, numbered there
+and written with their numbers, so no text comes to the driver; rows that are
+equal in both fill as many blocks as they need.  The bounds of ids are exact
+and the numbers of heavy ids written: block numbers do not change between
+readings.
 
 Blocks are ordered like the rows: NULL ids first, then by id, then by text.
 """
@@ -18,8 +20,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from routeboard.sources.storage import write_and_reload
 
 MAX_BLOCKS = 1_000_000
 BLOCK_BYTES = 8 << 20    # of text
@@ -45,46 +51,47 @@ def _cuts(rows: int, size: int):
     return run
 
 
-def _text_cuts(rows: int, size: int):
-    """First texts of the blocks of each heavy id, from (given, id, text) sorted; a text too frequent for one block stands several times.
-
-    A cut is the shortest beginning of its text that is larger than the text before.
-    """
+def _placed(rows: int, size: int, given: str, key: str, text: str, place: str):
+    """Rows sorted by (given, key, text) with the number of their block, counted from 0 for each id of the partition."""
     def run(batches):
-        last, n, total, start = None, 0, 0, None
+        own, n, total, at = None, 0, 0, 0
         for batch in batches:
             out = []
-            for given, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                weight = len(text.encode())
-                if last is None or last[:2] != (given, i):
-                    n, total, start = 0, 0, ""
-                    if last is None:   # the id may have begun in the partition before
-                        start = text
-                        out.append((given, i, start))
+            sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+            for has, i, weight in zip(batch.column(given).to_pylist(), batch.column(key).to_pylist(), sizes, strict=True):
+                if own != (has, i):
+                    own, n, total, at = (has, i), 0, 0, 0
                 elif n + 1 > rows or total + weight > size:
-                    if text != last[2]:
-                        k = next((k for k, (a, b) in enumerate(zip(last[2], text, strict=False)) if a != b), len(last[2]))
-                        start = text[:k + 1]
-                        out.append((given, i, start))
-                    else:   # equal rows: their text is a bound, once for each block
-                        if start != text:
-                            out.append((given, i, text))
-                        out.append((given, i, text))
-                        start = text
-                    n = total = 0
-                n, total, last = n + 1, total + weight, (given, i, text)
-            if out:
-                yield pa.record_batch([pa.array(c, ty) for c, ty in zip(zip(*out, strict=True), (pa.bool_(), pa.int64(), pa.string()), strict=True)],
-                                      names=["given", "id", "text"])
+                    n, total, at = 0, 0, at + 1
+                n, total = n + 1, total + weight
+                out.append(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, place])
 
     return run
 
 
+def _heavy_rows(df: DataFrame, heavy: DataFrame, rows: int, size: int, given: Column, key: Column, body: Column) -> DataFrame:
+    """The rows of heavy ids with ``heavy_given``, ``heavy_id``, ``part`` and ``place``: the block in the part, which is a range of (id, text).
+
+    Equal rows are told apart by a row id, so they too spread over parts.  The
+    rows are written once: the ranges come from a sample and must not be drawn
+    again by a later reading.
+    """
+    long = (df.withColumns({"heavy_given": given, "heavy_id": key, "heavy_text": body, "tie": F.monotonically_increasing_id()})
+            .join(heavy, ["heavy_given", "heavy_id"], "left_semi"))
+    order = ["heavy_given", "heavy_id", "heavy_text", "tie"]
+    ranged = (long.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+              .select(*df.columns, "heavy_given", "heavy_id", "heavy_text", "part"))
+    placed = ranged.mapInArrow(_placed(rows, size, "heavy_given", "heavy_id", "heavy_text", "place"), T.StructType([*ranged.schema, T.StructField("place", T.LongType())]))
+    return write_and_reload(placed.drop("heavy_text"), "heavy-ids")
+
+
 def with_block(df: DataFrame, rows: int, doc_id: str = "doc_id", text: str = "text", most: int = MAX_BLOCKS, falling: bool = False) -> DataFrame:
-    """``df`` with the column ``block``: at most about ``rows`` rows and BLOCK_BYTES of text (twice that next to equal rows; one longer text fills a block).
+    """``df`` with the column ``block``: at most about ``rows`` rows and BLOCK_BYTES of text (one longer text fills a block).
 
     ``most``: about so many blocks; with more rows or bytes the limits rise.
     ``falling``: the blocks of one id are numbered against the order of its texts.
+    ``df`` has no column ``block``, ``heavy_given``, ``heavy_id``, ``heavy_text``, ``tie``, ``part``, ``place`` or ``before``.
     """
     spark = df.sparkSession
     given, key, body = F.col(doc_id).isNotNull(), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), F.coalesce(F.col(text), F.lit(""))
@@ -93,19 +100,18 @@ def with_block(df: DataFrame, rows: int, doc_id: str = "doc_id", text: str = "te
     rows, size = max(rows, -(-n // most)), max(BLOCK_BYTES, -(-size // most))
     cuts = ids.repartitionByRange("given", "id").sortWithinPartitions("given", "id").mapInArrow(_cuts(rows, size), "given boolean, id long, heavy boolean").collect()
     cuts = sorted((r["given"], r["id"], r["heavy"]) for r in cuts)
-    heavy = {c[:2]: [] for c in cuts if c[2]}
-    if heavy:
-        wanted = F.broadcast(spark.createDataFrame(list(heavy), "given boolean, id long"))
-        long = df.select(given.alias("given"), key.alias("id"), body.alias("text")).join(wanted, ["given", "id"], "left_semi")
-        for r in (long.repartitionByRange("given", "id", "text").sortWithinPartitions("given", "id", "text")
-                  .mapInArrow(_text_cuts(rows, size), "given boolean, id long, text string").collect()):
-            heavy[r["given"], r["id"]].append(r["text"])
-    # a heavy id's first block begins with its smallest text
-    texts = {i: ["", *sorted(t)] if not t or min(t) else sorted(t) for i, t in heavy.items()}
-    sizes = np.array([len(texts[c[:2]]) if c[2] else 1 for c in cuts], np.int64)
+    count, before = {c[:2]: 0 for c in cuts if c[2]}, []
+    if count:
+        wanted = F.broadcast(spark.createDataFrame(list(count), "heavy_given boolean, heavy_id long"))
+        long = _heavy_rows(df, wanted, rows, size, given, key, body)
+        # one row a part and heavy id; a part is a range, so these are hardly more than parts and heavy ids
+        for r in sorted(long.groupBy("heavy_given", "heavy_id", "part").agg(F.max("place").alias("last")).collect(), key=lambda r: r["part"]):
+            own = r["heavy_given"], r["heavy_id"]
+            before.append((*own, r["part"], count[own]))
+            count[own] += r["last"] + 1
+    sizes = np.array([max(1, count[c[:2]]) if c[2] else 1 for c in cuts], np.int64)
     ends = np.cumsum(sizes)
     bounds = spark.sparkContext.broadcast((np.array([c[0] for c in cuts], bool), np.array([c[1] for c in cuts], np.int64), ends - sizes))
-    inside = spark.sparkContext.broadcast(texts)
 
     @F.pandas_udf("long")
     def block(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -116,29 +122,14 @@ def with_block(df: DataFrame, rows: int, doc_id: str = "doc_id", text: str = "te
             place = np.where(own, nulls + np.searchsorted(first[nulls:], i.to_numpy(np.int64), side="right"), nulls) - 1
             yield pd.Series(at[place])
 
-    out = df.withColumn("block", block(given, key))
-    if not heavy:
-        return out
-
-    @F.pandas_udf("long")
-    def within(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        from bisect import bisect_left, bisect_right
-        for own, i, t, nth in batches:
-            found = []
-            for a, b, x, k in zip(own, i, t, nth, strict=True):
-                starts = inside.value.get((a, b)) if x is not None else None
-                if starts is None:
-                    found.append(0)
-                    continue
-                low, high = bisect_left(starts, x), bisect_right(starts, x)
-                place = low + k % (high - low) if high - low > 1 else high - 1   # equal rows are dealt out
-                found.append(len(starts) - 1 - place if falling else place)
-            yield pd.Series(found, dtype="int64")
-
-    is_heavy = F.broadcast(spark.createDataFrame(list(heavy), "heavy_given boolean, heavy_id long"))
-    marked = out.withColumn("nth", F.monotonically_increasing_id()).join(is_heavy, (given == F.col("heavy_given")) & (key == F.col("heavy_id")), "left")
-    spot = within(given, key, F.when(F.col("heavy_id").isNotNull(), body), F.col("nth"))
-    return marked.withColumn("block", F.col("block") + spot).select(*df.columns, "block")
+    if not count:
+        return df.withColumn("block", block(given, key))
+    light = df.join(wanted, (given == F.col("heavy_given")) & (key == F.col("heavy_id")), "left_anti").withColumn("block", block(given, key))
+    moved = F.broadcast(spark.createDataFrame([(*b, count[b[:2]]) for b in before], "heavy_given boolean, heavy_id long, part int, before long, count long"))
+    inside = F.col("before") + F.col("place")
+    split = (long.join(moved, ["heavy_given", "heavy_id", "part"])
+             .withColumn("block", block("heavy_given", "heavy_id") + (F.col("count") - 1 - inside if falling else inside)))
+    return light.unionByName(split.select(*df.columns, "block"))
 
 
 def blocked(df: DataFrame, rows: int, doc_id: str, text: str) -> DataFrame:

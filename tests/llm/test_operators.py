@@ -419,3 +419,67 @@ def test_held_out_is_crc32(spark):
     got = registry.op4_toxicity(spark, SF).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
     assert len(words("a b")) == 2
+
+
+def test_blocks_of_long_equal_texts(spark, monkeypatch):
+    """One id on long equal texts and on texts with a long common beginning: blocks keep their limits and order, no text is collected."""
+    body = "long words " * 4000
+    rows = [(5, body)] * 300 + [(5, body + f"{k:03d}") for k in range(300)] + [(None, body)] * 250 + [(i, f"alone {i}") for i in range(60)] + [(5, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    collected, frames = [], type(table)
+    collect = frames.collect
+    monkeypatch.setattr(frames, "collect", lambda df: collected.append(df.schema) or collect(df))
+    for falling in (False, True):
+        collected.clear()
+        made = blocks.with_block(table, 50, falling=falling)
+        assert collected and not any(isinstance(f.dataType, T.StringType) for schema in collected for f in schema)
+        got = collect(made)
+        assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows)
+        order = sorted(got, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["block"]))
+        assert [r["block"] for r in order] == sorted(r["block"] for r in got)
+        fives = sorted((r for r in got if r["doc_id"] == 5), key=lambda r: r["text"] or "", reverse=falling)
+        assert all(x["block"] <= y["block"] for x, y in zip(fives, fives[1:], strict=False) if (x["text"] or "") != (y["text"] or ""))
+        per = Counter(r["block"] for r in got)
+        weight = Counter()
+        for r in got:
+            weight[r["block"]] += len(r["text"] or "")
+        assert max(per.values()) <= 50 and max(weight.values()) <= blocks.BLOCK_BYTES
+
+
+def test_toxicity_sample_bounds_rows(spark):
+    """One labelled id on very many rows, some equal, brings no more rows than the sample says; samples without words give no NaN."""
+    texts_of = [f"plain number {k}" for k in range(3000)] + ["plain again"] * 3000
+    rows = [(1, t) for t in texts_of] + [(k, f"awful horrid {k}") for k in range(2, 40)] + [(k, f"fine {k}") for k in range(40, 80)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 0)] + [(k, int(k < 40)) for k in range(2, 80)], "doc_id long, toxic int")
+    sample = toxicity.sampled(table.withColumn("score", F.lit("clash")), labels, (50, 30)).collect()
+    assert Counter(r["label"] for r in sample) == {0: 50, 1: 30}
+    assert len({(r["doc_id"], r["text"]) for r in sample}) == 80 and all(r["label"] == int(1 < r["doc_id"] < 40) for r in sample)
+    again = toxicity.sampled(table.repartition(9), labels, (50, 30)).collect()
+    assert {(r["doc_id"], r["text"]) for r in again} == {(r["doc_id"], r["text"]) for r in sample}
+    wordless = spark.createDataFrame([(1, "..."), (2, ""), (3, None), (4, "some words")], "doc_id long, text string")
+    model = toxicity.fit(wordless.where("doc_id < 4"), spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, toxic int"))
+    s = [r["score"] for r in toxicity.score(wordless.withColumn("score", F.lit("clash")), model).collect()]
+    assert all(0 <= x <= 1 for x in s)
+    one = toxicity.fit(table, labels.where("toxic = 1"))
+    assert toxicity.scores(["anything"], one)[0] > 0.5
+
+
+def test_urls_with_many_rules_in_one_folder(spark):
+    """Rules whose last segments begin alike are found by their lengths, not one by one; every input column name is allowed."""
+    rules = [("block", "shop.org", f"/a/item{k:05d}") for k in range(20_000)] + [("allow", "shop.org", "/a/item"), ("block", "shop.org", "/a/")]
+    trie = urls.UrlTrie(rules)
+    assert trie.find("shop.org", "/a/item00017x") == ("shop.org/a/item00017", "block")
+    assert trie.find("m.shop.org", "/a/item0001") == ("shop.org/a/item", "allow")
+    assert trie.find("shop.org", "/a/x") == ("shop.org/a/", "block") and trie.find("shop.org", "/b") is None
+    long = "http://shop.org/" + "a/" * 50_000 + "?q"
+    table = spark.createDataFrame([(1, "http://shop.org/a/item00003"), (1, "http://shop.org/a/item00003"), (2, long), (None, None)], "page_id long, url string")
+    for name in ("judged", "host", "verdict", "Rule"):
+        rows = urls.judge(table.withColumn(name, F.lit("clash")), rules).collect()
+        assert sorted((r["page_id"] or 0, r["verdict"]) for r in rows) == [(0, "allow"), (1, "block"), (1, "block"), (2, "block")]
+    assert urls.judge(table.withColumn("judged", F.lit("clash")), rules).first()["judged"] == "clash"
+
+
+def test_fingerprint_beside_its_own_names(docs):
+    made = fingerprints.fingerprint(docs.withColumn("made", F.lit("clash")).withColumn("n_shingles", F.lit("clash")))
+    assert made.columns == [*docs.columns, "made", "fingerprint", "n_shingles"] and made.first()["made"] == "clash"
