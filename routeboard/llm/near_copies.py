@@ -9,8 +9,10 @@ class there, wherever their copies are.  Candidates must pass
 * the length filter (the smaller set has at least 75 % of the larger),
 * the positional filter (what follows the shared shingle in both orders is
   still long enough), and
-* before the exact intersection, the suffix filter (both sets' counts per
-  hash range bound the intersection from above).
+* the suffix filter: both sets' counts per hash range bound the intersection
+  from above.  The survey leaves a byte for about every three hashes, so the
+  filter moves a twenty-fourth of a set and comes before any set is made or
+  shuffled.
 
 Each surviving pair of classes is verified once, exactly.
 
@@ -54,7 +56,6 @@ from routeboard.sources.storage import release, write_and_reload
 CELLS = 1 << 20          # counters of the document-count sketch; bounds its broadcast to 4 MB
 SLICES = 16              # the sketch is summed in slices
 MAX_BITS = 1 << 28       # bitmap of candidate ids: 32 MB at most
-RANGES = 16              # hash ranges of the suffix filter
 TILE = 512               # classes in a slice of a component, when its links are counted
 TILE_BYTES = 16 << 20    # bytes of sets in a slice
 CELLS_AT_ONCE = 1 << 24  # matrix cells (sets x shingles) multiplied at a time: 64 MB
@@ -66,6 +67,28 @@ def class_of(shingles: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes()))))
 
 
+def range_counts(shingles: np.ndarray) -> bytes:
+    """A set's hashes counted by ranges, two to four a range on average (a power of two of ranges, a byte each).
+
+    Empty, which filters nothing, for fewer than four hashes or where a count does not fit a byte.
+    """
+    bits = (len(shingles) // 2).bit_length() - 1
+    if bits < 1:
+        return b""
+    counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_link(x: bytes, y: bytes) -> bool:
+    """Suffix filter: whether two sets' range counts leave an intersection of ``NEAR_PERCENT`` of the union possible."""
+    if not x or not y:
+        return True
+    a, b = sorted((np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)), key=len)
+    b = b.reshape(len(a), -1).sum(axis=1)   # the finer ranges divide the coarser ones
+    shared = int(np.minimum(a, b).sum())
+    return 100 * shared >= NEAR_PERCENT * (int(a.sum() + b.sum()) - shared)
+
+
 def required(n: int) -> int:
     """Least intersection of a linked pair in which one set has ``n`` shingles."""
     return -(-NEAR_PERCENT * n // 100)
@@ -76,7 +99,7 @@ def _ids(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _survey(docs: DataFrame, width: int) -> DataFrame:
-    """One pass: a row (doc_id, n_shingles, class) for each document and sketch slices of each task."""
+    """One pass: a row (doc_id, n_shingles, class, ranges) for each document and sketch slices of each task."""
     def run(batches):
         hold("words", forget_words)
         counts = np.zeros(CELLS, np.uint32)
@@ -85,21 +108,21 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
             for t in batch.column("text").to_pylist():
                 s = shingle_set(t, width)
                 np.add.at(counts, (s >> np.uint64(44)).astype(np.int64), 1)
-                rows.append((len(s), class_of(s)))
+                rows.append((len(s), class_of(s), range_counts(s)))
             if rows:
-                n, keys = zip(*rows, strict=True)
-                yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()),
+                n, keys, ranges = zip(*rows, strict=True)
+                yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(ranges, pa.binary()),
                                        pa.nulls(len(rows), pa.int32()), *[pa.nulls(len(rows), pa.binary())] * 2], names=_SURVEY)
         # only the cells that this task has met: what is sent grows with its texts, not with the tasks
         parts = [(np.flatnonzero(x).astype("<u2"), x[x > 0].astype("<u4")) for x in np.split(counts, SLICES)]
-        yield pa.record_batch([*[pa.nulls(SLICES, pa.int64())] * 3, pa.array(range(SLICES), pa.int32()),
+        yield pa.record_batch([*[pa.nulls(SLICES, pa.int64())] * 3, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()),
                                pa.array([x.tobytes() for x, _ in parts], pa.binary()), pa.array([n.tobytes() for _, n in parts], pa.binary())],
                               names=_SURVEY)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, slice int, cells binary, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, ranges binary, slice int, cells binary, counts binary")
 
 
-_SURVEY = ["doc_id", "n_shingles", "class", "slice", "cells", "counts"]
+_SURVEY = ["doc_id", "n_shingles", "class", "ranges", "slice", "cells", "counts"]
 
 
 def _sketch(survey: DataFrame) -> np.ndarray:
@@ -247,17 +270,11 @@ def _across(key, rows):
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets share ``NEAR_PERCENT`` of their union; the suffix filter comes first."""
-    total = len(a) + len(b)
-    least = -(-NEAR_PERCENT * total // (100 + NEAR_PERCENT))
-    edges = np.arange(1, RANGES, dtype=np.uint64) << np.uint64(60)
-    in_a, in_b = (np.diff(np.r_[0, np.searchsorted(x, edges), len(x)]) for x in (a, b))
-    if np.minimum(in_a, in_b).sum() < least:
-        return False
+    """Whether two sorted sets share ``NEAR_PERCENT`` of their union."""
     both = np.concatenate([a, b])
     both.sort(kind="stable")
     shared = int((both[1:] == both[:-1]).sum())
-    return 100 * shared >= NEAR_PERCENT * (total - shared)
+    return 100 * shared >= NEAR_PERCENT * (len(both) - shared)
 
 
 def _sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -293,25 +310,34 @@ def _sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return write_and_reload(sets, "near-sets")
 
 
+def _passing(pairs: DataFrame, sides: DataFrame, value: str, test, name: str) -> DataFrame:
+    """The pairs (a, b) whose two classes' values pass ``test``, written; ``sides`` has one row a class."""
+    def run(batches):
+        for batch in batches:
+            keep = [test(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return write_and_reload(
+        pairs.join(sides.select(F.col("class").alias("a"), F.col(value).alias("x")), "a")
+        .join(sides.select(F.col("class").alias("b"), F.col(value).alias("y")), "b")
+        .select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), name)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """The linked pairs (a, b of classes), written.  Sets are made for one document of each candidate class."""
-    wanted = write_and_reload(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-                              .join(classes.select("class", "first_id"), "class"), "near-candidates")
+    """The linked pairs (a, b of classes), written.  Sets are made for one document of each class that the suffix filter leaves a pair."""
+    met = write_and_reload(_ends(pairs).join(classes.select("class", "first_id", "ranges"), "class"), "near-met")
+    possible = _passing(pairs, met, "ranges", may_link, "near-possible")
+    wanted = write_and_reload(_ends(possible).join(met.select("class", "first_id"), "class"), "near-candidates")
     # one row a class: false hits fall out, and second copies do not meet the pairs again and again
     sets = _sets(wanted, docs, width)
     kept = sets.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
-
-    def verify(batches):
-        for batch in batches:
-            keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
-                    for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    links = write_and_reload(
-        pairs.join(kept.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(kept.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
-        .select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "near-links")
-    release(wanted, sets)
+    exact = lambda x, y: linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+    links = _passing(possible, kept, "shingles", exact, "near-links")
+    release(met, possible, wanted, sets)
     return links
 
 
@@ -400,10 +426,11 @@ def near_copies(df: DataFrame, width: int = NEAR_WORDS, doc_id: str = "doc_id",
     buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     survey = write_and_reload(_survey(docs, width), "near-survey")
     sketch = _sketch(survey)
-    members = survey.where("slice IS NULL").select("doc_id", "n_shingles", "class")
+    members = survey.where("slice IS NULL").select("doc_id", "n_shingles", "class", "ranges")
     classes = write_and_reload(
         members.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("class").agg(
-            F.min("doc_id").alias("first_id"), F.count("*").alias("members"), F.max("n_shingles").alias("n")), "near-classes")
+            F.min("doc_id").alias("first_id"), F.count("*").alias("members"), F.max("n_shingles").alias("n"),
+            F.min("ranges").alias("ranges")), "near-classes")
 
     shared = write_and_reload(
         _prefix_rows(docs.where("doc_id IS NOT NULL"), sketch, width, buckets).groupBy("bucket").applyInArrow(
@@ -434,7 +461,7 @@ def near_copies(df: DataFrame, width: int = NEAR_WORDS, doc_id: str = "doc_id",
     release(before, *links, *tried)
     groups = components(by_id, "u", "v")
     release(by_id)
-    labelled = classes.drop("n").join(groups, classes["first_id"] == groups["id"], "left").drop("id")
+    labelled = classes.drop("n", "ranges").join(groups, classes["first_id"] == groups["id"], "left").drop("id")
     columns = ["doc_id", "n_shingles",
                F.when(F.col("n_shingles") > 0, F.col("first_id")).otherwise(F.col("doc_id")).alias("class_id"),
                F.when(F.col("doc_id").isNull(), F.lit(None).cast("long"))

@@ -163,6 +163,26 @@ def test_near_filters_lose_no_pair():
         assert near_copies.linked(a, b) == (100 * both >= 75 * (len(a) + len(b) - both))
 
 
+def test_range_counts_lose_no_pair():
+    rng = np.random.default_rng(6)
+    some = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    stopped = 0
+    for n in (0, 1, 2, 3, 4, 7, 8, 31, 32, 33, 500, 3000) * 40:
+        a = np.unique(some(n))
+        b = np.unique(np.concatenate([a[: int(rng.integers(len(a) // 3, len(a) + 1))], some(int(rng.integers(0, len(a) // 4 + 1)))]))
+        x, y = near_copies.range_counts(a), near_copies.range_counts(b)
+        assert near_copies.may_link(x, y) == near_copies.may_link(y, x)
+        assert near_copies.may_link(x, y) or not near_copies.linked(a, b)
+        stopped += n >= 500 and not near_copies.may_link(x, y)
+    assert stopped > 40
+    # a set all of whose hashes fall into one range has no counts, and meets every other set
+    crowded = np.arange(1000, dtype=np.uint64)
+    assert near_copies.range_counts(crowded) == b"" and near_copies.may_link(b"", near_copies.range_counts(some(1000)))
+    # unrelated sets of one size are told apart by a twenty-fourth of their bytes
+    x, y = (near_copies.range_counts(np.unique(some(1000))) for _ in "ab")
+    assert len(x) == 256 and not near_copies.may_link(x, y)
+
+
 def test_mixing(docs, awkward, empty, spark):
     planned = mixing.plan_mix(awkward).collect()
     sizes = defaultdict(int)
