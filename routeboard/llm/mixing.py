@@ -4,13 +4,17 @@ Words are aggregated per source; water filling turns the weights into targets
 (a source's target stops at ``MAX_RATE`` times its words, the excess goes to
 the others by weight); target / words is the source's repetition rate.  A
 document is taken floor(rate) times, plus once more if a hash of its id, read
-as a fraction, is below the rate's fraction.
+as a fraction, is below the rate's fraction.  Rows that share an id draw on
+their own: from the second on (in order of source and text) the row's place
+among them is hashed too.  They alone are numbered, in range partitions, so an
+id that holds a third of all rows is spread.
 
 The aggregation combines map-side, so a hot source costs each task one row.
 Rates have one row per source and join back under Spark's own size check; a
 source too large to broadcast against is split by AQE's skew join.  NULL and
-empty texts have no words, NULL is a source of its own (last in order), and
-rows with the same id draw the same fraction, so reruns agree.
+empty texts have no words, NULL is a source of its own (last in order).  Draws
+depend on ids, sources and texts alone, so reruns agree; rows equal in all
+three are interchangeable.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routeboard.llm.words import WORD_PATTERN
+from routeboard.operators.numbering import number_in_order
+from routeboard.sources.storage import write_and_reload
 
 MAX_RATE = 3
 WEIGHTS = (1, 2, 3)
@@ -28,6 +34,10 @@ def _size(text: str):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
+def _print(text: str):
+    return F.md5(F.coalesce(F.col(text), F.lit("")))
+
+
 def source_rates(sizes: DataFrame) -> DataFrame:
     """(source, source_size, target, rate) of rows (source, size).
 
@@ -58,23 +68,39 @@ def source_rates(sizes: DataFrame) -> DataFrame:
                     .otherwise(F.lit(0.0)).alias("rate")))
 
 
-def draw(doc_id, seed: str):
-    """A fraction in [0, 1) fixed by ``seed`` and the id (52 bits of an MD5)."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+def draw(doc_id, seed: str, place=None):
+    """A fraction in [0, 1) fixed by ``seed``, the id and, beyond 1, the row's place among those of its id (52 bits of an MD5)."""
+    key = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))
+    if place is not None:
+        key = F.concat(key, F.when(place > 1, F.concat(F.lit(":"), place.cast("string"))).otherwise(F.lit("")))
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+
+
+def _placed(sized: DataFrame) -> DataFrame:
+    """``sized`` with ``place``: 1 for an id's first row (by source and text), 2 for its second and so on."""
+    repeated = sized.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("repeated_id"))
+    if repeated.isEmpty():
+        return sized.withColumn("place", F.lit(1).cast("long"))
+    repeated = write_and_reload(repeated, "mix-repeated")
+    same = sized["doc_id"].eqNullSafe(repeated["repeated_id"])
+    several = number_in_order(sized.join(repeated, same, "left_semi"), [F.col("source").asc_nulls_last(), F.col("print").asc()],
+                              by=["doc_id"], out="place")
+    return sized.join(repeated, same, "left_anti").withColumn("place", F.lit(1).cast("long")).unionByName(several)
 
 
 def plan_mix(df: DataFrame, seed: str = "mix", doc_id: str = "doc_id", source: str = "source",
              text: str = "text") -> DataFrame:
     """Per row of ``df``: doc_id, source, size, source_size, target, rate, copies."""
-    return _planned(df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), _size(text).alias("size")), seed)
+    return _planned(df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), _size(text).alias("size"),
+                              _print(text).alias("print")), seed)
 
 
 def _planned(sized: DataFrame, seed: str) -> DataFrame:
     rates = source_rates(sized.select("source", "size")).withColumnRenamed("source", "rate_source")
-    copies = F.floor("rate") + F.when(draw(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    return (sized.join(rates, sized["source"].eqNullSafe(rates["rate_source"])).drop("rate_source")
-            .withColumn("copies", copies.cast("long")))
+    rows = _placed(sized)
+    copies = F.floor("rate") + F.when(draw(F.col("doc_id"), seed, F.col("place")) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    return (rows.join(rates, rows["source"].eqNullSafe(rates["rate_source"])).withColumn("copies", copies.cast("long"))
+            .drop("rate_source", "print", "place"))
 
 
 def mix(df: DataFrame, seed: str = "mix", doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -85,6 +111,6 @@ def mix(df: DataFrame, seed: str = "mix", doc_id: str = "doc_id", source: str =
     """
     columns = df.columns
     packed = df.select(F.struct(*columns).alias("row"), F.col(doc_id).alias("doc_id"),
-                       F.col(source).alias("source"), _size(text).alias("size"))
+                       F.col(source).alias("source"), _size(text).alias("size"), _print(text).alias("print"))
     taken = _planned(packed, seed).where((F.col("copies") > 0) & (F.col("size") > 0))
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -213,6 +213,27 @@ def test_mixing(docs, awkward, empty, spark):
     assert [(r["target"], r["copies"]) for r in mixing.plan_mix(blank).collect()] == [(0.0, 0), (0.0, 0)]
 
 
+def test_mixing_rows_of_one_id_draw_alone(spark):
+    # half of source a stands on one id, half of those rows with one text; its rate is 1/2
+    rows = [(7, "a", " ".join(["same"] * 10) if k % 2 else " ".join([f"w{k}"] * 10), k) for k in range(200)]
+    rows += [(1000 + k, "a", " ".join([f"x{k}"] * 10), k) for k in range(200)]
+    rows += [(5000 + k if k % 4 else None, "b", " ".join([f"y{k}"] * 10), k) for k in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, text string, place int")
+    planned = mixing.plan_mix(table).collect()
+    taken = Counter()
+    for r in planned:
+        taken[r["source"]] += r["size"] * r["copies"]
+    assert len(planned) == len(rows) and abs(taken["a"] - 2000) < 400 and taken["b"] == 4000
+    own = [r["copies"] for r in planned if r["doc_id"] == 7]
+    assert len(own) == 200 and 60 < sum(own) < 140
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["source"], r["copies"])
+    again = mixing.plan_mix(table.repartition(7)).collect()
+    assert sorted(map(key, planned), key=str) == sorted(map(key, again), key=str)
+    mixed = mixing.mix(table)
+    assert mixed.columns == table.columns
+    assert Counter(r["doc_id"] for r in mixed.collect()) == +sum((Counter({r["doc_id"]: r["copies"]}) for r in planned), Counter())
+
+
 def test_toxicity(spark, docs, empty):
     rng = np.random.default_rng(1)
     plainly = lambda: " ".join(f"n{x}" for x in rng.integers(0, 300, 60))
