@@ -34,8 +34,8 @@ from ..operators import derived, reports
 from ..operators.normalize import normalize
 from ..params import CLASS_WINDOW, ReportParams
 from ..sources.schema import BASE_COLUMNS
-from ..sources.reuse import ResultStore, source_version
-from ..sources.storage import write_and_reload
+from ..sources.reuse import ResultStore, source_bytes, source_version
+from ..sources.storage import sized_shuffles, write_and_reload
 from ..sources.tables import read_fact
 
 REPORT_NAMES = (
@@ -154,9 +154,16 @@ class Dashboard:
 
     @classmethod
     def _kept(cls, base: DataFrame, params: ReportParams, store: ResultStore, version: str | None = None, **kw) -> "Dashboard":
-        """Over the base that ``store`` keeps for this version of the source."""
+        """Over the base that ``store`` keeps for this version of the source.
+
+        The task that writes a file also sorts it, so the base is made with
+        shuffles that are sized by the source (``sized_shuffles``).
+        """
         version = version or source_version(base)
-        kept = store.table(version, "base", lambda: base.select(*BASE_COLUMNS).sortWithinPartitions("created_date"))
+        make = lambda: base.select(*BASE_COLUMNS).sortWithinPartitions("created_date")
+        stored = 0 if store.has(version, "base") else source_bytes(base)
+        with sized_shuffles(base.sparkSession, stored):
+            kept = store.table(version, "base", make)
         return cls(kept, params, store=store, version=version, **kw)
 
     # -- lazily built plans --------------------------------------------------

@@ -58,6 +58,12 @@ def source_version(*sources: DataFrame) -> str:
     return digest.hexdigest()
 
 
+def source_bytes(*sources: DataFrame) -> int:
+    """The stored size of the files that ``sources`` read, listed like ``source_version``."""
+    files = ((df.sparkSession, path) for df in sources for path in df.inputFiles())
+    return sum(fs.getFileStatus(Path(path)).getLen() for spark, path in files for fs, Path in [_file_system(spark, path)])
+
+
 def default_root(spark: SparkSession) -> str:
     """Directly under the configured ``spark.checkpoint.dir``, the same in every application.
 
@@ -95,6 +101,10 @@ class ResultStore:
     def _too_old(self, made_at: float) -> bool:
         return self.max_age is not None and time.time() - made_at > self.max_age
 
+    def has(self, version: str, name: str, **parameters) -> bool:
+        """Whether ``table`` would read a stored table."""
+        return self._manifest(self.key(version, name, **parameters)) is not None
+
     def table(self, version: str, name: str, make: Callable[[], DataFrame], **parameters) -> DataFrame:
         """The stored table; ``make`` builds it only if there is no entry for the key."""
         key = self.key(version, name, **parameters)

@@ -14,8 +14,9 @@ from routeboard.params import ReportParams
 from routeboard.plans.catalog import EVENT_RANGE
 from routeboard.plans.dashboard import NEEDS, REPORT_NAMES, Dashboard
 from routeboard.sources.envelope import events_fact
-from routeboard.sources.reuse import ResultStore, source_version
-from routeboard.sources.storage import scratch_path
+from routeboard.sources.reuse import ResultStore, source_bytes, source_version
+from routeboard.sources import storage
+from routeboard.sources.storage import scratch_path, sized_shuffles
 from tests.conftest import ROOT, SF_SMALL
 
 
@@ -128,3 +129,45 @@ def test_version_follows_the_files(spark, source):
     assert source_version(spark.read.parquet(source)) == before
     events_fact(spark, SF_SMALL).limit(1).write.mode("append").parquet(source)
     assert source_version(spark.read.parquet(source)) != before
+
+
+def joined_base(spark, path, n=4000):
+    """A normalised relation that merge-joins two stored tables; some users are null, some rows come twice."""
+    spark.range(n).selectExpr("id % 1900 AS id", "timestamp_ntz'2024-01-01' + make_dt_interval(id % 40) AS created_at",
+                              "id % 7 / 2.0 AS amount_usd").write.parquet(f"{path}/lines")
+    spark.range(1900).selectExpr("id AS key", "nullif('u' || id % 50, 'u3') AS user_address").write.parquet(f"{path}/orders")
+    lines, orders = spark.read.parquet(f"{path}/lines"), spark.read.parquet(f"{path}/orders").hint("merge")
+    return lines.join(orders, lines.id == orders.key).selectExpr(
+        "created_at", "to_date(created_at) AS created_date", "id", "user_address", "'a' AS source_chain", "'b' AS destination_chain",
+        "'s' AS service", "amount_usd AS amount", "amount_usd", "amount_usd AS fee", "'t' AS raw_asset")
+
+
+def test_a_task_of_the_kept_base_does_not_grow_with_the_source(spark, store, monkeypatch):
+    base = joined_base(spark, scratch_path(spark, "joined"))
+    settings = {"spark.sql.shuffle.partitions": "2", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    monkeypatch.setattr(storage, "STORED_BYTES", -(-source_bytes(base) // 16), raising=False)
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        kept = Dashboard.from_base(base, EVENT_RANGE, store=store).base
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "2"
+        files = kept.groupBy(F.input_file_name().alias("file")).count().collect()
+        assert len(files) == 16 and max(f["count"] for f in files) < kept.count() / 8      # two tasks held half each
+        assert ordered(kept.collect()) == ordered(base.select(*kept.columns).collect())
+        for f in files:
+            days = [r["created_date"] for r in spark.read.parquet(f["file"]).select("created_date").collect()]
+            assert days == sorted(days)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_sized_shuffles_keep_a_larger_number_and_put_settings_back(spark, monkeypatch):
+    partitions, advisory = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(partitions), spark.conf.get(advisory, None)
+    for stored, wanted in ((0, int(before[0])), (100 * storage.STORED_BYTES + 1, 101), (1 << 60, storage.MOST_PARTITIONS)):
+        with pytest.raises(KeyError), sized_shuffles(spark, stored):
+            assert int(spark.conf.get(partitions)) == wanted
+            raise KeyError
+        assert (spark.conf.get(partitions), spark.conf.get(advisory, None)) == before
