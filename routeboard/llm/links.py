@@ -14,32 +14,34 @@ def _least(edges: DataFrame, keep) -> DataFrame:
     return edges.where(keep).join(least, "u")
 
 
+def _resolved(edges: DataFrame) -> bool:
+    """Whether every ``u`` has one ``v``, and no ``v`` is a ``u``: each edge then names the component."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up")).unionByName(
+        edges.select(F.col("v").alias("id"), F.lit(0).alias("up")))
+    return ends.groupBy("id").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where(
+        (F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("least") == 0))).isEmpty()
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(id, component_id) for every id that has a link; the component is its smallest id.
 
     Every round is written to the shared folder, and removed once the next one
     is; the number of rounds grows with the logarithm of a component's size.
+    Rounds end as soon as every id points to one that points nowhere.
     The result is written too (``storage.release`` removes it).
     """
-    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
-    edges = write_and_reload(edges, "components")
-    before = None
-    while True:
+    edges = write_and_reload(links.where(F.col(a) != F.col(b)).select(
+        F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "components")   # u > v: each edge points to a smaller id
+    while not _resolved(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both, F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("least").alias("v"))
-        down = large.where("u <> v").distinct()   # u > v: each edge points to a smaller id
-        least = _least(down, F.lit(True))
+        least = _least(large.where("u <> v").distinct(), F.lit(True))
         small = least.select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(
             least.select("u", F.col("least").alias("v")))
         latest = write_and_reload(small.where("u <> v").distinct(), "components")
         release(edges)
         edges = latest
-        after = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if after == before:
-            break
-        before = after
     groups = write_and_reload(edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(
-        edges.select(F.col("v").alias("id"), F.col("v").alias("component_id"))).groupBy("id").agg(
-        F.min("component_id").alias("component_id")), "components-done")
+        edges.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()), "components-done")
     release(edges)
     return groups

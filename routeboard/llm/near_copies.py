@@ -24,9 +24,9 @@ multiple of n pairs, not n squared.  (In a loose group most pairs miss the
 threshold that some pass, so one hub leaves many of its classes alone; each
 further hub takes its share of them.)  A list no longer than twice a round's
 hubs is compared in full instead and is done, as is one within one component:
-the next round reads only the other lists.  At the end every pair of theirs
-whose classes are still in different components is compared, so no link
-between two components is lost.
+the next round reads only the other lists, and the rounds end when there are
+none.  At the end every pair of theirs whose classes are still in different
+components is compared, so no link between two components is lost.
 
 Link counts.  Every link lies within a component, so once the components are
 known each of them is cut into slices of about ``TILE`` classes and at most
@@ -395,7 +395,7 @@ def _count_links(batches):
 
 def _link_counts(docs: DataFrame, classes: DataFrame, groups: DataFrame, width: int) -> DataFrame:
     """(class, n), written: for each class of a component of several classes, the rows of other classes it is linked with."""
-    inside = classes.join(groups, classes["first_id"] == groups["id"]).select("class", "first_id", "members", "n", F.col("component_id").alias("top"))
+    inside = classes.join(groups, "class").select("class", "first_id", "members", "n", F.col("component_id").alias("top"))
     cut = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(8 * F.sum("n") / TILE_BYTES))
     slices = inside.groupBy("top").agg(cut.cast("int").alias("slices"))
     inside = write_and_reload(
@@ -411,6 +411,19 @@ def _link_counts(docs: DataFrame, classes: DataFrame, groups: DataFrame, width:
     return counts
 
 
+def _same_id(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect the classes with the same first id (rows that share an id), written."""
+    shared = classes.groupBy("first_id").agg(F.min("class").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return write_and_reload(classes.join(shared, "first_id").where("class <> a").select("a", F.col("class").alias("b")), "near-same-id")
+
+
+def _named(tops: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, component_id), written: the smallest first id of each component that has several."""
+    inside = tops.select(F.col("id").alias("class"), F.col("component_id").alias("top")).join(classes.select("class", "first_id"), "class")
+    least = inside.groupBy("top").agg(F.min("first_id").alias("component_id"), F.max("first_id").alias("last")).where("component_id < last")
+    return write_and_reload(inside.join(least, "top").select("class", "component_id"), "near-components")
+
+
 def _all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -439,29 +452,30 @@ def near_copies(df: DataFrame, width: int = NEAR_WORDS, doc_id: str = "doc_id",
     to_hub = write_and_reload(
         shared.where("candidate").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct(), "near-pairs")
     links, tried = [_verified(to_hub, docs, classes, width)], [to_hub]
+    same_id = _same_id(classes)
+    tops = components(_all([*links, same_id]), "a", "b")
     before = shared
     longer = shared.where("size > 2").select("bucket", "gram", "class", "n", "pos")
     for candidates in (*map(_to_hubs, HUBS), _across):
-        groups = components(_all(links), "a", "b")
-        tops = groups.select(F.col("id").alias("class"), F.col("component_id").alias("top"))
+        if longer.isEmpty():
+            break
+        top = tops.select(F.col("id").alias("class"), F.col("component_id").alias("top"))
         found = write_and_reload(
-            longer.join(tops, "class", "left").withColumn("top", F.coalesce("top", "class"))
+            longer.join(top, "class", "left").withColumn("top", F.coalesce("top", "class"))
             .groupBy("bucket").applyInArrow(candidates, "a long, b long, bucket int, gram long, class long, n long, pos long"),
             "near-round")
-        release(before, groups)          # what a later step reads is written by now
+        release(before)                  # what a later step reads is written by now
         before, longer = found, found.where("a IS NULL").select("bucket", "gram", "class", "n", "pos")
         pairs = write_and_reload(
             found.where("a IS NOT NULL").select("a", "b").distinct().join(_all(tried), ["a", "b"], "left_anti"), "near-pairs")
         if not pairs.isEmpty():
             links.append(_verified(pairs, docs, classes, width))
             tried.append(pairs)
-    ids = classes.select(F.col("class").alias("a"), F.col("first_id").alias("u"))
-    by_id = write_and_reload(
-        _all(links).join(ids, "a").join(ids.select(F.col("a").alias("b"), F.col("u").alias("v")), "b").select("u", "v"), "near-id-links")
-    release(before, *links, *tried)
-    groups = components(by_id, "u", "v")
-    release(by_id)
-    labelled = classes.drop("n", "ranges").join(groups, classes["first_id"] == groups["id"], "left").drop("id")
+            release(tops)
+            tops = components(_all([*links, same_id]), "a", "b")
+    groups = _named(tops, classes)
+    release(before, tops, same_id, *links, *tried)
+    labelled = classes.drop("n", "ranges").join(groups, "class", "left")
     columns = ["doc_id", "n_shingles",
                F.when(F.col("n_shingles") > 0, F.col("first_id")).otherwise(F.col("doc_id")).alias("class_id"),
                F.when(F.col("doc_id").isNull(), F.lit(None).cast("long"))

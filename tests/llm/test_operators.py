@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from routeboard.llm import (blocks, bpe, fingerprints, language_model, mixing, near_copies, quality, registry, secrets_scan,
+from routeboard.llm import (blocks, bpe, fingerprints, language_model, links, mixing, near_copies, quality, registry, secrets_scan,
                             substrings, toxicity, urls)
 from routeboard.llm.words import shingle_set, words
 
@@ -154,6 +154,47 @@ def test_near_copies_count_every_link(spark, docs, monkeypatch):
     assert got.pop(None) == 0 and got == dict(want)
 
 
+def test_near_copies_end_their_rounds_with_the_lists(spark, docs, monkeypatch):
+    """Tables written: a round without lists, or components without new links, would only cost the driver memory."""
+    written, write = Counter(), near_copies.write_and_reload
+    for module in (near_copies, links):
+        monkeypatch.setattr(module, "write_and_reload", lambda df, name, *a, **k: (written.update([name]), write(df, name, *a, **k))[1])
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs, count_links=False).collect()}
+    assert got == {i: c for i, (_, c) in expected_components(plain(docs)).items()}
+    assert written["near-round"] < 1 + len(near_copies.HUBS) and written["components-done"] == written["near-links"]
+    written.clear()
+    apart = docs.where("text IS NULL").unionByName(spark.createDataFrame([(-1, " ".join(f"only{k}" for k in range(40)))], "doc_id long, text string"),
+                                                   allowMissingColumns=True)
+    assert all(r["doc_id"] == r["component_id"] for r in near_copies.near_copies(apart, count_links=False).collect())
+    assert written["near-round"] == 0 and written["components"] == written["components-done"] == 1
+
+
+def test_near_copies_of_one_id_are_one(spark):
+    """Texts that share an id connect what they are linked with; a class that only shares its id has no link."""
+    some = lambda k: [f"w{k}x{j}" for j in range(40)]
+    edited = lambda k: " ".join([*some(k)[:-1], "end"])
+    rows = [(5, " ".join(some(1))), (5, " ".join(some(2))), (9, edited(1)), (3, edited(2)), (7, " ".join(some(3))), (7, " ".join(some(4)))]
+    got = sorted((r["doc_id"], r["component_id"], r["n_links"])
+                 for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3, 1), (5, 3, 1), (5, 3, 1), (7, 7, 0), (7, 7, 0), (9, 3, 1)]
+
+
+def test_components(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(7, 7), (2000, 2000)]
+    top = {x: x for p in pairs for x in p}
+    for _ in top:
+        for a, b in pairs:
+            top[a] = top[b] = min(top[a], top[b])
+    rounds, write = [], links.write_and_reload
+    monkeypatch.setattr(links, "write_and_reload", lambda df, name: (rounds.append(name), write(df, name))[1])
+    found = lambda x: sorted(map(tuple, links.components(spark.createDataFrame(x, "a long, b long"), "a", "b").collect()))
+    assert found(pairs) == sorted((i, top[i]) for i in {x for a, b in pairs if a != b for x in (a, b)})
+    rounds.clear()
+    assert found([(1, k) for k in range(2, 9)] + [(9, 4 + 6), (9, 11)]) == [(k, 1 if k < 9 else 9) for k in range(1, 12)]
+    assert rounds == ["components", "components-done"]   # stars are done as they come
+
+
 def test_near_filters_lose_no_pair():
     rng = np.random.default_rng(5)
     for _ in range(300):
