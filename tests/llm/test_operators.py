@@ -2,10 +2,13 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -350,6 +353,42 @@ def test_language_model(docs, awkward, empty):
     assert language_model.score(empty).count() == 0
 
 
+def test_language_model_block_is_scored_in_little_memory(monkeypatch):
+    """What a worker holds of a block: not several arrays of all its n-grams and words."""
+    class Steps(list):
+        groupBy = cogroup = lambda self, *_: self
+        sparkSession = SimpleNamespace(conf=SimpleNamespace(get=lambda _: "4"))
+
+        def applyInArrow(self, step, schema):
+            self.append(step)
+            return self
+
+    steps = Steps()
+    monkeypatch.setattr(language_model, "blocked", lambda *_: steps)
+    language_model.score(steps)
+    send, answer, apply = steps
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 2000) % 50_000) for _ in range(200)]
+    n = 200 * 2000
+    block = pa.table({"given": [True] * 200, "doc_id": list(range(200)), "text": texts, "block": [0] * 200})
+    key = lambda k: (pa.scalar(k, pa.int64()),)
+    send(key(0), block.slice(0, 2))   # words and powers are known
+    tracemalloc.start()
+    try:
+        sent = send(key(0), block)
+        at_send = tracemalloc.get_traced_memory()[1]
+        tables = [answer(key(k), sent.filter(pa.compute.equal(sent["bucket"], k))) for k in pa.compute.unique(sent["bucket"]).to_pylist()]
+        answers = pa.concat_tables(tables)
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        got = apply(block, answers)
+        at_apply = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert got["n_words"].to_pylist() == [2000] * 200 and max(got["mean_log_score"].to_pylist()) < 0
+    assert at_send < 75 * n and at_apply < 75 * n
+
+
 @pytest.mark.parametrize("order", [1, 4])
 def test_language_model_orders(docs, order):
     tokens = {i: WORD.findall(t or "") for i, t in plain(docs).items()}
