@@ -10,8 +10,10 @@ among them is hashed too.  They alone are numbered, in range partitions, so an
 id that holds a third of all rows is spread.
 
 The aggregation combines map-side, so a hot source costs each task one row.
-Rates have one row per source and join back under Spark's own size check; a
-source too large to broadcast against is split by AQE's skew join.  NULL and
+Rates have one row per source.  They are written before the documents join
+them: Spark then knows their size when it plans, sends a small table to every
+task, and whole documents are not shuffled.  Rates too many to broadcast are
+shuffled with the documents, a hot source split by AQE's skew join.  NULL and
 empty texts have no words, NULL is a source of its own (last in order).  Draws
 depend on ids, sources and texts alone, so reruns agree; rows equal in all
 three are interchangeable.
@@ -28,10 +30,13 @@ from routeboard.sources.storage import write_and_reload
 
 MAX_RATE = 3
 WEIGHTS = (1, 2, 3)
+SPACES = " \t\n\x0b\x0c\r"  # what WORD_PATTERN leaves out
 
 
 def _size(text: str):
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    """Words of a text, NULL 0.  (``regexp_count`` would hold every word of a text as an object of its own.)"""
+    marks = F.regexp_replace(F.ltrim(F.col(text), F.lit(SPACES)), F.lit(f"{WORD_PATTERN}[{SPACES}]*"), F.lit("."))
+    return F.coalesce(F.length(marks), F.lit(0)).cast("long")
 
 
 def _print(text: str):
@@ -91,13 +96,14 @@ def _placed(sized: DataFrame) -> DataFrame:
 def plan_mix(df: DataFrame, seed: str = "mix", doc_id: str = "doc_id", source: str = "source",
              text: str = "text") -> DataFrame:
     """Per row of ``df``: doc_id, source, size, source_size, target, rate, copies."""
-    return _planned(df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), _size(text).alias("size"),
-                              _print(text).alias("print")), seed)
+    sized = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), _size(text).alias("size"), _print(text).alias("print"))
+    return _planned(sized, sized, seed)
 
 
-def _planned(sized: DataFrame, seed: str) -> DataFrame:
-    rates = source_rates(sized.select("source", "size")).withColumnRenamed("source", "rate_source")
-    rows = _placed(sized)
+def _planned(rows: DataFrame, sizes: DataFrame, seed: str) -> DataFrame:
+    """``rows`` (doc_id, source, print and more) with the rates that ``sizes`` (source, size) give, and copies."""
+    rates = write_and_reload(source_rates(sizes.select("source", "size")).withColumnRenamed("source", "rate_source"), "mix-rates")
+    rows = _placed(rows)
     copies = F.floor("rate") + F.when(draw(F.col("doc_id"), seed, F.col("place")) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return (rows.join(rates, rows["source"].eqNullSafe(rates["rate_source"])).withColumn("copies", copies.cast("long"))
             .drop("rate_source", "print", "place"))
@@ -110,7 +116,8 @@ def mix(df: DataFrame, seed: str = "mix", doc_id: str = "doc_id", source: str =
     words adds no word to any source and is left out.
     """
     columns = df.columns
-    packed = df.select(F.struct(*columns).alias("row"), F.col(doc_id).alias("doc_id"),
-                       F.col(source).alias("source"), _size(text).alias("size"), _print(text).alias("print"))
-    taken = _planned(packed, seed).where((F.col("copies") > 0) & (F.col("size") > 0))
+    packed = df.select(F.struct(*columns).alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
+                       F.col(text).rlike(WORD_PATTERN).alias("has_words"), _print(text).alias("print"))
+    sizes = df.select(F.col(source).alias("source"), _size(text).alias("size"))
+    taken = _planned(packed, sizes, seed).where((F.col("copies") > 0) & F.col("has_words"))
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

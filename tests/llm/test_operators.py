@@ -278,6 +278,19 @@ def test_mixing_rows_of_one_id_draw_alone(spark):
     assert Counter(r["doc_id"] for r in mixed.collect()) == +sum((Counter({r["doc_id"]: r["copies"]}) for r in planned), Counter())
 
 
+def test_mixing_sends_no_document_through_a_shuffle(spark, docs):
+    plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "Exchange hashpartitioning" not in plan and "Exchange range" not in plan
+
+
+def test_mixing_counts_words(spark):
+    texts = [None, "", " ", "\t\n\x0b\x0c\r ", "a", " a", "a ", "\x0b a\r\nb\x0c\tc ", "\x1c\x85 \u00a0\u2003x \ufeff", "\U0001f600 \U0001f600\U0001f601",
+             "$1 \\ .", ". . .", "e\u0301 \x00 \x00b", "w " * 5000, "w" * 5000]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' AS source")
+    assert {r["doc_id"]: r["size"] for r in mixing.plan_mix(table).collect()} == {k: len(WORD.findall(t or "")) for k, t in enumerate(texts)}
+    assert {r["doc_id"] for r in mixing.mix(table).collect()} == {k for k, t in enumerate(texts) if WORD.findall(t or "")}
+
+
 def test_toxicity(spark, docs, empty):
     rng = np.random.default_rng(1)
     plainly = lambda: " ".join(f"n{x}" for x in rng.integers(0, 300, 60))
